@@ -138,7 +138,7 @@ def gain(block: dict) -> float:
     if base is not None:
         return base
     text = block["text"]
-    return min(len(text) / 60, 4.0) - 1.5 + (1.0 if text[-1] in ".!?…:\"”" else -0.5) - 4.0 * block["links"]
+    return min(len(text) / 40, 4.0) - 1.2 + (1.0 if text[-1] in ".!?…:\"”" else -0.5) - 4.0 * block["links"]
 
 
 def minimum_cut(gains: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
