@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,28 +11,31 @@ from pagewright.functions.scalars import js_round
 
 def items_of(rows: DataFrame) -> DataFrame:
     """Words of lines as positioned items (page, line_no, seq, s, x, w, top, h), when a source has no geometry: 7 points a character across, 6 of them drawn, 14 a line, 10 high."""
-    words = rows.select("doc_id", "line_no", F.col("text"), F.posexplode(F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0))).alias("seq", "s"), F.split("text", "[^ ]+", -1).alias("_g"))
-    words = words.withColumn("_at", F.aggregate(F.slice("_g", F.lit(1), F.col("seq") + 1), F.lit(0), lambda a, g: a + F.length(g)))
-    inside = Window.partitionBy("doc_id", "line_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.col("_at") + F.coalesce(F.sum(F.length("s")).over(inside), F.lit(0))
-    return words.select(F.col("doc_id").alias("page"), "line_no", "seq", "s", (40 + 7 * at).cast("double").alias("x"), (6 * F.length("s")).cast("double").alias("w"), (40 + 14 * F.col("line_no")).cast("double").alias("top"), F.lit(10.0).alias("h"))
+    found = rows.select("doc_id", "line_no", F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)).alias("s"), F.split("text", "[^ ]+", -1).alias("g"))
+    words = found.select("doc_id", "line_no", F.posexplode(F.transform("s", lambda s, i: F.struct(s.alias("s"), F.length(F.get("g", i)).alias("gap")))).alias("seq", "_w"))
+    upto = Window.partitionBy("doc_id", "line_no").orderBy("seq")
+    n = F.length("_w.s")
+    at = F.sum(F.col("_w.gap") + n).over(upto) - n
+    return words.select(F.col("doc_id").alias("page"), "line_no", "seq", F.col("_w.s").alias("s"), (40 + 7 * at).cast("double").alias("x"), (6 * n).cast("double").alias("w"), (40 + 14 * F.col("line_no")).cast("double").alias("top"), F.lit(10.0).alias("h"))
+
+
+def anchored(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["top", "x", "seq"], kind="stable")
+    line, top, h, out = -1, 0.0, 0.0, []
+    for t, size in zip(pdf["top"].to_numpy(), pdf["h"].to_numpy(), strict=True):
+        if line < 0 or abs(top - t) > max(2.0, min(h, size) * 0.45):
+            line, top, h = line + 1, t, size
+        out.append(line)
+    return pdf[["page", "seq", "top"]].assign(line=out)
 
 
 def anchor_lines(items: DataFrame) -> DataFrame:
-    """(page, items): line numbers by the distance to the first item of the line, not to the one before: a fold over the items sorted by top and x.
+    """(page, seq, top, line): line numbers by the distance to the first item of the line, not to the one before, over the items of a page sorted by top and x.
 
     A page's items are one group; a page is bounded.
     """
-    start = F.struct(F.lit(-1).alias("n"), F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("h"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, i: Column) -> Column:
-        new = a["top"].isNull() | (F.abs(a["top"] - i["top"]) > F.greatest(F.lit(2.0), F.least(a["h"], i["h"]) * 0.45))
-        n = a["n"] + new.cast("int")
-        return F.struct(n.alias("n"), F.when(new, i["top"]).otherwise(a["top"]).alias("top"), F.when(new, i["h"]).otherwise(a["h"]).alias("h"), F.concat(a["out"], F.array(n)).alias("out"))
-
-    pages = items.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("top", "x", "seq", "h"))).alias("i"))
-    pages = pages.withColumn("n", F.aggregate("i", start, step, lambda a: a["out"]))
-    return pages.select("page", F.explode(F.arrays_zip("i", "n")).alias("z")).select("page", F.col("z.i.seq").alias("seq"), F.col("z.i.top").alias("top"), F.col("z.n").alias("line"))
+    kind = dict(items.dtypes)
+    return items.select("page", "seq", "top", "x", "h").groupBy("page").applyInPandas(anchored, f"page {kind['page']}, seq int, top double, line int")
 
 
 def segments(items: DataFrame) -> DataFrame:

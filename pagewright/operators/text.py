@@ -34,8 +34,9 @@ def find_text(rows: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """A row for each hit: hit_no from 0, start and end in code points (end exclusive), the hit and a snippet. No shuffle: a line's hits are told from the gaps between them."""
     found = rows.select("*", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("_m")).where(F.size("_m") > 0)
     found = found.select("*", F.split(text, pattern, -1).alias("_g"))
-    size = lambda a: F.aggregate(F.transform(a, lambda x: F.length(x)), F.lit(0), lambda s, x: s + x)
-    hits = F.transform("_m", lambda m, i: F.struct(i.alias("hit_no"), (size(F.slice("_g", F.lit(1), i + 1)) + size(F.slice("_m", F.lit(1), i))).alias("start"), m.alias("hit")))
+    found = found.withColumns({"_n": F.transform("_g", lambda g: F.length(g)), "_l": F.transform("_m", lambda m: F.length(m))})
+    size = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    hits = F.transform("_m", lambda m, i: F.struct(i.alias("hit_no"), (size(F.slice("_n", F.lit(1), i + 1)) + size(F.slice("_l", F.lit(1), i))).alias("start"), m.alias("hit")))
     out = found.select(*rows.columns, F.explode(hits).alias("_h")).select(*rows.columns, "_h.*")
     out = out.withColumn("end", F.col("start") + F.length("hit"))
     first, last = F.greatest(F.lit(0), F.col("start") - AROUND), F.least(F.length(text), F.col("end") + AROUND)
