@@ -14,7 +14,9 @@ SALTS = 64
 
 def line_hashes(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """A row for each line whose key has min_key code points: _k1, _k2, doc_id, pos and 128 bits of the key."""
-    lines = docs.where("doc_id is not null").select("doc_id", *row_key(), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
+    # keys first: beside the generator they would be computed again for each line
+    rows = docs.where("doc_id is not null").select("doc_id", *row_key(), F.coalesce("text", F.lit("")).alias("text"))
+    lines = rows.select("doc_id", "_k1", "_k2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keys = lines.withColumn("key", ascii_lower(F.btrim("line", F.lit(SPACES)))).where(F.length("key") >= min_key)
     return keys.select("doc_id", "_k1", "_k2", "pos", F.xxhash64(F.lit("a"), "key").alias("h1"), F.xxhash64(F.lit("b"), "key").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
 
