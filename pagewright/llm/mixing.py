@@ -70,8 +70,8 @@ def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5,
     """
     rows = sized.withColumn("_none", F.col("source").isNull()).withColumn("_source", F.coalesce("source", F.lit("")))
     rows = rows.withColumn("_o", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    n_cells = max(1, min(65536, -(-sized.count() // ROWS_A_CELL)))
-    rows = rows.withColumn("_cell", F.floor(F.conv(F.substring("_o", 1, 4), 16, 10).cast("long") * n_cells / 65536).cast("int"))
+    n_cells = max(1, min(1 << 24, -(-sized.count() // ROWS_A_CELL)))
+    rows = rows.withColumn("_cell", F.floor(F.conv(F.substring("_o", 1, 6), 16, 10).cast("long") * n_cells / (1 << 24)).cast("int"))
     cells = rows.groupBy("_none", "_source", "_cell").agg(F.sum("size").alias("size"))
     by_cell = Window.partitionBy("_none", "_source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("_first", F.coalesce(F.sum("size").over(by_cell), F.lit(0))).drop("size")
@@ -96,8 +96,10 @@ def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5,
     copies = F.when(F.col("taken") > 0, F.sequence(F.lit(0).cast("long"), F.col("_passes") - F.when(F.col("_part") > 0, 0).otherwise(1)))
     out = out.withColumn("positions", F.coalesce(F.transform(copies, position), F.array().cast("array<double>")))
     out = out.withColumn("position", F.get("positions", F.lit(0)))
-    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "positions", F.col("_part").alias("part"), F.col("_passes").alias("passes"), "_k1", "_k2")
-    return out.repartitionByRange(F.col("position").asc_nulls_last()).sortWithinPartitions(F.col("position").asc_nulls_last())
+    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "positions", F.col("_part").alias("part"), F.col("_passes").alias("passes"), "_k1", "_k2", "_o")
+    # the documents that aren't taken share one position, the last: the md5 of the id tells them apart, so they fill many ranges
+    order = [F.col("position").asc_nulls_last(), F.col("_o")]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).drop("_o")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
