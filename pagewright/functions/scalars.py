@@ -71,3 +71,49 @@ def parse_ranges(spec: Column, n: Column) -> Column:
     read = F.transform(parts, one)
     error = F.when(F.size(parts) == 0, "empty").otherwise(F.get(F.filter(F.transform(read, lambda r: r["error"]), lambda e: e.isNotNull()), F.lit(0)))
     return F.struct(F.when(error.isNull(), F.transform(read, lambda r: r["pages"])).alias("groups"), error.alias("error"))
+
+
+def written_date(date: Column) -> Column:
+    """YYYY-MM as 'Mon YYYY'; anything else as it is, null as ''."""
+    names = F.array(*[F.lit(m.title()) for m in MONTHS])
+    month = F.get(names, F.regexp_extract(date, r"^\d{4}-(\d{2})", 1).try_cast("int") - 1)
+    return F.when(date.rlike(r"^\d{4}-(0[1-9]|1[0-2])"), F.concat_ws(" ", month, F.substring(date, 1, 4))).otherwise(F.coalesce(date, F.lit("")))
+
+
+def written_range(start: Column, end: Column) -> Column:
+    """'Mon YYYY – Mon YYYY'; an open end is Present, without a start the end alone."""
+    a, b = written_date(start), written_date(end)
+    return F.when(a == "", b).otherwise(F.concat(a, F.lit(" – "), F.when(b == "", "Present").otherwise(b)))
+
+
+def split_title(text: Column) -> Column:
+    """'X at Y', or X and Y between separators, as (title, place)."""
+    t = clean(text)
+    at = r"(?i)^(.+?)\s+(?:at|@)\s+(.+)$"
+    parts = F.filter(F.split(t, r"\s*(?:\||·|•|—|–|\s-\s|,\s)\s*"), lambda p: p != "")
+    rest = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1)), ", ")
+    title = F.when(t.rlike(at), F.regexp_extract(t, at, 1)).when(F.size(parts) >= 2, F.get(parts, F.lit(0))).otherwise(t)
+    place = F.when(t.rlike(at), F.regexp_extract(t, at, 2)).when(F.size(parts) >= 2, rest).otherwise("")
+    return F.struct(title.alias("title"), place.alias("place"))
+
+
+def hex_color(r: Column, g: Column, b: Column) -> Column:
+    """Shares of 0 to 1 as #rrggbb; what lies outside is cut off."""
+    byte = lambda v: F.lpad(F.lower(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), js_round(v * 255))).cast("long"))), 2, "0")
+    return F.concat(F.lit("#"), byte(r), byte(g), byte(b))
+
+
+def luminance(r: Column, g: Column, b: Column) -> Column:
+    """Relative luminance of shares of 0 to 1."""
+    part = lambda v: F.when(v <= 0.03928, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
+    return part(r) * 0.2126 + part(g) * 0.7152 + part(b) * 0.0722
+
+
+def readable_color(color: Column, steps: int = 60) -> Column:
+    """#rrggbb darkened by a twentieth at a time until its contrast with white is 4.5, `steps` times at most; null if it isn't a colour."""
+    form = "(?i)^#?([0-9a-f]{6})$"
+    digits = F.regexp_extract(color, form, 1)
+    start = F.transform(F.array(F.lit(1), F.lit(3), F.lit(5)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("double"))
+    dark = lambda c: F.lit(1.05) / (luminance(*[F.get(c, F.lit(i)) / 255 for i in range(3)]) + 0.05) >= 4.5
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda c, _: F.when(dark(c), c).otherwise(F.transform(c, lambda v: v * 0.95)))
+    return F.when(color.rlike(form), hex_color(*[F.get(end, F.lit(i)) / 255 for i in range(3)]))

@@ -39,3 +39,23 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
         front = edges.join(front, edges["a"] == front["id"], "left_semi").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").checkpoint()
         seen = seen.union(front).checkpoint()
     return seen
+
+
+def without_page(pages: DataFrame, i: int, by: str = "conv_id", at: str = "turn") -> DataFrame:
+    """pages without page i, with new_at; a group's only page stays."""
+    several = F.col("_n") > 1
+    counted = pages.withColumn("_n", F.count("*").over(Window.partitionBy(by))).where(~several | (F.col(at) != i))
+    return counted.withColumn("new_at", F.when(several & (F.col(at) > i), F.col(at) - 1).otherwise(F.col(at))).drop("_n")
+
+
+def with_copy(pages: DataFrame, i: int, at: str = "turn") -> DataFrame:
+    """pages with a copy of page i after it: is_copy and new_at. No shuffle."""
+    out = pages.withColumn("is_copy", F.explode(F.when(F.col(at) == i, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    return out.withColumn("new_at", F.col(at) + (F.col("is_copy") | (F.col(at) > i)).cast("int"))
+
+
+def appended(pages: DataFrame, more: DataFrame, by: str = "conv_id", at: str = "turn") -> DataFrame:
+    """The pages of both tables, those of `more` after the last page of the same group, with new_at."""
+    last = pages.groupBy(by).agg((F.max(at) + 1).alias("_first"))
+    moved = more.join(last, by, "left").withColumn("new_at", F.col(at) + F.coalesce("_first", F.lit(0))).drop("_first")
+    return pages.withColumn("new_at", F.col(at)).unionByName(moved)
