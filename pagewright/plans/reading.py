@@ -74,7 +74,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "rows": lambda s, d: longs(rows(s, d)),
-    "gutters": lambda s, d: reading.gutters(rows(s, d).withColumn("x0", F.col("x0") % 300).withColumn("x1", F.col("x0") % 300 + F.least(F.lit(40.0), F.col("x1") - F.col("x0"))), WIDTH, 3.0),
+    "gutters": lambda s, d: reading.gutters(rows(s, d).select("page", (F.col("x0") % 300).alias("x0"), (F.col("x0") % 300 + F.least(F.lit(40.0), F.col("x1") - F.col("x0"))).alias("x1")), WIDTH, 3.0),
     "column_gutters": lambda s, d: reading.column_gutters(placed_lines(s, d).select("page", F.col("x").alias("x0"), (F.col("x") + F.col("width")).alias("x1")), MIN_GAP),
     "leading": lambda s, d: reading.leading(rows(s, d)),
     "bullet_targets": lambda s, d: reading.bullet_targets(marks(s, d), 10.0),
