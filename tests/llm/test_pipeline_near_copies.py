@@ -1,0 +1,32 @@
+"""The whole pipeline against plain Python, its near-dedup stage by 5-word shingles and a similarity of 0.8 or more."""
+
+from collections import Counter
+
+from conftest import SF
+from test_near_copies import shingles
+from test_pipeline import good_ones, mixture, without_passages
+
+
+def first_of_near_copies(docs):
+    sets = {d["doc_id"]: shingles(d["text"]) for d in docs}
+    left, kept = set(sets), set()
+    while left:
+        front = [min(left)]
+        kept.add(front[0])
+        left -= set(front)
+        while front:
+            a = sets[front.pop()]
+            near = {y for y in left if a == sets[y] or 9 * len(a & sets[y]) >= 4 * (len(a) + len(sets[y]))}
+            left -= near
+            front += near
+    return [d for d in docs if d["doc_id"] in kept]
+
+
+def test_pipeline_matches_brute_force_by_similarity(spark):
+    import corpus_pipeline
+
+    docs = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    clean = without_passages(first_of_near_copies(good_ones(spark, docs)), items)
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == mixture(clean)
