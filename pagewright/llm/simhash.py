@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import ascii_lower, components, cut, space_words
 
-#: Shingles summed before lanes of 16 bits are taken apart; a lane holds at most so many.
-CHUNK = 32_768
+#: Shingles summed before lanes of 16 bits are taken apart; the top lane is signed, so it holds 32,767 at most.
+CHUNK = 16_384
 LANES = [f"l{i}" for i in range(16)]
 #: Bit b of a fingerprint is lane b // 16 of the sum l{b % 16}.
 ONE_A_LANE = 0x0001000100010001
