@@ -24,7 +24,9 @@ BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 CONTENT = frozenset("article main".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK - {"br", "button", "td", "th", "tr", "caption", "option", "select", "iframe", "svg", "textarea", "noscript", "template", "head", "title", "body", "html"}
-#: Words in class, id and role that name boilerplate; OUTRIGHT ones also where content follows within.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words in class, id and role that name boilerplate; OUTRIGHT ones also where content follows within, save in main and article.
+#: An OUTRIGHT word doesn't count on main, article and headings, nor in the id of a section or of anything in content: such ids name chapters.
 NAMED = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar aside widget sponsor sponsored promo promotion popup modal overlay newsletter subscribe signup login "
     "toolbar pagination pager share sharing social copyright disclaimer search complementary contentinfo".split()
@@ -40,13 +42,13 @@ TOKEN = re.compile(
     r"|(?P<text>[^<]++|<)",
     re.DOTALL | re.IGNORECASE,
 )
-NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
+NO_DISPLAY = re.compile(r"display\s*+:\s*+none", re.IGNORECASE)
 LONG_NUMBER = re.compile(r"&#(?:0*[0-9]{8,}|[xX]0*[0-9a-fA-F]{7,});?")
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 #: Costs: what a block in such a zone gains by the label "content". Beside them stand smoothness costs.
-ZONE_GAIN = {"content": 6.0, "named": -6.0, "outright": -8.0}
+ZONE_GAIN = {"content": 6.0, "named": -6.0, "outright": -8.0, "closed": -8.0, "hidden": -8.0}
 SAME_PARENT, NEAR_PARENT, ADJACENT = 1.0, 0.5, 0.25
 
 
@@ -109,20 +111,30 @@ def blocks_of(page: str) -> list[dict]:
                 pop()
         zone = stack[-1][1] if stack else ""
         number += 1
-        if zone != "outright":
-            names = set()
-            if "=" in m[7]:
-                for n in NAMES.finditer(m[7]):
-                    names.update(w.lower() for w in CAMEL.split(n[2] or n[3] or n[4] or ""))
-            if tag not in ("html", "body") and (names & OUTRIGHT or m[7] and HIDDEN.search(m[7])):
+        if zone != "hidden":
+            names, ids, hidden = set(), set(), False
+            for n in ATTRIBUTE.finditer(m[7]):
+                name, value = n[1].lower(), n[2] or n[3] or n[4] or ""
+                if name in ("class", "role", "id"):
+                    (ids if name == "id" else names).update(w.lower() for w in CAMEL.split(value))
+                hidden |= name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NO_DISPLAY.search(value) is not None
+            counted = names if tag == "section" or zone == "content" else names | ids
+            names = names | ids
+            if hidden and tag not in ("html", "body"):
+                zone = "hidden"
+            elif tag == "main" or tag == "article" and (zone not in ("outright", "closed") or zone == "outright" and not names & OUTRIGHT):
+                zone = "content"  # a comment in a list of comments can be an article, too
+            elif zone in ("outright", "closed"):
+                pass
+            elif tag not in ("html", "body") and tag not in CONTENT | HEADINGS and counted & OUTRIGHT:
                 zone = "outright"
             elif tag in BOILERPLATE:
-                zone = "outright"
-            elif tag in CONTENT or "main" in names and tag == "div" or names & {"articlebody", "article"} and tag == "div":
+                zone = "outright" if tag == "form" else "closed"  # a form can hold the whole page
+            elif "main" in names and tag == "div" or names & {"articlebody", "article"} and tag == "div":
                 zone = "content"
             elif zone != "content" and tag not in ("html", "body") and (tag == "header" or names & NAMED):
                 zone = "named"
-            elif zone == "content" and names & (NAMED - {"header", "banner", "masthead"}):
+            elif zone == "content" and tag not in HEADINGS and counted & (NAMED - {"header", "banner", "masthead"}):
                 zone = "named"
         stack.append((tag, zone, number))
         opened[tag] = opened.get(tag, 0) + 1
