@@ -156,6 +156,12 @@ def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.reachable(edges, spark.range(1, 4))
 
 
+def reachable_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reachable without its filter; it has no SQL."""
+    edges = read(spark, sf_dir, "events").select(F.col("user_id").alias("a"), F.get_json_object("props", "$.k").cast("long").alias("b"))
+    return pages.reachable(edges.distinct(), spark.range(1, 4))
+
+
 def written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
     said = F.when(k == 0, F.date_format(d, "MM/yyyy")).when(k == 1, F.date_format(d, "MMM yyyy")).when(k == 2, F.date_format(d, "yyyy")).otherwise("Present")
@@ -202,6 +208,7 @@ QUERIES = {
     "every_n_pages": lambda s, d: pages.every_n(read(s, d, "conversations").select("conv_id", "turn"), 2),
     "current_lines": lambda s, d: pages.current_lines(edit_log(s, d)),
     "reachable": reachable,
+    "reachable_all_events": reachable_all_events,
     "written_dates": written_dates,
     "written_sizes": written_sizes,
     "page_ranges": page_ranges,

@@ -87,6 +87,7 @@ QUERIES = {
     "delete_page": lambda s, d: pages.without_page(turns(s, d), 1),
     "duplicate_page": lambda s, d: pages.with_copy(turns(s, d), 1),
     "merge_pages": lambda s, d: pages.appended(turns(s, d), turns(s, d).where("turn < 2")),
+    "merge_all_pages": lambda s, d: pages.appended(turns(s, d), turns(s, d)),
 }
 
 ROWS = f"""{SEGMENTS},
