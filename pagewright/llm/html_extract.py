@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections import deque
-from itertools import islice
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,20 +20,23 @@ BLOCK = frozenset(
 #: Blocks that stand for their text; the element around them is the parent.
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre figcaption caption summary address".split())
 NEVER = frozenset("head title noscript template textarea select option svg iframe button object canvas audio video math".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
-CONTENT = frozenset("article main".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK - {"br", "button", "td", "th", "tr", "caption", "option", "select", "iframe", "svg", "textarea", "noscript", "template", "head", "title", "body", "html"}
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id and role that name boilerplate; OUTRIGHT ones also where content follows within, save in main and article.
-#: An OUTRIGHT word doesn't count on main, article and headings, nor in the id of a section or of anything in content: such ids name chapters.
-NAMED = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar aside widget sponsor sponsored promo promotion popup modal overlay newsletter subscribe signup login "
-    "toolbar pagination pager share sharing social copyright disclaimer search complementary contentinfo".split()
-)
-OUTRIGHT = frozenset(
-    "ad ads adv advert adverts advertisement adsense cookie cookies consent gdpr notice alert comment comments commentlist disqus replies respond discussion responses related recommended recommendations".split()
-)
+#: What an element tells against (positive) or for its blocks being content, by its name.
+TAG_COST = {"nav": 3.5, "footer": 3.5, "aside": 3.5, "form": 2.5, "menu": 3.5, "dialog": 3.5, "header": 2.0}
+#: The same by words in class, role and (half) id. A word among others in a hyphenated name counts its share of it.
+NAME_COST = {
+    **dict.fromkeys("ad ads adv advert adverts advertisement adsense cookie cookies consent gdpr notice alert comment comments commentlist disqus replies respond discussion responses related recommended recommendations".split(), 3.5),
+    **dict.fromkeys(
+        "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget sponsor sponsored promo promotion popup modal overlay newsletter subscribe signup login "
+        "toolbar pagination pager share sharing social copyright disclaimer search complementary contentinfo".split(),
+        2.5,
+    ),
+    **dict.fromkeys("header banner masthead".split(), 2.0),
+    **dict.fromkeys("articlebody article main".split(), -1.8),
+}
+#: What being in article or main tells for a block; what is kept of an element's cost from one block element to the next within.
+IN_CONTENT, HANDED_DOWN, MOST = 1.6, 0.95, 4.0
 TOKEN = re.compile(
     r"(?P<raw><(script|style|xmp)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\2\s*>|\Z))"
     r"|(?P<comment><!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z))"
@@ -47,18 +50,42 @@ NO_DISPLAY = re.compile(r"display\s*+:\s*+none", re.IGNORECASE)
 LONG_NUMBER = re.compile(r"&#(?:0*[0-9]{8,}|[xX]0*[0-9a-fA-F]{7,});?")
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
-#: Costs: what a block in such a zone gains by the label "content". Beside them stand smoothness costs.
-ZONE_GAIN = {"content": 6.0, "named": -6.0, "outright": -8.0, "closed": -8.0, "hidden": -8.0}
-SAME_PARENT, NEAR_PARENT, ADJACENT = 1.0, 0.5, 0.25
+#: Smoothness: what it costs to part two blocks that follow each other, by how near they are in the tree; and a block from the last one of the same parent.
+SAME_PARENT, NEAR_PARENT, ADJACENT = 1.5, 0.35, 0.15
 
 
 def decoded(text: str) -> str:
     return html.unescape(LONG_NUMBER.sub("�", text)) if "&" in text else text
 
 
+def names_cost(classes: str, ids: str) -> float:
+    """The cost that an element's names tell, its most telling word's: of a hyphenated or camel-case name a word counts its share; of an id half."""
+    best = 0.0
+    for value, weight in ((classes, 1.0), (ids, 0.5)):
+        for name in value.split():
+            words = [w.lower() for w in CAMEL.split(name) if w]
+            for cost in (NAME_COST.get(w, 0.0) for w in words):
+                found = cost * weight / len(words)
+                if abs(found) > abs(best):
+                    best = found
+    return best
+
+
+class Frame(NamedTuple):
+    """A block element that is open: its number, tag and class, the cost that it and those around it tell, and whether it is in article or main."""
+
+    number: int
+    tag: str
+    names: str
+    cost: float
+    content: bool
+
+
 def blocks_of(page: str) -> list[dict]:
-    """The blocks of text of a page in order: text, zone, share of it in links, and the numbers of its parent and grandparent."""
-    stack: list[tuple[str, str, int]] = []  # tag, zone, number of the element
+    """The blocks of text of a page in order: text, cost of its surroundings, whether in content, share of it in links, class of its own element, and the numbers of its parent and grandparent."""
+    root = Frame(0, "", "", 0.0, False)
+    stack: list[tuple[str, bool]] = []  # tag, hidden
+    frames: list[Frame] = [root, root, root]  # block elements alone, so that a block needn't look for them
     out, parts, linked, size, links, number, skipped = [], [], 0, 0, 0, 0, 0
     opened: dict[str, int] = {}
 
@@ -67,17 +94,19 @@ def blocks_of(page: str) -> list[dict]:
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip(" ")
             if text:
-                frames = (*islice((x for x in reversed(stack) if x[0] in BLOCK), 3), ("", "", 0), ("", "", 0))
-                frames = frames[frames[0][0] in LEAF :]
-                out.append({"text": text, "zone": stack[-1][1] if stack else "", "links": linked / max(size, 1), "parent": frames[0][2], "grand": frames[1][2]})
+                own = frames[-1]
+                at = -2 if own.tag in LEAF else -1
+                out.append({"text": text, "cost": own.cost, "content": own.content, "links": linked / max(size, 1), "names": own.names if at == -2 else "", "parent": frames[at].number, "grand": frames[at - 1].number})
         parts, linked, size = [], 0, 0
 
     def pop() -> None:
         nonlocal links, skipped
-        tag = stack.pop()[0]
+        tag, hidden = stack.pop()
         opened[tag] -= 1
         links -= tag == "a"
-        skipped -= tag in NEVER
+        skipped -= tag in NEVER or hidden
+        if tag in BLOCK:
+            frames.pop()
 
     for m in TOKEN.finditer(page):
         kind = m.lastgroup
@@ -109,77 +138,58 @@ def blocks_of(page: str) -> list[dict]:
         if shut:
             while stack and stack[-1][0] in shut:
                 pop()
-        zone = stack[-1][1] if stack else ""
-        number += 1
-        if zone != "hidden":
-            names, ids, hidden = set(), set(), False
+        classes, ids, hidden = "", "", False
+        if m[7]:
             for n in ATTRIBUTE.finditer(m[7]):
                 name, value = n[1].lower(), n[2] or n[3] or n[4] or ""
-                if name in ("class", "role", "id"):
-                    (ids if name == "id" else names).update(w.lower() for w in CAMEL.split(value))
+                if name in ("class", "role"):
+                    classes += " " + value
+                elif name == "id":
+                    ids += " " + value
                 hidden |= name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NO_DISPLAY.search(value) is not None
-            counted = names if tag == "section" or zone == "content" else names | ids
-            names = names | ids
-            if hidden and tag not in ("html", "body"):
-                zone = "hidden"
-            elif tag == "main" or tag == "article" and (zone not in ("outright", "closed") or zone == "outright" and not names & OUTRIGHT):
-                zone = "content"  # a comment in a list of comments can be an article, too
-            elif zone in ("outright", "closed"):
-                pass
-            elif tag not in ("html", "body") and tag not in CONTENT | HEADINGS and counted & OUTRIGHT:
-                zone = "outright"
-            elif tag in BOILERPLATE:
-                zone = "outright" if tag == "form" else "closed"  # a form can hold the whole page
-            elif "main" in names and tag == "div" or names & {"articlebody", "article"} and tag == "div":
-                zone = "content"
-            elif zone != "content" and tag not in ("html", "body") and (tag == "header" or names & NAMED):
-                zone = "named"
-            elif zone == "content" and tag not in HEADINGS and counted & (NAMED - {"header", "banner", "masthead"}):
-                zone = "named"
-        stack.append((tag, zone, number))
+            hidden &= tag not in ("html", "body")
+        if tag in BLOCK:
+            number += 1
+            around = frames[-1]
+            told = names_cost(classes, ids) if (classes or ids) and tag not in ("html", "body") else 0.0
+            if tag == "main" or tag == "article" and told <= 0:
+                frame = Frame(number, tag, classes, 0.0, True)  # what is around an article says nothing about it
+            else:
+                cost = min(MOST, max(-MOST, around.cost * HANDED_DOWN + told + TAG_COST.get(tag, 0.0) * (not around.content or tag != "header")))
+                frame = Frame(number, tag, classes, cost, around.content or tag == "article")
+            frames.append(frame)
+        stack.append((tag, hidden))
         opened[tag] = opened.get(tag, 0) + 1
         links += tag == "a"
-        skipped += tag in NEVER
+        skipped += tag in NEVER or hidden
     flush()
     return out
 
 
 def gain(block: dict) -> float:
-    """How much better "content" fits the block than "boilerplate": its zone, or else its length, its sentences and its links."""
-    base = ZONE_GAIN.get(block["zone"])
-    if base is not None:
-        return base
+    """How much better "content" fits the block than "boilerplate": by what is around it, its length, how it ends and its links."""
     text = block["text"]
-    return min(len(text) / 40, 4.0) - 1.2 + (1.0 if text[-1] in ".!?…:\"”" else -0.5) - 4.0 * block["links"]
+    said = 0.5 * (min(len(text) / 40, 4.0) - 1.2 + (1.0 if text[-1] in ".!?…:\"”" else -0.5)) - 2.0 * block["links"]
+    return IN_CONTENT * block["content"] - block["cost"] + min(1.0, max(-1.0, said))
 
 
 def minimum_cut(gains: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """The labelling that loses least: a node with a positive gain loses it if it isn't content, one with a negative gain if it is; an edge costs its weight if its ends differ.
 
-    Nodes whose gain outweighs all their edges are settled first, which is exact, and their edges become gains of the
-    others; a maximum flow (shortest augmenting paths by levels) from source to sink separates those left.
+    A node whose gain is no less than all its edges keeps its sign, whatever the others do: so it is left out, and its
+    edges become gains of the others. A maximum flow (shortest augmenting paths by levels) from source to sink
+    separates the rest; of equally good labellings it is the one with the least content.
     """
     n = len(gains)
-    g = list(gains)
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, w in edges:
         near[a][b] = near[a].get(b, 0.0) + w
         near[b][a] = near[b].get(a, 0.0) + w
-    label: list[bool | None] = [None] * n
-    weight = [sum(x.values()) for x in near]
-    todo = deque(range(n))
-    while todo:
-        i = todo.popleft()
-        if label[i] is None and abs(g[i]) >= weight[i]:
-            label[i] = g[i] > 0
-            for j, w in near[i].items():
-                if label[j] is None:
-                    g[j] += w if label[i] else -w
-                    weight[j] -= w
-                    todo.append(j)
+    label: list[bool | None] = [g > 0 if abs(g) >= sum(x.values()) else None for g, x in zip(gains, near, strict=True)]
     left = [i for i in range(n) if label[i] is None]
     if not left:
         return [bool(x) for x in label]
+    g = [v + sum(w if label[j] else -w for j, w in x.items() if label[j] is not None) for v, x in zip(gains, near, strict=True)]
     source, sink = n, n + 1
     flow: dict[int, dict[int, float]] = {i: {j: w for j, w in near[i].items() if label[j] is None} for i in left}
     flow[source], flow[sink] = {}, {}
@@ -219,17 +229,22 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    edges = []
+    kept = minimum_cut([gain(b) for b in blocks], smoothness(blocks))
+    return "\n".join(b["text"] for b, keep in zip(blocks, kept, strict=True) if keep)
+
+
+def smoothness(blocks: list[dict]) -> list[tuple[int, int, float]]:
+    """The edges: each block and the next, by their distance in the tree, and each and the last one before of the same parent and class."""
+    edges, last = [], {}
     for i, (a, b) in enumerate(zip(blocks, blocks[1:], strict=False)):
-        near = SAME_PARENT if a["parent"] == b["parent"] else NEAR_PARENT if a["grand"] == b["grand"] or a["grand"] == b["parent"] or a["parent"] == b["grand"] else ADJACENT
-        edges.append((i, i + 1, near))
-    last: dict[int, int] = {}
-    for i, b in enumerate(blocks):  # beyond the next block: the next one of the same parent
-        if (j := last.get(b["parent"], i - 1)) < i - 1:
+        same = a["parent"] == b["parent"]
+        kin = same or a["grand"] == b["grand"] or a["grand"] == b["parent"] or a["parent"] == b["grand"]
+        edges.append((i, i + 1, SAME_PARENT if same and a["names"] == b["names"] else NEAR_PARENT if kin else ADJACENT))
+    for i, b in enumerate(blocks):
+        if (j := last.get((b["parent"], b["names"]), i - 1)) < i - 1:
             edges.append((j, i, SAME_PARENT))
-        last[b["parent"]] = i
-    kept = minimum_cut([gain(b) for b in blocks], edges)
-    return "\n".join(b["text"] for b, keep in zip(blocks, kept, strict=True) if keep)
+        last[b["parent"], b["names"]] = i
+    return edges
 
 
 def main_texts(pages: pd.Series) -> pd.Series:
@@ -239,8 +254,11 @@ def main_texts(pages: pd.Series) -> pd.Series:
 def extract_text(pages: DataFrame, column: str = "html", to: str = "text") -> DataFrame:
     """pages with the main text of the html. Whole pages are parsed where they are; a row is a page, so nothing moves.
 
-    Blocks are runs of text between block elements (br, too). A block's gain comes from the elements around it and from
-    its own text; neighbours, siblings and next of kin pull each other to the same label; a minimum cut decides.
+    Blocks are runs of text between block elements (br, too); hidden ones aren't read. A block's terminal capacity is a
+    classifier's cost: what the elements around it tell by tag and name, less the farther they are and nothing from
+    around an article or main; its length, its end and its share of links. Edges to the next block and to the last one
+    of the same parent pull near blocks to one label, and for most blocks weigh more than any one feature. A maximum
+    flow finds the cut.
     Null and empty pages and pages without content have the text ''. Rows and other columns stay, the target is replaced.
     """
     return pages.withColumn(to, F.pandas_udf(main_texts, "string")(F.coalesce(column, F.lit(""))))
