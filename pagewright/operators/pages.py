@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.session import cut
+
 
 def reordered(pages: DataFrame, from_: int, to: int, by: str = "conv_id", at: str = "turn") -> DataFrame:
     """pages with new_at: the page at from_ moves to `to`, those between make room. Groups in which either isn't a page stay as they are."""
@@ -31,13 +31,10 @@ def current_lines(edits: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Ids that the roots reach along edges (a, b), cycles or not: a frontier joined round by round against what was seen, with a reliable checkpoint each round."""
-    spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright-"))
-    seen = front = roots.select("id").distinct().checkpoint()
+    seen = front = cut(roots.select("id").distinct())
     while not front.isEmpty():
-        front = edges.join(front, edges["a"] == front["id"], "left_semi").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").checkpoint()
-        seen = seen.union(front).checkpoint()
+        front = cut(edges.join(front, edges["a"] == front["id"], "left_semi").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti"))
+        seen = cut(seen.union(front))
     return seen
 
 
