@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.session import cut
+
 #: White space of the word and line rules: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -36,30 +36,54 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     ]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that all executors share."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright-"))
-    return df.checkpoint()
+def whole_row_key(df: DataFrame) -> list[Column]:
+    """128 bits that name a row by all its columns, null told from absent; rows equal in every column share them. Never null."""
+    plain = [F.to_json(F.struct(f"`{c}`")) if "map<" in kind or kind == "variant" else F.col(f"`{c}`") for c, kind in df.dtypes]
+    each = [x for c in plain for x in (c.isNull(), c)]
+    return [F.xxhash64(F.lit("a"), *each).alias("_k1"), F.xxhash64(F.lit("b"), *each[::-1]).alias("_k2")]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def attach(docs: DataFrame, plan: DataFrame, values: list[str], how: str = "inner", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+#: Rows of a range, and how many ranges there are at most.
+ROWS_A_RANGE, MOST_RANGES = 20_000, 10_000
+#: Share of all rows from which a key is hot: 1 in so many. There are at most so many hot keys.
+HOT = 1000
+
+
+def ranged(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows in ranges of about ROWS_A_RANGE by the order, with _cell, the number of the range, and _t, which tells equal rows apart.
+
+    Ranges come from a sample of the rows, so no key, however hot, and no repeated row fills one. Both frames are cut:
+    ranges and numbers stay as they are if an executor is lost.
+    """
+    rows = cut(rows.withColumn("_t", F.monotonically_increasing_id()))
+    n = min(MOST_RANGES, max(1, -(-rows.count() // ROWS_A_RANGE)))
+    return cut(rows.repartitionByRange(n, *order, F.col("_t")).withColumn("_cell", F.spark_partition_id()))
+
+
+def join_spread(rows: DataFrame, groups: DataFrame, key: list[str], n: str, total: int, spread: Column) -> DataFrame:
+    """Inner join of rows with groups (one row per key, never null, with its count n of rows) that no hot key slows: a key with more than 1 in HOT of the total is dealt by `spread` into as many parts as it has such shares.
+
+    Only the hot keys are broadcast, HOT at most; groups repeat for the parts of hot keys, twice HOT rows at most more.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col(n) * HOT / F.lit(max(total, 1)))).cast("int")
+    hot = F.broadcast(groups.select(*key, parts.alias("_parts")).where("_parts > 1"))
+    left = rows.join(hot, key, "left").withColumn("_salt", F.pmod(spread, F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.join(right, [*key, "_salt"]).drop("_salt")
+
+
+def attach(docs: DataFrame, plan: DataFrame, values: list[str]) -> DataFrame:
     """Brings the plan's values to the rows of docs: column `row` holds the whole input row, beside `values`.
 
-    plan has _k1 and _k2 of row_key() and one row per input row; equal rows are told apart by a running number on
-    both sides, so nothing multiplies. The text moves once: the window and the join share one exchange.
+    plan has _k1 and _k2 of whole_row_key(docs) and a row for each row wanted. Rows equal in every column are one before
+    they meet the plan's rows, so each of these gets its own copy, whichever it is.
     """
-    each = Window.partitionBy("_k1", "_k2").orderBy(F.lit(0))
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(doc_id, text))
-    left = left.withColumn("_n", F.row_number().over(each))
-    right = plan.select("_k1", "_k2", *values).withColumn("_n", F.row_number().over(each))
-    return left.join(right, ["_k1", "_k2", "_n"], how).select("row", *values)
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *whole_row_key(docs)).groupBy("_k1", "_k2").agg(F.first("row").alias("row"))
+    return left.join(plan.select("_k1", "_k2", *values), ["_k1", "_k2"]).select("row", *values)
 
 
 def components(edges: DataFrame) -> DataFrame:

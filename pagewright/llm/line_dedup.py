@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import SPACES, ascii_lower, partitions, row_key
+from pagewright.llm.common import SPACES, ascii_lower, cut, join_spread, partitions, row_key
 
 MIN_KEY = 10
-#: A line's documents are dealt into this many salts, so the rows of one very common line spread over as many tasks.
+#: A line's first occurrences are taken in so many parts by document, then among the parts.
 SALTS = 64
 
 
@@ -27,19 +27,21 @@ def repeated_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     `dropped` maps the number of a word of 64 lines to its bits (bit i: line 64 * word + i goes); words without a
     dropped line are left out, which is the compression: an absent word keeps all its lines. Texts aren't returned.
 
-    First occurrences: each (hash, salt) is aggregated to its first and last doc_id before it moves; these heads are
-    range-partitioned by hash and sorted by hash and document, and a window streams the first document of each hash.
-    Lines then meet the heads by (hash, salt), so one very common line spreads over SALTS tasks.
+    First occurrences: each (hash, salt) is aggregated to its first document and position and its last document before it
+    moves; these heads are range-partitioned by hash and sorted by hash, document and position, and a window streams
+    the first of each hash. Lines then meet the hashes of two documents or more; a very common line is dealt into parts
+    by its counted share of all such lines.
 
     Rows with a null doc_id keep all lines and count for none. Rows that repeat a doc_id are the same document.
     """
     lines = line_hashes(docs, min_key)
-    heads = lines.groupBy("h1", "h2", "salt").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    heads = lines.groupBy("h1", "h2", "salt").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     heads = heads.repartitionByRange(partitions(docs.sparkSession), "h1", "h2")
     same = Window.partitionBy("h1", "h2")
-    heads = heads.withColumn("holder", F.first("first").over(same.orderBy("first", "salt"))).withColumn("end", F.max("last").over(same))
-    heads = heads.where("end > holder").select("h1", "h2", "salt", "holder")
-    gone = lines.join(heads, ["h1", "h2", "salt"]).where("doc_id > holder")
+    heads = heads.select("h1", "h2", F.col("first.doc_id").alias("holder"), F.row_number().over(same.orderBy("first", "salt")).alias("at"), F.max("last").over(same).alias("end"), F.sum("n").over(same).alias("n"))
+    heads = cut(heads.where("at = 1 and end > holder").select("h1", "h2", "holder", "n"))
+    total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    gone = join_spread(lines, heads, ["h1", "h2"], "n", total, F.xxhash64("_k1", "pos")).where("doc_id > holder")
     words = gone.groupBy("_k1", "_k2", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
     return words.groupBy("_k1", "_k2").agg(F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"), F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 

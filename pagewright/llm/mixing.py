@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import cut, row_key, space_words
+from pagewright.llm.common import ranged, space_words, whole_row_key
 
 #: Weights of the sources in code-point order, repeating, and how each weight's intensity runs over the training
 #: positions 0 to 1: knots at equal distances, linear between them.
 WEIGHTS = (3, 1, 2)
 CURRICULUM = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
-ROWS_A_CELL = 20_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -59,24 +58,24 @@ def targets(cells: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1
 def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, cap: float = 2.0, curriculum=CURRICULUM) -> DataFrame:
     """A training plan from (doc_id, source, size, _k1, _k2): adds source_size, target, taken and positions, and sorts by the first position.
 
-    Within a source, documents follow the md5 of their id (then size, then row key), so reruns agree. A source's word
+    Within a source, documents follow the md5 of their id (then row key), so reruns agree. A source's word
     budget is its target rounded; it is dealt in whole passes over the source and then a partial pass whose last
     document is cut where the budget ends. A copy stands where the demand integral of its source reaches the words
     dealt before it, plus half its own; rows come range-sorted by the first copy's position, those not taken last.
 
-    Running sums over a source of any share of the rows are in two steps: cells of about ROWS_A_CELL rows by the md5,
-    and within a cell; no task holds a source. Null ids sort as ''; a null source is a source, the last; empty tables
-    give no rows; equal rows each have their place.
+    Running sums over a source of any share of the rows are in two steps: ranges of about ROWS_A_RANGE rows, and within
+    a range; no task holds a source, nor all rows of one id. Null ids sort as ''; a null source is a source, the last;
+    empty tables give no rows; equal rows each have their place.
     """
     rows = sized.withColumn("_none", F.col("source").isNull()).withColumn("_source", F.coalesce("source", F.lit("")))
     rows = rows.withColumn("_o", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    n_cells = max(1, min(1 << 24, -(-sized.count() // ROWS_A_CELL)))
-    rows = rows.withColumn("_cell", F.floor(F.conv(F.substring("_o", 1, 6), 16, 10).cast("long") * n_cells / (1 << 24)).cast("int"))
+    order = [F.col(c) for c in ("_o", "_k1", "_k2")]
+    rows = ranged(rows, F.col("_none"), F.col("_source"), *order)
     cells = rows.groupBy("_none", "_source", "_cell").agg(F.sum("size").alias("size"))
     by_cell = Window.partitionBy("_none", "_source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("_first", F.coalesce(F.sum("size").over(by_cell), F.lit(0))).drop("size")
     starts = starts.join(targets(cells, weights, share, cap), ["_none", "_source"])
-    inside = Window.partitionBy("_none", "_source", "_cell").orderBy("_o", "size", "_k1", "_k2").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_none", "_source", "_cell").orderBy(*order, "_t").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.join(starts, ["_none", "_source", "_cell"])
     out = out.withColumn("_start", F.col("_first") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     out = out.withColumn("_budget", F.floor(F.col("target") + 0.5).cast("long"))
@@ -104,7 +103,7 @@ def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5,
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = cut(docs.select("doc_id", "source", word_count().alias("size"), *row_key()))
+    sized = docs.select("doc_id", "source", word_count().alias("size"), *whole_row_key(docs.select("doc_id", "source", "text")))
     return mix(sized).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 

@@ -7,11 +7,11 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents of each label that the field is fitted on, at most; the only bound, and the scoring has none.
-TRAIN_DOCS = 1500
+#: Documents and lines of each label that the field is fitted on, at most; the only bounds, and the scoring has none.
+TRAIN_DOCS, TRAIN_LINES = 1500, 200_000
 THRESHOLD = 0.7
 #: Code points that one feature pass takes apart at once.
 SLICE = 2_000_000
@@ -187,9 +187,11 @@ def held_out(doc_id="doc_id"):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
-    """Fits on labelled rows whose crc32(doc_id) mod 4 is not 2: TRAIN_DOCS of each label at most, the first by a hash of doc_id.
+    """Fits on labelled rows whose crc32(doc_id) mod 4 is not 2: TRAIN_DOCS of each label and TRAIN_LINES of their lines at most, the first by a hash of doc_id.
 
-    Executors turn the sample's texts into line features; the driver sees these alone. None if a label is missing.
+    Rows that repeat a sampled doc_id are one, the one with the smallest hash of its text; a document whose lines would
+    overrun the bound isn't fitted on. Executors turn the sample's texts into line features; the driver sees these
+    alone. None if a label is missing.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sizes = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
@@ -197,7 +199,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
     for q in (0, 1):
         part = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id")).limit(TRAIN_DOCS)
         chosen = part if chosen is None else chosen.union(part)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64("text").alias("h"))
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sizes_of = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("h", n_lines.alias("n"))).alias("m"))
+    upto = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id")).rowsBetween(Window.unboundedPreceding, 0)
+    chosen = sizes_of.select("doc_id", "quality", F.col("m.h").alias("h"), F.sum("m.n").over(upto).alias("so_far")).where(F.col("so_far") <= TRAIN_LINES)
+    sample = rows.join(F.broadcast(chosen.select("doc_id", "quality", "h")), ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("doc_id", "quality", "text")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import cut, row_key
+from pagewright.llm.common import cut, join_spread, ranged, whole_row_key
 
 BITS = 5
 SHARDS = 24
-ROWS_A_CELL = 20_000
 #: Distinct (lang, source) pairs up to which their places on the axes are broadcast; beyond it they are joined by key.
 BROADCAST_PAIRS = 100_000
 
@@ -57,16 +56,17 @@ def axis(counts: DataFrame, value: str, name: str, bits: int = BITS) -> DataFram
 def hilbert_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Puts rows (doc_id, lang, source, size, _text, _k1, _k2) on the curve and cuts it: adds shard, slot and _h. Law: row counts at most one apart.
 
-    The dimensions are source, language and the logarithm of the size. Equal texts (_text, a hash) stand together, with
-    the metadata of their smallest doc_id. The order is (curve index, text hash, doc_id, row key).
+    The dimensions are source, language and the logarithm of the size, up to the 2 GiB that a text can have. Equal texts
+    (_text, a hash) stand together, with the metadata of their smallest doc_id. The order is (curve index, text hash,
+    doc_id, row key).
 
-    The running number is taken in three bounded steps, so no task holds the table, a hot curve index or a hot text:
-    counts per curve index (32,768 at most), per cell within an index, and a row number within a cell. A cell has about
-    ROWS_A_CELL rows; a text with more copies is dealt into cells of its own by the hash of doc_id.
+    The running number is taken in two bounded steps: counts per range of the order, and a row number within a range.
+    So no task holds the table, a hot curve index or a hot text; a hot text meets its group in several parts.
     Nulls: a null lang, source or doc_id is a value of its own; a null text has size 8. Empty tables give no rows.
+    Values of lang and source are sorted in one task: they are few.
     """
     total = rows.count()
-    pairs = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    pairs = cut(rows.groupBy("lang", "source").agg(F.count("*").alias("n")))
     lang, source = axis(pairs, "lang", "_l").withColumnRenamed("lang", "_lang"), axis(pairs, "source", "_s").withColumnRenamed("source", "_source")
     places = pairs.join(lang, F.col("lang").eqNullSafe(F.col("_lang"))).join(source, F.col("source").eqNullSafe(F.col("_source")))
     places = places.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "_l", "_s")
@@ -74,23 +74,16 @@ def hilbert_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
         places = F.broadcast(places)
     groups = rows.groupBy("_text").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "lang", "source")).alias("_of"), F.count("*").alias("_copies"), F.max("size").alias("_size"))
     groups = groups.join(places, F.col("_of.lang").eqNullSafe(F.col("_lang")) & F.col("_of.source").eqNullSafe(F.col("_source")))
-    groups = groups.withColumn("_b", F.least(F.lit((1 << BITS) - 1), F.floor(F.log2(F.col("_size").cast("double")) * 1.5)).cast("int"))
-    groups = groups.select("_text", hilbert_index([F.col("_s"), F.col("_l"), F.col("_b")]).alias("_h"), "_copies")
-    spread = max(1, min(1 << 20, -(-total // ROWS_A_CELL)))
-    cell = ["_h", "_sub", "_hot", "_salt"]
-    hot = F.col("_copies") > ROWS_A_CELL
-    placed = rows.join(groups, "_text").withColumns({
-        "_sub": F.floor((F.shiftrightunsigned("_text", 32) * spread) / F.lit(1 << 32)).cast("int"),
-        "_hot": F.when(hot, F.col("_text")).otherwise(F.lit(0).cast("long")),
-        "_salt": F.when(hot, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_copies") / ROWS_A_CELL))).otherwise(F.lit(0)).cast("long"),
-    })
-    counts = placed.groupBy(*cell).agg(F.count("*").alias("_n"))
-    by_index = counts.groupBy("_h").agg(F.sum("_n").alias("_n"))
-    by_index = by_index.select(F.col("_h"), (F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_h")) - F.col("_n")).alias("_before"))
-    firsts = counts.withColumn("_inside", F.sum("_n").over(Window.partitionBy("_h").orderBy("_sub", "_hot", "_salt")) - F.col("_n"))
-    firsts = firsts.join(by_index, "_h").select(*cell, (F.col("_before") + F.col("_inside")).alias("_first"))
-    number = F.row_number().over(Window.partitionBy(*cell).orderBy("_text", F.col("doc_id").asc_nulls_last(), "_k1", "_k2"))
-    out = placed.join(firsts, cell).withColumn("_rank", F.col("_first") + number - 1)
+    steps = (1 << BITS) / 28.01  # of log2(size) from 3, an empty text, to 31
+    groups = groups.withColumn("_b", F.least(F.lit((1 << BITS) - 1), F.floor((F.log2(F.col("_size").cast("double")) - 3) * steps)).cast("int"))
+    groups = cut(groups.select("_text", hilbert_index([F.col("_s"), F.col("_l"), F.col("_b")]).alias("_h"), "_copies"))
+    placed = join_spread(rows, groups, ["_text"], "_copies", total, F.xxhash64("doc_id", "_k1")).drop("_copies")
+    order = [F.col("_h"), F.col("_text"), F.col("doc_id").asc_nulls_last(), F.col("_k1"), F.col("_k2")]
+    placed = ranged(placed, *order)
+    counts = placed.groupBy("_cell").agg(F.count("*").alias("_n"))
+    firsts = counts.select("_cell", (F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_cell")) - F.col("_n")).alias("_first"))
+    number = F.row_number().over(Window.partitionBy("_cell").orderBy(*order, "_t"))
+    out = placed.join(F.broadcast(firsts), "_cell").withColumn("_rank", F.col("_first") + number - 1)
     out = out.withColumn("shard", F.expr(f"cast(_rank * {shards} div {max(total, 1)} as int)"))
     first_of_shard = F.expr(f"(shard * {max(total, 1)}L + {shards - 1}) div {shards}")
     return out.withColumn("slot", (F.col("_rank") - first_of_shard).cast("long"))
@@ -101,10 +94,10 @@ def metadata(docs: DataFrame) -> DataFrame:
         "doc_id", "lang", "source",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64("text").alias("_text"), *row_key(),
+        F.xxhash64("text").alias("_text"), *whole_row_key(docs),
     )
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
-    rows = cut(metadata(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    rows = cut(metadata(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")))
     return hilbert_shards(rows).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("_h").alias("curve"))

@@ -23,7 +23,7 @@ def fingerprints(docs: DataFrame, words_a_shingle: int = 3) -> DataFrame:
 
     The shingles are exploded in place and their hashes summed without a shuffle of texts: the 64 counters of a
     document are 16 longs of four 16-bit lanes. A long document is summed in chunks of CHUNK shingles, so lanes don't
-    run over. Null, empty and blank texts have fingerprint 0. Rows equal in doc_id and text count as one.
+    run over. Null, empty and blank texts have fingerprint 0. Each row, repeated or not, has its own; other columns are left out.
     """
     k = words_a_shingle
     rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), space_words(ascii_lower(F.col("text"))).alias("words"), F.monotonically_increasing_id().alias("row"))
@@ -96,18 +96,25 @@ def cell_links(batches: Iterator[pd.DataFrame], threshold: int = 2) -> Iterator[
         yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
+def fingerprint_links(distinct: DataFrame) -> DataFrame:
+    """Links (a, b) of distinct fingerprints (fp) that span the same components as all pairs at 2 or fewer differing bits.
+
+    Two within 2 bits have a word between them that is within 1 of both, and an anchor within the covering radius 1 of
+    that word: so it is enough to copy each fingerprint to every anchor within the covering radius plus half the
+    threshold of either side, 33 at most. Only anchors with two fingerprints are compared. No cell grows with the input
+    and no link between different fingerprints is lost.
+    """
+    cells = distinct.select("fp").mapInPandas(anchors, "anchor long, fp long").groupBy("anchor").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    return cells.select("fps").mapInPandas(cell_links, "a long, b long").distinct()
+
+
 def near_duplicates(prints: DataFrame) -> DataFrame:
-    """(doc_id, _text, fp, component_id) of fingerprints: documents link at 2 or fewer differing bits; component_id is the smallest doc_id reachable.
+    """(doc_id, _text, fp, component_id) of fingerprints: documents link at 2 or fewer differing bits; component_id is the smallest doc_id reachable (null if all are null).
 
-    Equal fingerprints are one row before anything is compared. Two within 2 bits have a word between them that is
-    within 1 of both, and an anchor within the covering radius 1 of that word: so it is enough to copy each fingerprint
-    to every anchor within the covering radius plus half the threshold of either side, 33 at most. Only anchors with two
-    fingerprints are compared. No cell grows with the input and no link between different fingerprints is lost.
+    Equal fingerprints are one row before anything is compared.
     """
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    cells = distinct.select("fp").mapInPandas(anchors, "anchor long, fp long").groupBy("anchor").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    links = cells.select("fps").mapInPandas(cell_links, "a long, b long").distinct()
-    linked = components(links)
+    linked = components(fingerprint_links(distinct))
     roots = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = roots.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")

@@ -165,7 +165,7 @@ def test_decontamination_edge_cases(spark, edge):
 
 def test_mixing_meets_targets(spark, edge):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    sized = lambda d: common.cut(d.select("doc_id", "source", mixing.word_count().alias("size"), *common.row_key()))
+    sized = lambda d: d.select("doc_id", "source", mixing.word_count().alias("size"), *common.whole_row_key(d))
     rows = mixing.mix(sized(docs)).collect()
     taken, targets = Counter(), {}
     for r in rows:
