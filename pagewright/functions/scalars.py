@@ -117,3 +117,26 @@ def readable_color(color: Column, steps: int = 60) -> Column:
     dark = lambda c: F.lit(1.05) / (luminance(*[F.get(c, F.lit(i)) / 255 for i in range(3)]) + 0.05) >= 4.5
     end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda c, _: F.when(dark(c), c).otherwise(F.transform(c, lambda v: v * 0.95)))
     return F.when(color.rlike(form), hex_color(*[F.get(end, F.lit(i)) / 255 for i in range(3)]))
+
+
+def cmyk_color(c: Column, m: Column, y: Column, k: Column) -> Column:
+    """Shares of the four inks as #rrggbb."""
+    return hex_color((1 - c) * (1 - k), (1 - m) * (1 - k), (1 - y) * (1 - k))
+
+
+def hex_number(color: Column) -> Column:
+    """#rgb or #rrggbb as the number of its bytes; 0 if it can't be read."""
+    h = F.regexp_replace(F.coalesce(color, F.lit("#000")), "#", "")
+    h = F.when(F.length(h) == 3, F.regexp_replace(h, "(.)", "$1$1")).otherwise(h)
+    return F.coalesce(F.conv(F.regexp_extract(h, "^[0-9A-Fa-f]+", 0), 16, 10).try_cast("long"), F.lit(0).cast("long"))
+
+
+def hex_string(data: Column) -> Column:
+    """Bytes as a hexadecimal string of a content stream."""
+    return F.concat(F.lit("<"), F.lower(F.hex(data)), F.lit(">"))
+
+
+def base_name(name: Column, default: str = "document") -> Column:
+    """A file name without .pdf and without characters that file names can't have."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit(default)), r"(?i)\.pdf$", ""), r'[\\/:*?"<>|]+', "_")
+    return F.coalesce(F.nullif(bare, F.lit("")), F.lit(default))

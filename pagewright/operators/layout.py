@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,23 +21,28 @@ def items_of(rows: DataFrame) -> DataFrame:
     return words.select(F.col("doc_id").alias("page"), "line_no", "seq", F.col("_w.s").alias("s"), (40 + 7 * at).cast("double").alias("x"), (6 * n).cast("double").alias("w"), (40 + 14 * F.col("line_no")).cast("double").alias("top"), F.lit(10.0).alias("h"))
 
 
-def anchored(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["top", "x", "seq"], kind="stable")
-    line, top, h, out = -1, 0.0, 0.0, []
-    for t, size in zip(pdf["top"].to_numpy(), pdf["h"].to_numpy(), strict=True):
-        if line < 0 or abs(top - t) > max(2.0, min(h, size) * 0.45):
-            line, top, h = line + 1, t, size
-        out.append(line)
-    return pdf[["page", "seq", "top"]].assign(line=out)
+def anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Line numbers of items that come sorted by page, top, x and seq; what is kept from one to the next is the open line."""
+    line, top, h, page = -1, 0.0, 0.0, object()
+    for pdf in batches:
+        out = []
+        for p, t, size in zip(pdf["page"].tolist(), pdf["top"].tolist(), pdf["h"].tolist(), strict=True):
+            if p != page:
+                page, line, top, h = p, 0, t, size
+            elif abs(top - t) > max(2.0, min(h, size) * 0.45):
+                line, top, h = line + 1, t, size
+            out.append(line)
+        yield pdf[["page", "seq", "top"]].assign(line=out)
 
 
 def anchor_lines(items: DataFrame) -> DataFrame:
     """(page, seq, top, line): line numbers by the distance to the first item of the line, not to the one before, over the items of a page sorted by top and x.
 
-    A page's items are one group; a page is bounded.
+    Pages are dealt over the partitions and sorted there; items stream through, so no page is held.
     """
     kind = dict(items.dtypes)
-    return items.select("page", "seq", "top", "x", "h").groupBy("page").applyInPandas(anchored, f"page {kind['page']}, seq int, top double, line int")
+    ordered = items.select("page", "seq", "top", "x", "h").repartition("page").sortWithinPartitions("page", "top", "x", "seq")
+    return ordered.select("page", "seq", "top", "h").mapInPandas(anchored, f"page {kind['page']}, seq int, top double, line int")
 
 
 def segments(items: DataFrame) -> DataFrame:
@@ -47,13 +54,17 @@ def segments(items: DataFrame) -> DataFrame:
     return numbered.groupBy("page", "line_no", "seg_no").agg(F.min("x").alias("x"), F.max(F.col("x") + F.col("w")).alias("x1"), F.count("*").alias("n_items"))
 
 
-def second_column(segs: DataFrame, width: float, n_lines: DataFrame) -> DataFrame:
+def second_column(segs: DataFrame, width: float) -> DataFrame:
     """(page, bucket, lines): the 6-point bucket, with its neighbours, where most later segments start, between 28 and 80 % of the width; the smaller of equals. Only pages that reach max(5, 15 % of lines)."""
-    starts = segs.where((F.col("seg_no") > 0) & (F.col("x") > width * 0.28) & (F.col("x") < width * 0.8)).groupBy("page", js_round(F.col("x") / 6).alias("b")).agg(F.count("*").alias("n"))
-    near = starts.select("page", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), "n").groupBy("page", "b").agg(F.sum("n").alias("n"))
-    best = near.join(starts.select("page", "b"), ["page", "b"], "left_semi").groupBy("page").agg(F.min(F.struct((-F.col("n")).alias("k"), "b")).alias("m"))
-    out = best.select("page", F.col("m.b").alias("bucket"), (-F.col("m.k")).alias("lines")).join(n_lines, "page")
-    return out.where(F.col("lines") >= F.greatest(F.lit(5.0), F.col("n_lines") * 0.15)).select("page", "bucket", "lines")
+    later = (F.col("seg_no") > 0) & (F.col("x") > width * 0.28) & (F.col("x") < width * 0.8)
+    bucket = F.when(later, js_round(F.col("x") / 6))
+    # every line has a segment 0; a page has no more buckets than fit in half its width
+    counts = segs.groupBy("page", bucket.alias("b")).agg(F.count("*").alias("n"), F.count_if(F.col("seg_no") == 0).alias("l"))
+    pages = counts.groupBy("page").agg(F.sum("l").alias("n_lines"), F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "n")))).alias("m"))
+    near = lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0).cast("long"))
+    smooth = F.transform(F.map_keys("m"), lambda b: F.struct((-(near(b - 1) + near(b) + near(b + 1))).alias("k"), b.alias("b")))
+    best = pages.where(F.size("m") > 0).select("page", "n_lines", F.array_min(smooth).alias("m")).select("page", "n_lines", F.col("m.b").alias("bucket"), (-F.col("m.k")).alias("lines"))
+    return best.where(F.col("lines") >= F.greatest(F.lit(5.0), F.col("n_lines") * 0.15)).select("page", "bucket", "lines")
 
 
 def body_size(items: DataFrame) -> DataFrame:
@@ -63,10 +74,11 @@ def body_size(items: DataFrame) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, median): of an even number of values the upper one of the middle. A rank in each group, no lists."""
-    order = Window.partitionBy(by).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).select(by, value, F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy(by)).alias("n"))
-    return ranked.where("r = floor(n / 2) + 1").select(by, F.col(value).alias("median"))
+    """(by, median): of an even number of values the upper one of the middle. Equal values are counted before they are ranked, no lists."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(by).orderBy(value))
+    ranked = counts.select(by, value, upto.alias("to"), (upto - F.col("n")).alias("from"), F.sum("n").over(Window.partitionBy(by)).alias("all"))
+    return ranked.where("from <= floor(all / 2) and floor(all / 2) < to").select(by, F.col(value).alias("median"))
 
 
 def shifted(boxes: DataFrame, shifts: list[tuple[float, float, float, float, float]], tol: float = 1.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,37 +15,38 @@ from pagewright.operators.layout import upper_median
 BASELINE, ROW_GAP, SPANS, CROSSING = 0.3, 2.2, 0.7, 0.08
 
 
-def first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Gives each line, from the top and then the left, to the first open row that it continues."""
-    pdf = pdf.sort_values(["y", "x", "id"], ascending=[False, True, True], kind="stable")
-    ends, heights, sizes, out = [], [], [], []
-    for x, y, width, size in pdf[["x", "y", "width", "size"]].itertuples(index=False):
-        at = -1
-        for r in range(len(ends)):
-            em = max(sizes[r], size)
-            if abs(heights[r] - y) <= BASELINE * em and -0.5 <= x - ends[r] < ROW_GAP * em:
-                at = r
-                break
-        if at < 0:
-            at = len(ends)
-            ends.append(x + width)
-            heights.append(y)
-            sizes.append(size)
-        else:
-            ends[at], sizes[at] = max(ends[at], x + width), max(sizes[at], size)
-        out.append(at)
-    return pdf[["page", "id", "x", "y", "width", "size"]].assign(row=out)
+def first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Gives each line, from the top and then the left, to the first open row that it continues. Lines come sorted; rows above the reach of the page's largest size are closed."""
+    page, number, rows = object(), 0, []
+    for pdf in batches:
+        out = []
+        for p, x, y, width, size, largest in zip(*(pdf[c].tolist() for c in ("page", "x", "y", "width", "size", "largest")), strict=True):
+            if p != page:
+                page, number, rows = p, 0, []
+            rows = [r for r in rows if r[2] - y <= BASELINE * largest]
+            for r in rows:
+                em = max(r[3], size)
+                if abs(r[2] - y) <= BASELINE * em and -0.5 <= x - r[1] < ROW_GAP * em:
+                    r[1], r[3] = max(r[1], x + width), max(r[3], size)
+                    break
+            else:
+                r = [number, x + width, y, size]
+                rows.append(r)
+                number += 1
+            out.append(r[0])
+        yield pdf[["page", "id", "x", "y", "width", "size"]].assign(row=out)
 
 
 def rows(lines: DataFrame) -> DataFrame:
     """(page, row, x0, x1, y, size, n_lines) of placed lines (page, id, x, y, width, size): a line joins the first open row with its baseline whose end it follows closely.
 
-    Which row takes a line hangs on all lines before it, so a page is one group; a page is bounded. Lines with a null
-    place belong to no row.
+    Which row takes a line hangs on the lines before it, so a page's lines are in one partition, sorted; they stream
+    through and only rows that can still take a line are held. Lines with a null place belong to no row.
     """
     kind = dict(lines.dtypes)
     placed = lines.select("page", "id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "size")]).dropna(subset=["x", "y", "width", "size"])
-    dealt = placed.groupBy("page").applyInPandas(first_fit, f"page {kind['page']}, id {kind['id']}, x double, y double, width double, size double, row int")
+    placed = placed.withColumn("largest", F.max("size").over(Window.partitionBy("page"))).sortWithinPartitions("page", F.desc("y"), "x", "id")
+    dealt = placed.mapInPandas(first_fit, f"page {kind['page']}, id {kind['id']}, x double, y double, width double, size double, row int")
     first = F.struct((-F.col("y")).alias("_y"), "x", "id")
     return dealt.groupBy("page", "row").agg(F.min("x").alias("x0"), F.max(F.col("x") + F.col("width")).alias("x1"), F.min_by("y", first).alias("y"), F.max("size").alias("size"), F.count("*").alias("n_lines"))
 
@@ -93,15 +96,16 @@ def leading(found: DataFrame) -> DataFrame:
     return upper_median(near, "page", "d").withColumnRenamed("median", "lead")
 
 
-def bullet_targets(lines: DataFrame, largest: float = 72.0) -> DataFrame:
+def bullet_targets(lines: DataFrame) -> DataFrame:
     """(page, id, target) for each bullet of lines (page, id, x, y, size, bullet): the line starting just right of it with the nearest baseline, a line above costing half as much again.
 
     A line off the bullet's baseline that another bullet owns is no target; of equals the first by id. Lines meet bullets
-    by page and band of 1.8 largest sizes, so a bullet sees a few lines, not its page. Bullets without a target are left out.
+    by page and band of 1.8 times the page's largest size, so a bullet sees a few lines, not its page. Bullets without a target are left out.
     """
-    band = lambda c: F.floor(F.col(c) / (1.8 * largest))
-    bullets = lines.where("bullet").select("page", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("size").alias("bs"))
-    bullets = bullets.select("*", F.explode(F.array(band("by") - 1, band("by"), band("by") + 1)).alias("band"))
+    lines = lines.withColumn("largest", F.max("size").over(Window.partitionBy("page")))
+    band = lambda c: F.floor(F.col(c) / (1.8 * F.col("largest")))
+    bullets = lines.where("bullet").select("page", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("size").alias("bs"), "largest")
+    bullets = bullets.select("*", F.explode(F.array(band("by") - 1, band("by"), band("by") + 1)).alias("band")).drop("largest")
     texts = lines.where(~F.col("bullet")).select("page", "id", "x", "y", "size", band("y").alias("band"))
     gap, dy = F.col("x") - F.col("bx"), F.col("y") - F.col("by")
     right = (gap > 0.25 * F.col("size"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.scalars import mask_digits
@@ -14,6 +14,9 @@ EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+"
 PHONE = r"\+?\(?[0-9][0-9 \t().-]{8,}[0-9]"
 AROUND = 28
 
+#: Documents of a block in which running lines are compared.
+BLOCK = 1000
+
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no from 0, text) of every line."""
@@ -34,9 +37,11 @@ def find_text(rows: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """A row for each hit: hit_no from 0, start and end in code points (end exclusive), the hit and a snippet. No shuffle: a line's hits are told from the gaps between them."""
     found = rows.select("*", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("_m")).where(F.size("_m") > 0)
     found = found.select("*", F.split(text, pattern, -1).alias("_g"))
-    found = found.withColumns({"_n": F.transform("_g", lambda g: F.length(g)), "_l": F.transform("_m", lambda m: F.length(m))})
-    size = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    hits = F.transform("_m", lambda m, i: F.struct(i.alias("hit_no"), (size(F.slice("_n", F.lit(1), i + 1)) + size(F.slice("_l", F.lit(1), i))).alias("start"), m.alias("hit")))
+    # one pass along the hits keeps where the last one ended and what was found so far
+    step = lambda s, i: F.struct((s["at"] + F.length(F.get("_g", i)) + F.length(F.get("_m", i))).alias("at"), F.concat(s["starts"], F.array(s["at"] + F.length(F.get("_g", i)))).alias("starts"))
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    found = found.withColumn("_s", F.aggregate(F.sequence(F.lit(0), F.size("_m") - 1), nothing, step, lambda s: s["starts"]))
+    hits = F.transform("_m", lambda m, i: F.struct(i.alias("hit_no"), F.get("_s", i).alias("start"), m.alias("hit")))
     out = found.select(*rows.columns, F.explode(hits).alias("_h")).select(*rows.columns, "_h.*")
     out = out.withColumn("end", F.col("start") + F.length("hit"))
     first, last = F.greatest(F.lit(0), F.col("start") - AROUND), F.least(F.length(text), F.col("end") + AROUND)
@@ -73,12 +78,16 @@ def contact_fields(docs: DataFrame) -> DataFrame:
 def running_lines(rows: DataFrame) -> DataFrame:
     """Lines whose text, with numbers masked, also stands in the document before or after: (doc_id, line_no, norm).
 
-    Neighbours' lines are counted per (document, text) first, so the join has one partner at most for each side.
+    Texts meet by 128 bits of hash, in blocks of BLOCK documents that also see the last document before and the first
+    after them: a line that stands in every document is dealt over all blocks, and a line's text moves once.
     """
-    normal = rows.select("doc_id", "line_no", mask_digits(F.col("text")).alias("norm")).where("norm <> ''")
-    each = normal.select("doc_id", "norm").distinct()
-    near = each.select((F.col("doc_id") + 1).alias("doc_id"), "norm").union(each.select((F.col("doc_id") - 1).alias("doc_id"), "norm")).distinct()
-    return normal.join(near, ["doc_id", "norm"], "left_semi")
+    masked = rows.select("doc_id", "line_no", mask_digits(F.col("text")).alias("norm")).where("norm <> ''")
+    at = F.floor(F.col("doc_id") / BLOCK)
+    others = F.array(F.when(F.pmod("doc_id", F.lit(BLOCK)) == 0, at - 1), F.when(F.pmod("doc_id", F.lit(BLOCK)) == BLOCK - 1, at + 1))
+    seen = masked.select("*", F.xxhash64(F.lit("a"), "norm").alias("h1"), F.xxhash64(F.lit("b"), "norm").alias("h2"), at.alias("home"), F.explode(F.array_compact(F.concat(F.array(at), others))).alias("block"))
+    same = Window.partitionBy("h1", "h2", "block").orderBy("doc_id")
+    near = (F.count("*").over(same.rangeBetween(-1, -1)) > 0) | (F.count("*").over(same.rangeBetween(1, 1)) > 0)
+    return seen.withColumn("near", near).where("near and home = block").select("doc_id", "line_no", "norm")
 
 
 def deduped(docs: DataFrame) -> DataFrame:

@@ -131,9 +131,7 @@ segs AS (SELECT page, line_no, seg_no::BIGINT AS seg_no, min(x) AS x, max(x + w)
 
 
 def second_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = items(spark, sf_dir)
-    n_lines = placed.groupBy("page").agg(F.countDistinct("line_no").alias("n_lines"))
-    return layout.second_column(layout.segments(placed), 595.0, n_lines)
+    return layout.second_column(layout.segments(items(spark, sf_dir)), 595.0)
 
 
 def sized_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,12 +150,12 @@ def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = read(spark, sf_dir, "events").where("event_type = 'error' and value > 60").select(F.col("user_id").alias("a"), F.get_json_object("props", "$.k").cast("long").alias("b"))
+    edges = read(spark, sf_dir, "events").select(F.col("user_id").alias("a"), F.get_json_object("props", "$.k").cast("long").alias("b"))
     return pages.reachable(edges, spark.range(1, 4))
 
 
 def reachable_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """reachable without its filter; it has no SQL."""
+    """reachable over distinct edges."""
     edges = read(spark, sf_dir, "events").select(F.col("user_id").alias("a"), F.get_json_object("props", "$.k").cast("long").alias("b"))
     return pages.reachable(edges.distinct(), spark.range(1, 4))
 
@@ -214,7 +212,15 @@ QUERIES = {
     "page_ranges": page_ranges,
 }
 
-#: delete_words has no SQL: tests hold it against a fold in Python.
+# the gaps between whole words that are the one, from right to left: what is kept of the rest, then what is kept of the gap before
+WORDS_DELETED = rf"""WITH RECURSIVE {LINES}, found AS (SELECT doc_id, line_no, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS m, string_split_regex(text, '[\p{{L}}\p{{N}}_]+') AS g FROM lines),
+joined AS (SELECT doc_id, line_no, text, string_split(g[1] || list_aggregate(list_transform(range(1, len(m) + 1), lambda i: CASE WHEN lower(m[i]) = '{WORD}' THEN chr(1) ELSE m[i] END || g[i + 1]), 'string_agg', ''), chr(1)) AS g FROM found WHERE list_contains(list_transform(m, lambda w: lower(w)), '{WORD}')),
+fold AS (SELECT doc_id, line_no, text, g, len(g) - 1 AS i, g[-1] AS rest FROM joined UNION ALL
+  SELECT doc_id, line_no, text, g, i - 1, CASE WHEN starts_with(rest, ' ') AND ((i = 1 AND g[i] = '') OR ends_with(g[i], ' ')) THEN g[i] || rest[2:]
+    WHEN ends_with(g[i], ' ') AND (rest = '' OR regexp_matches(rest, '^[\s.,;:!?)]')) THEN g[i][:-2] || rest ELSE g[i] || rest END FROM fold WHERE i > 0)
+SELECT doc_id, line_no, rest AS deleted FROM fold WHERE i = 0 AND rest <> text"""
+REACHED = """WITH RECURSIVE edges AS (SELECT DISTINCT user_id AS a, (props->>'$.k')::BIGINT AS b FROM events),
+seen AS (SELECT unnest([1, 2, 3])::BIGINT AS id UNION SELECT e.b FROM seen s JOIN edges e ON e.a = s.id) SELECT id FROM seen"""
 ORACLE_SQL = {
     "lines": f"WITH {LINES} SELECT doc_id, line_no, text FROM lines",
     "find_text_plain": f"WITH {hits_sql(f'(?i){QUERY}')} SELECT {HIT_COLUMNS} FROM hits",
@@ -222,6 +228,7 @@ ORACLE_SQL = {
     "find_text_whole_word": "WITH " + hits_sql(r"[\p{L}\p{N}_]+", f"lower(hit) = '{WORD}'") + f" SELECT {HIT_COLUMNS} FROM hits",
     "find_summary": f"WITH {hits_sql(f'(?i){QUERY}')}, n AS (SELECT doc_id, count(*) AS n FROM hits GROUP BY doc_id) SELECT source, coalesce(sum(n), 0)::BIGINT AS n_hits, count(n) AS n_docs_hit, count(*) AS n_docs FROM documents LEFT JOIN n USING (doc_id) GROUP BY source",
     "replace_all": f"WITH {LINES} SELECT doc_id, line_no, len(regexp_extract_all(text, '(?i){QUERY}'))::BIGINT AS n_hits, regexp_replace(text, '(?i){QUERY}', '$EA', 'g') AS replaced FROM lines WHERE regexp_matches(text, '(?i){QUERY}')",
+    "delete_words": WORDS_DELETED,
     "contact_fields": f"SELECT doc_id, nullif(regexp_extract(text, '{text.EMAIL}'), '') AS email, nullif(regexp_extract(text, '{text.PHONE}'), '') AS phone FROM documents",
     "running_lines": f"""WITH {LINES}, normal AS (SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(text, '[0-9]+', '#', 'g'), '{SPACE}+', ' ', 'g')) AS norm FROM lines)
 SELECT doc_id, line_no, norm FROM normal n WHERE norm <> '' AND EXISTS (SELECT 1 FROM normal o WHERE o.norm = n.norm AND (o.doc_id = n.doc_id + 1 OR o.doc_id = n.doc_id - 1))""",
@@ -253,8 +260,8 @@ SELECT doc_id, line_no, (d2 + CASE WHEN x1 <= 401 AND mid + d2 BETWEEN 5000 AND
     "reorder_pages": "SELECT conv_id, turn, CASE WHEN max(turn) OVER (PARTITION BY conv_id) < 3 THEN turn WHEN turn = 1 THEN 3 WHEN turn > 1 AND turn <= 3 THEN turn - 1 ELSE turn END AS new_at FROM conversations",
     "every_n_pages": "SELECT conv_id, turn // 2 AS part, CASE WHEN min(turn) = max(turn) THEN (min(turn) + 1)::VARCHAR ELSE (min(turn) + 1) || '-' || (max(turn) + 1) END AS label, count(*) AS n_pages FROM conversations GROUP BY conv_id, turn // 2",
     "current_lines": "SELECT user_id AS doc, event_type AS line, max(event_id) AS version, arg_max(value, event_id) AS value, count(*) AS n_edits FROM events GROUP BY ALL",
-    "reachable": """WITH RECURSIVE edges AS (SELECT DISTINCT user_id AS a, (props->>'$.k')::BIGINT AS b FROM events WHERE event_type = 'error' AND value > 60),
-seen AS (SELECT unnest([1, 2, 3])::BIGINT AS id UNION SELECT e.b FROM seen s JOIN edges e ON e.a = s.id) SELECT id FROM seen""",
+    "reachable": REACHED,
+    "reachable_all_events": REACHED,
     "written_dates": """WITH w AS (SELECT o_orderkey, o_orderdate AS d, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%m/%Y') WHEN 1 THEN strftime(o_orderdate, '%b %Y') WHEN 2 THEN strftime(o_orderdate, '%Y') ELSE 'Present' END AS said FROM orders)
 SELECT o_orderkey, said, CASE o_orderkey % 4 WHEN 2 THEN strftime(d, '%Y') WHEN 3 THEN '' ELSE strftime(d, '%Y-%m') END AS norm FROM w""",
     "written_sizes": """WITH w AS (SELECT p_partkey, p_size, p_partkey % 4 AS k, p_size || CASE p_partkey % 4 WHEN 0 THEN ' KB' WHEN 1 THEN ',5 mb' WHEN 2 THEN '' ELSE ' bytes' END AS said FROM part),

@@ -77,7 +77,7 @@ QUERIES = {
     "gutters": lambda s, d: reading.gutters(rows(s, d).select("page", (F.col("x0") % 300).alias("x0"), (F.col("x0") % 300 + F.least(F.lit(40.0), F.col("x1") - F.col("x0"))).alias("x1")), WIDTH, 3.0),
     "column_gutters": lambda s, d: reading.column_gutters(placed_lines(s, d).select("page", F.col("x").alias("x0"), (F.col("x") + F.col("width")).alias("x1")), MIN_GAP),
     "leading": lambda s, d: reading.leading(rows(s, d)),
-    "bullet_targets": lambda s, d: reading.bullet_targets(marks(s, d), 10.0),
+    "bullet_targets": lambda s, d: reading.bullet_targets(marks(s, d)),
     "grid_runs": lambda s, d: longs(reading.grid_runs(layout.segments(items(s, d)))),
     "fill_form": fill_form,
     "form_counter": form_counter,
@@ -86,7 +86,7 @@ QUERIES = {
     "split_titles": titles,
     "delete_page": lambda s, d: pages.without_page(turns(s, d), 1),
     "duplicate_page": lambda s, d: pages.with_copy(turns(s, d), 1),
-    "merge_pages": lambda s, d: pages.appended(turns(s, d), turns(s, d).where("turn < 2")),
+    "merge_pages": lambda s, d: pages.appended(turns(s, d), turns(s, d)),
     "merge_all_pages": lambda s, d: pages.appended(turns(s, d), turns(s, d)),
 }
 
@@ -94,6 +94,7 @@ ROWS = f"""{SEGMENTS},
 ends AS (SELECT *, 842 - 14.0::DOUBLE * line_no AS y, lag(x1) OVER (PARTITION BY page, line_no ORDER BY x) AS upto FROM segs),
 dealt AS (SELECT *, sum(CASE WHEN upto IS NULL OR x - upto >= 22 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY line_no, x)::BIGINT - 1 AS row FROM ends),
 found AS (SELECT page, row, min(x) AS x0, max(x1) AS x1, max(y) AS y, 10.0::DOUBLE AS size, count(*) AS n_lines FROM dealt GROUP BY page, row)"""
+MERGED = "SELECT conv_id, turn, turn AS new_at FROM conversations UNION ALL SELECT conv_id, turn, turn + 1 + max(turn) OVER (PARTITION BY conv_id) FROM conversations"
 FORM = """c AS (SELECT c_custkey AS doc, c_name, c_acctbal > 5000 AS rich, c_mktsegment IN ('BUILDING', 'MACHINERY') AS listed, c_mktsegment FROM customer)"""
 
 ORACLE_SQL = {
@@ -128,7 +129,8 @@ SELECT o_orderkey, CASE k WHEN 1 THEN b WHEN 2 THEN a || ' – Present' ELSE a |
 SELECT p_partkey, p_name || CASE k WHEN 0 THEN ' at ' WHEN 1 THEN ' | ' WHEN 2 THEN ', ' ELSE ' ' END || p_brand AS said, CASE WHEN k = 3 THEN n || ' ' || p_brand ELSE n END AS title, CASE WHEN k = 3 THEN '' ELSE p_brand END AS place FROM t""",
     "delete_page": "WITH c AS (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, turn, CASE WHEN n > 1 AND turn > 1 THEN turn - 1 ELSE turn END AS new_at FROM c WHERE n = 1 OR turn <> 1",
     "duplicate_page": "SELECT conv_id, turn, false AS is_copy, CASE WHEN turn > 1 THEN turn + 1 ELSE turn END AS new_at FROM conversations UNION ALL SELECT conv_id, turn, true, turn + 1 FROM conversations WHERE turn = 1",
-    "merge_pages": "SELECT conv_id, turn, turn AS new_at FROM conversations UNION ALL SELECT conv_id, turn, turn + 1 + max(turn) OVER (PARTITION BY conv_id) FROM conversations QUALIFY turn < 2",
+    "merge_pages": MERGED,
+    "merge_all_pages": MERGED,
 }
 LUM = "(0.2126::DOUBLE * f(r / 255) + 0.7152::DOUBLE * f(g / 255) + 0.0722::DOUBLE * f(b / 255))"
 for part in ("r", "g", "b"):
