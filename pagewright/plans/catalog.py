@@ -14,8 +14,6 @@ from pagewright.operators import layout, pages, resume, text
 
 QUERY = "ea"
 WORD = "the"
-#: Headings as this corpus has them: normal form to section.
-HEADINGS = {"of": "summary", "and ornd": "experience", "ietzte": "education", "le treque": "skills"}
 #: Two blocks trade places by way of one far off.
 SWAP = [(0, 400, 0, 200, 5000), (0, 400, 200, 400, -200), (0, 400, 5000, 5200, -4800)]
 
@@ -104,11 +102,7 @@ def parser_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resume.score(keyword_match(spark, sf_dir), parser_risks(spark, sf_dir)).select("doc_id", "kw_score", "parse", "score")
-
-
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(resume.sections(doc_lines(spark, sf_dir), HEADINGS).select("doc_id", "line_no", "is_heading", "section"))
+    return resume.checked_texts(read(spark, sf_dir, "documents"), job_words(spark, sf_dir)).select("doc_id", "kw_score", "parse", "score")
 
 
 def jagged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +189,6 @@ QUERIES = {
     "keyword_match": keyword_match,
     "parser_risks": parser_risks,
     "score": score,
-    "sections": sections,
     "anchor_lines": anchor_lines,
     "segments": segments,
     "second_column": second_column,
@@ -239,9 +232,6 @@ SELECT page_id, link, CASE WHEN regexp_matches(link, '^([a-z]+\.)?linkedin\.com/
     "keyword_match": f"WITH {JD}, {MATCHES} SELECT doc_id, found, kw_score FROM scored",
     "parser_risks": f"WITH {RISKS} SELECT doc_id, notext, contact, dates, glyphs, parse FROM graded",
     "score": f"WITH {JD}, {MATCHES}, {RISKS} SELECT doc_id, kw_score, parse, floor(0.6::DOUBLE * kw_score + 0.4::DOUBLE * parse + 0.5)::BIGINT AS score FROM scored JOIN graded USING (doc_id)",
-    "sections": rf"""WITH {LINES}, keyed AS (SELECT doc_id, line_no, lower(regexp_replace(trim(regexp_replace(regexp_replace(text, '{SPACE}+', ' ', 'g'), ' +([,;:])', '\1', 'g')), '[:.]+$', '')) AS k FROM lines),
-headed AS (SELECT *, CASE k {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in HEADINGS.items())} END AS h FROM keyed)
-SELECT doc_id, line_no, h IS NOT NULL AS is_heading, last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM headed""",
     "anchor_lines": f"""WITH RECURSIVE {ITEMS}, tops AS (SELECT page, 40 + 3.0::DOUBLE * line_no AS top, count(*) AS n FROM items GROUP BY ALL),
 anchors AS (SELECT page, min(top) AS top FROM tops GROUP BY page UNION ALL SELECT a.page, min(t.top) FROM anchors a JOIN tops t ON t.page = a.page AND t.top > a.top + 4.5 GROUP BY a.page),
 numbered AS (SELECT page, top, row_number() OVER (PARTITION BY page ORDER BY top) - 1 AS line FROM anchors)
