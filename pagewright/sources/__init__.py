@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Files in and out."""

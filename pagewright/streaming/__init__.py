@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Edit logs as streams."""

@@ -5,9 +5,9 @@ from conftest import SF, rows_of, rows_of_sql
 
 import __spark_entry__
 from pagewright.operators import painted, resume
-from pagewright.plans import checker, editing, geometry, matching, painting, scripts, writing
+from pagewright.plans import checker, editing, files, geometry, matching, painting, readings, scripts, writing
 
-NEW = (checker, editing, geometry, matching, painting, scripts, writing)
+NEW = (checker, editing, files, geometry, matching, painting, readings, scripts, writing)
 
 
 @pytest.mark.parametrize(("module", "name"), [(m, n) for m in NEW for n in sorted(m.ORACLE_SQL)])
