@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType
 
 # What a file's first bytes and trailer say, and the tags of font tables and pictures.
 PDF, JPEG, PNG = "%PDF-", "FFD8FF", "89504E470D0A1A0A"
@@ -68,7 +69,7 @@ def orientation(data: bytes) -> int:
     return 1
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def picture_orientation(content: pd.Series) -> pd.Series:
     return content.map(lambda b: 1 if b is None else orientation(bytes(b)))
 
@@ -80,7 +81,7 @@ def inflate(data: bytes | None) -> bytes | None:
         return None
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def inflated(content: pd.Series) -> pd.Series:
     """What a deflated stream holds; null if it is broken."""
     return content.map(inflate)

@@ -1,5 +1,9 @@
 """Every query of the library against its SQL, and small fixtures of its operators."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from conftest import SF, rows_of, rows_of_sql
 
@@ -34,3 +38,9 @@ def test_bullet_items_of_several_lists(spark):
     lines = spark.createDataFrame([(*r, 10.0) for r in rows], "doc string, line_no int, text string, gap double, size double")
     got = sorted((r["doc"], r["item"], r["text"]) for r in resume.bullet_items(lines, "doc").collect())
     assert got == [("a", 0, "one goes on"), ("a", 1, "Far off"), ("b", 0, "plain"), ("b", 1, "two")]
+
+
+def test_entry_imports_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 130 and set(e.oracle_sql()) <= set(e.queries())"
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(__spark_entry__.__file__), capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-500:]
