@@ -137,15 +137,12 @@ def operations(text: str) -> list[tuple[str, list[str], int, int]]:
         elif kind == "dict":
             at = dict_end(text, at)
         if kind == "arr":
-            if m[0] == "[":
-                if not depth:
-                    opened = first
-                    start = first if start < 0 else start
-                depth += 1
-            else:
-                depth = max(0, depth - 1)
-                if not depth:
-                    operands.append(text[opened:at])
+            if not depth:
+                opened = first
+                start = first if start < 0 else start
+            depth = max(0, depth + (1 if m[0] == "[" else -1))
+            if not depth:
+                operands.append(text[opened:at])
             continue
         if kind == "word" and not NUMBER.match(m[0]) and m[0] not in ("true", "false", "null"):
             out.append((m[0], operands, start if start >= 0 else first, at))

@@ -28,7 +28,7 @@ def test_every_query_of_the_library_has_sql():
 
 def test_stream_operators_of_broken_streams():
     assert painted.operations("") == [] and painted.operations("(never closed") == [] and painted.operations("<< /A (x") == []
-    assert [o[:2] for o in painted.operations("] 1 [2 q 3 Q")] == [("q", ["1"]), ("Q", ["3"])]
+    assert [o[:2] for o in painted.operations("] 1 [2 q 3 Q")] == [("q", ["]", "1"]), ("Q", ["3"])]
     assert [o[0] for o in painted.operations("BI /W 1 ID \x00\x01EIx EI Q")] == ["BI", "ID", "EI", "Q"]
     assert painted.operations("(" * 50_000 + ")" * 50_000 + " Tj")[0][0] == "Tj"
 

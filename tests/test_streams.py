@@ -21,7 +21,7 @@ def test_windows_of_a_stream_equal_those_of_a_table(spark, tmp_path):
 def test_files_are_read_and_checked(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 \xe9\xff text")
     (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4 /Encrypt 12 0 R")
-    (tmp_path / "c.txt").write_bytes(b"")
+    (tmp_path / "c.txt").write_bytes(b"plain")
     got = {r["name"]: (r["kind"], r["code"]) for r in files.checked_files(files.read_files(spark, str(tmp_path))).collect()}
     assert got == {"a.pdf": ("pdf", None), "b.pdf": ("pdf", "encrypted"), "c.txt": ("other", "invalid")}
     back = files.read_files(spark, str(tmp_path), "a.pdf").select(files.latin_bytes(files.latin_text(F.col("content"))).alias("b")).first()["b"]
