@@ -1,6 +1,6 @@
 """The queries of the corpus operators and their SQL."""
 
-from pagewright.llm import chat, decontamination, embedding_dedup, html_extract, line_dedup, mixing, pii, quality, sharding, simhash
+from pagewright.llm import chat, clustering, decontamination, embedding_dedup, html_extract, line_dedup, mixing, negatives, pii, quality, sharding, simhash
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_sharding": sharding.op9_sharding,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_clustering": clustering.op11_clustering,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
 }
 
 #: The others are tested against brute force, a round trip or held-out accuracy in tests/llm.
@@ -23,4 +25,6 @@ ORACLE_SQL = {
     "op4_mixing": mixing.OP4_SQL,
     "op7_pii": pii.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_clustering": clustering.OP11_SQL,
+    "op12_hard_negatives": negatives.OP12_SQL,
 }
