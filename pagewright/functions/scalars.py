@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,28 @@ MONTHS = {"jan": "01", "feb": "02", "mar": "03", "apr": "04", "may": "05", "jun"
 PRESENT = "present|current|till|now|ongoing|today"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once: an expression inside a lambda function is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The states that a fold of an array passes through, one for each value.
+
+    Appending copies an array, so the fold goes in chunks of the square root of the array's length: a long line takes
+    time in proportion to the power of 1.5 of its length, in copies of references only.
+    """
+
+    def folded(v: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(v) / width).cast("int") - 1)), lambda i: F.slice(v, i * width + 1, width))
+        within = lambda state, chunk: F.aggregate(chunk, F.array(state), lambda out, x: F.array_append(out, step(F.element_at(out, -1), x)))
+        parts = F.aggregate(chunks, F.array(F.array(start)), lambda outs, chunk: F.array_append(outs, within(F.element_at(F.element_at(outs, -1), -1), chunk)))
+        return F.flatten(F.transform(F.slice(parts, F.lit(2), F.size(chunks)), lambda part: F.slice(part, F.lit(2), F.size(part) - 1)))
+
+    return let(values, folded)
+
+
 def js_round(x: Column) -> Column:
     """Halves go up, for negative numbers too."""
     return F.floor(x.cast("double") + 0.5)

@@ -8,16 +8,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.scalars import js_round
+from pagewright.functions.scalars import js_round, running
 
 
 def items_of(rows: DataFrame) -> DataFrame:
     """Words of lines as positioned items (page, line_no, seq, s, x, w, top, h), when a source has no geometry: 7 points a character across, 6 of them drawn, 14 a line, 10 high."""
     found = rows.select("doc_id", "line_no", F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)).alias("s"), F.split("text", "[^ ]+", -1).alias("g"))
-    words = found.select("doc_id", "line_no", F.posexplode(F.transform("s", lambda s, i: F.struct(s.alias("s"), F.length(F.get("g", i)).alias("gap")))).alias("seq", "_w"))
-    upto = Window.partitionBy("doc_id", "line_no").orderBy("seq")
+    ends = running(F.zip_with("s", F.slice("g", 1, F.size("s")), lambda s, g: F.length(g) + F.length(s)), F.lit(0), lambda at, n: at + n)
+    words = found.select("doc_id", "line_no", F.posexplode(F.arrays_zip(F.col("s").alias("s"), ends.alias("end"))).alias("seq", "_w"))
     n = F.length("_w.s")
-    at = F.sum(F.col("_w.gap") + n).over(upto) - n
+    at = F.col("_w.end") - n
     return words.select(F.col("doc_id").alias("page"), "line_no", "seq", F.col("_w.s").alias("s"), (40 + 7 * at).cast("double").alias("x"), (6 * n).cast("double").alias("w"), (40 + 14 * F.col("line_no")).cast("double").alias("top"), F.lit(10.0).alias("h"))
 
 

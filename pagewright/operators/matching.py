@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import fonts
-from pagewright.functions.scalars import js_round, mask_digits
+from pagewright.functions.scalars import js_round, let, mask_digits, running
 
 # Sizes of a photograph in points and its place.
 PHOTO = {"side": (40, 300), "shape": (0.7, 1.4), "top": 0.4, "left": 0.35, "width": 0.6}
@@ -136,15 +136,19 @@ def item_shifts(items: DataFrame, shifts: list[dict], tol: float = 1.0) -> DataF
 
 def wrapped(rows: DataFrame, char_width: float, room: str, text: str = "text") -> DataFrame:
     """rows with wrapped: the text's words in lines that fit in `room`, a quarter point more at most; words have a fixed width a character."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+    words = F.filter(F.split(F.btrim(F.regexp_replace(text, r"\s+", " ")), " "), lambda w: w != "")
 
-    def add(s: Column, w: Column) -> Column:
-        longer = F.concat(s["line"], F.lit(" "), w)
-        fits = F.length(longer) * char_width <= F.col(room) + 0.25
-        return F.when(s["line"] == "", F.struct(s["done"].alias("done"), w.alias("line"))).when(fits, F.struct(s["done"].alias("done"), longer.alias("line"))).otherwise(F.struct(F.array_append(s["done"], s["line"]).alias("done"), w.alias("line")))
+    def lines(w: Column) -> Column:
+        # the state after each word: characters of its line, and the line's number
+        add = lambda s, n: F.when((s["line"] >= 0) & ((s["n"] + 1 + n) * char_width <= F.col(room) + 0.25), F.struct((s["n"] + 1 + n).alias("n"), s["line"].alias("line"))).otherwise(F.struct(n.alias("n"), (s["line"] + 1).alias("line")))
+        at = F.transform(running(F.transform(w, F.length), F.struct(F.lit(0).alias("n"), F.lit(-1).alias("line")), add), lambda s: s["line"])
+        return let(at, lambda a: broken(w, a))
 
-    words = F.filter(F.split(F.btrim(F.regexp_replace(text, r"\s+", " ")), " "), lambda w: w != "")
-    return rows.withColumn("wrapped", F.aggregate(words, start, add, lambda s: F.when(s["line"] == "", s["done"]).otherwise(F.array_append(s["done"], s["line"]))))
+    def broken(w: Column, a: Column) -> Column:
+        starts = F.filter(F.transform(a, lambda x, i: F.when((i == 0) | (F.get(a, i - 1) < x), i)), lambda i: i.isNotNull())
+        return let(starts, lambda s: F.transform(s, lambda i, k: F.array_join(F.slice(w, i + 1, F.coalesce(F.get(s, k + 1), F.size(w)) - i), " ")))
+
+    return rows.withColumn("wrapped", F.when(F.col(text).isNotNull(), let(words, lines)))
 
 
 def repointed(refs: DataFrame, copies: DataFrame) -> DataFrame:

@@ -64,10 +64,10 @@ def appended(pages: DataFrame, more: DataFrame, by: str = "conv_id", at: str = "
 
 
 def with_blank(pages: DataFrame, after: int, by: str = "conv_id", at: str = "turn") -> DataFrame:
-    """pages (w, h, base_rot, rot) with new_at and is_blank: an empty page after page `after`, as large as that one is displayed; A4 if there is none."""
+    """pages (w, h, base_rot, rot) with new_at and is_blank: an empty page after page `after`, as large as that one is displayed; A4 if there is none. In a shorter document it comes last."""
     seen = display_size(F.col("w"), F.col("h"), total_rotation(F.col("base_rot"), F.col("rot")))
     like = pages.where(F.col(at) == after).select(by, seen.alias("_s"))
-    blank = pages.select(by).distinct().join(like, by, "left").select(by, F.lit(None).cast(dict(pages.dtypes)[at]).alias(at), F.coalesce(F.get("_s", F.lit(0)), F.lit(A4[0])).alias("w"), F.coalesce(F.get("_s", F.lit(1)), F.lit(A4[1])).alias("h"), F.lit(0).alias("base_rot"), F.lit(0).alias("rot"), F.lit(after + 1).cast("long").alias("new_at"), F.lit(True).alias("is_blank"))
+    blank = pages.groupBy(by).agg((F.max(at) + 1).alias("_n")).join(like, by, "left").select(by, F.lit(None).cast(dict(pages.dtypes)[at]).alias(at), F.coalesce(F.get("_s", F.lit(0)), F.lit(A4[0])).alias("w"), F.coalesce(F.get("_s", F.lit(1)), F.lit(A4[1])).alias("h"), F.lit(0).alias("base_rot"), F.lit(0).alias("rot"), F.least(F.lit(after + 1), F.col("_n")).cast("long").alias("new_at"), F.lit(True).alias("is_blank"))
     moved = pages.select(by, at, "w", "h", "base_rot", "rot", (F.col(at) + (F.col(at) > after).cast("int")).cast("long").alias("new_at"), F.lit(False).alias("is_blank"))
     return moved.unionByName(blank)
 
@@ -159,7 +159,8 @@ def verified_edits(pages: DataFrame, edits: DataFrame) -> DataFrame:
     often as the new texts hold it.
     """
     bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    times = lambda hay, needle: F.when(needle == "", 0).otherwise(F.size(F.split(hay, F.concat(F.lit(r"\Q"), needle, F.lit(r"\E")), -1)) - 1)
+    # plain text, not an expression: what goes with all uses of the needle, in lengths of it
+    times = lambda hay, needle: F.when(needle == "", 0).otherwise(((F.length(hay) - F.length(F.replace(hay, needle, F.lit("")))) / F.length(needle)).cast("int"))
     e = edits.select("page", "id", bare("old").alias("old"), bare("new").alias("new"))
     same = Window.partitionBy("page", "old")
     news = e.groupBy("page").agg(F.array_join(F.collect_list("new"), "\u0001").alias("news"))

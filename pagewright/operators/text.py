@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.scalars import mask_digits
+from pagewright.functions.scalars import mask_digits, running
+from pagewright.session import join_spread
 
 # Patterns of contact fields, and code points around a hit in its snippet.
 EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+"
@@ -34,16 +35,12 @@ def find_pattern(query: str, whole_word: bool = False, match_case: bool = False)
 
 
 def find_text(rows: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    """A row for each hit: hit_no from 0, start and end in code points (end exclusive), the hit and a snippet. No shuffle: a line's hits are told from the gaps between them."""
+    """A row for each hit: hit_no from 0, start and end in code points (end exclusive), the hit and a snippet. No shuffle: a line's hits are told from the gaps between them by running sums."""
     found = rows.select("*", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("_m")).where(F.size("_m") > 0)
     found = found.select("*", F.split(text, pattern, -1).alias("_g"))
-    # one pass along the hits keeps where the last one ended and what was found so far
-    step = lambda s, i: F.struct((s["at"] + F.length(F.get("_g", i)) + F.length(F.get("_m", i))).alias("at"), F.concat(s["starts"], F.array(s["at"] + F.length(F.get("_g", i)))).alias("starts"))
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    found = found.withColumn("_s", F.aggregate(F.sequence(F.lit(0), F.size("_m") - 1), nothing, step, lambda s: s["starts"]))
-    hits = F.transform("_m", lambda m, i: F.struct(i.alias("hit_no"), F.get("_s", i).alias("start"), m.alias("hit")))
-    out = found.select(*rows.columns, F.explode(hits).alias("_h")).select(*rows.columns, "_h.*")
-    out = out.withColumn("end", F.col("start") + F.length("hit"))
+    ends = running(F.zip_with("_m", F.slice("_g", 1, F.size("_m")), lambda m, g: F.length(g) + F.length(m)), F.lit(0), lambda at, n: at + n)
+    found = found.select(*rows.columns, F.posexplode(F.arrays_zip(F.col("_m").alias("hit"), ends.alias("end"))).alias("hit_no", "_h"))
+    out = found.select(*rows.columns, "hit_no", (F.col("_h.end") - F.length("_h.hit")).alias("start"), "_h.hit", "_h.end")
     first, last = F.greatest(F.lit(0), F.col("start") - AROUND), F.least(F.length(text), F.col("end") + AROUND)
     snippet = F.concat(F.when(first > 0, "…").otherwise(""), F.substring(F.col(text), first + 1, last - first), F.when(last < F.length(text), "…").otherwise(""))
     return out.withColumn("snippet", snippet)
@@ -91,10 +88,11 @@ def running_lines(rows: DataFrame) -> DataFrame:
 
 
 def deduped(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_id, is_copy): equal contents point to the smallest id. Contents are compared by SHA-256; a hot content is one row per task before it moves."""
+    """(doc_id, first_id, is_copy): equal contents point to the smallest id. Contents are compared by SHA-256; a hot content is one row per task before it is counted, and its documents are dealt over many tasks to meet it."""
     keyed = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
-    first = keyed.groupBy("key").agg(F.min("doc_id").alias("first_id"))
-    return keyed.join(first, "key").select("doc_id", "first_id", (F.col("doc_id") != F.col("first_id")).alias("is_copy"))
+    first = keyed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    met = join_spread(keyed, first, ["key"], "n", docs.count(), F.xxhash64("doc_id"))
+    return met.select("doc_id", "first_id", (F.col("doc_id") != F.col("first_id")).alias("is_copy"))
 
 
 def normal_links(pages: DataFrame) -> DataFrame:

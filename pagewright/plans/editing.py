@@ -146,7 +146,7 @@ SELECT doc, name, pos AS "at", state AS "on", coalesce((SELECT arg_max(o.option,
     "signatures": "SELECT o_orderkey AS doc, o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0 OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 2 AND l_quantity > 25) AS signed FROM orders",
     "blank_page": """WITH p AS (SELECT conv_id, turn::BIGINT AS turn, (300 + (conv_id + turn) % 50)::DOUBLE AS w, (400 + (conv_id + turn) % 70)::DOUBLE AS h, ((conv_id + turn) % 4 * 90 + (conv_id + turn) % 3 * 90) % 180 = 90 AS sideways FROM conversations)
 SELECT conv_id, turn, w, h, turn + (turn > 2)::INT AS new_at, false AS is_blank FROM p UNION ALL
-SELECT conv_id, NULL, coalesce(max(CASE WHEN turn = 2 THEN CASE WHEN sideways THEN h ELSE w END END), 595.28::DOUBLE), coalesce(max(CASE WHEN turn = 2 THEN CASE WHEN sideways THEN w ELSE h END END), 841.89::DOUBLE), 3, true FROM p GROUP BY conv_id""",
+SELECT conv_id, NULL, coalesce(max(CASE WHEN turn = 2 THEN CASE WHEN sideways THEN h ELSE w END END), 595.28::DOUBLE), coalesce(max(CASE WHEN turn = 2 THEN CASE WHEN sideways THEN w ELSE h END END), 841.89::DOUBLE), least(3, max(turn) + 1), true FROM p GROUP BY conv_id""",
     "part_links": """WITH t AS (SELECT conv_id AS doc, turn::BIGINT AS page, CASE WHEN turn % 3 = 2 THEN 0 ELSE turn + 1 END AS target FROM conversations), has AS (SELECT DISTINCT conv_id AS doc, turn AS page FROM conversations),
 l AS (SELECT t.* FROM t JOIN has ON has.doc = t.doc AND has.page = t.target AND t.target // 2 = t.page // 2)
 SELECT doc, page // 2 AS part, page % 2 AS page_at, target % 2 AS target_at, 'l' || page AS link FROM l UNION ALL SELECT doc, page // 2, 2, target % 2, 'l' || page FROM l WHERE page % 2 = 0""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +19,8 @@ def edit_windows(edits: DataFrame, width: str = "1 hour", late: str = "1 day") -
 
 
 def follow(table: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Writes a stream of windows to Parquet files as they close; starts again from its checkpoint, by default beside those of the session."""
-    place = checkpoint or f"{shared_folder(table.sparkSession)}/follow-{abs(hash(path))}"
+    """Writes a stream of windows to Parquet files as they close; starts again from its checkpoint, by default one named by the path in the folder of spark.checkpoint.dir, which must be set then."""
+    if not checkpoint and not table.sparkSession.conf.get("spark.checkpoint.dir", None):
+        raise ValueError("set spark.checkpoint.dir or give a checkpoint: a new folder each time would read everything again")
+    place = checkpoint or f"{shared_folder(table.sparkSession)}/follow-{hashlib.sha256(path.encode()).hexdigest()[:32]}"
     return table.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", place).trigger(availableNow=True).start()
