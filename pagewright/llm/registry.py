@@ -1,6 +1,6 @@
 """The queries of the corpus operators and their SQL."""
 
-from pagewright.llm import chat, clustering, decontamination, embedding_dedup, html_extract, line_dedup, mixing, negatives, pii, quality, sharding, simhash
+from pagewright.llm import chat, clustering, decontamination, embedding_dedup, html_extract, line_dedup, mixing, negatives, pii, quality, sharding, simhash, winnowing
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_clustering": clustering.op11_clustering,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_fingerprints": winnowing.op13_fingerprints,
 }
 
 #: The others are tested against brute force, a round trip or held-out accuracy in tests/llm.
