@@ -126,19 +126,20 @@ def trim_edges(ocr: Column, refs: Column) -> Column:
     return F.when(first.isNull() | (last < first), "").otherwise(F.array_join(F.slice(chars, first + 1, last - first + 1), ""))
 
 
-def decision(layer: Column, flagged: Column, font: Column, complete: Column, learned: Column, ocr: Column, legacy: Column, rule: str = "letters") -> Column:
+def decision(layer: Column, flagged: Column, font: Column, complete: Column, learned: Column, ocr: Column, legacy: Column, rule: str = "letters", contradicts: Column | None = None) -> Column:
     """(decision, source): what becomes of a line with three readings, any but the layer null; the first rule that holds.
 
     A font of the old kind is always confirmed. A complete font reading that equals the layer makes it text; so does OCR
     that agrees with it, silently if the layer was flagged. A reading learned from the document needs the letters of
-    OCR. All else is confirmed. `font` must not contradict: its complete letters differ from the layer's.
+    OCR. All else is confirmed. The font must not contradict the layer: `contradicts` tells it by sure graphemes
+    (readings.contradicted); without it, complete letters that differ do.
     """
     same = F.lit(False)
     if rule == "letters":
         same = (F.length(letters(layer)) > 0) & (letters(ocr) == letters(layer))
     elif rule == "exact":
         same = (F.length(letters(layer)) > 0) & (plain(ocr) == plain(layer))
-    contra = F.coalesce(complete & (letters(font) != letters(layer)), F.lit(False))
+    contra = F.coalesce(complete & (letters(font) != letters(layer)) if contradicts is None else contradicts, F.lit(False))
     exact = F.lit(rule == "letters") | (plain(font) == plain(ocr))
     by_font = ~flagged & font.isNotNull() & complete & ~learned & (compare_key(font) == compare_key(layer))
     by_ocr = ocr.isNotNull() & same & ~contra
