@@ -1,16 +1,17 @@
-"""Near copies by exact Jaccard similarity of word shingles (the pipeline's near-dedup stage).
+"""Near copies by exact Jaccard similarity of word shingles: a prefix-filtered set join (the pipeline's near-dedup stage).
 
-SimHash fingerprints in the anchor cells of operator 8 propose the nearest pairs. A similarity of 0.8 leaves fingerprints 5
-to 10 bits apart, beyond any covering that cells could hold: MinHash bands propose those pairs.
+Operator 8's fingerprints and anchors link the nearest texts first; a similarity of 0.8 leaves fingerprints 5 to 10 bits
+apart, beyond any covering that cells could hold, so the other links come from the set join, which loses none.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +21,12 @@ from pagewright.llm.simhash import fingerprint_links
 WORDS_A_SHINGLE = 5
 #: Two texts are near copies if 5 * |A and B| >= 4 * |A or B|: similarity 0.8 or more, in whole numbers.
 PART, WHOLE = 4, 5
-#: Two texts with similarity s share a band with probability 1 - (1 - s^5)^20: 0.9996 at 0.8.
-BANDS, ROWS_A_BAND = 20, 5
-#: Cells with more texts are compared with PICKS of their texts a round, smaller ones pair by pair.
-CELL, PICKS = 16, 6
-SEEDS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS_A_BAND), np.uint64)
+#: Shingles of a part of the hash space, which one group counts, and of a batch of texts that a task deals out at once.
+COUNTED, DEALT = 1 << 21, 1 << 21
+#: A shingle in more texts of a batch than this is dealt out once, with its number.
+HERE = 256
+#: Nodes from which a component is compared with its visitors as a whole, and shingles of a block of nodes that are compared.
+LARGE, BLOCK = 256, 1 << 20
 
 
 def mixed_bits(x: np.ndarray) -> np.ndarray:
@@ -59,25 +61,11 @@ def fingerprint_of(found: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.int64)[0])
 
 
-def bands_of(found: np.ndarray) -> list[int]:
-    """A key for each band of the set's MinHashes."""
-    if not len(found):
-        return []
-    least = np.full(SEEDS.shape[1], 2**64 - 1, np.uint64)
-    for at in range(0, len(found), 4096):
-        part = found[at : at + 4096, None]
-        least = np.minimum(least, mixed_bits((part ^ SEEDS[0]) + SEEDS[1]).min(0))
-    key = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS_A_BAND).T:
-        key = mixed_bits(key * np.uint64(0x9E3779B97F4A7C15) + row)
-    return key.view(np.int64).tolist()
-
-
 def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sets = [shingle_set(w) for w in pdf["words"]]
         out = pdf[["doc_id", "_k1", "_k2"]].copy()
-        out["node"], out["n"], out["fp"], out["bands"] = [node_of(s) for s in sets], [len(s) for s in sets], [fingerprint_of(s) for s in sets], [bands_of(s) for s in sets]
+        out["node"], out["n"], out["fp"] = [node_of(s) for s in sets], [len(s) for s in sets], [fingerprint_of(s) for s in sets]
         yield out
 
 
@@ -90,12 +78,117 @@ def word_hashes(text: str = "text"):
     return F.transform(space_words(ascii_lower(F.col(text))), lambda w: F.xxhash64(w)).alias("words")
 
 
+PARCEL = "part long, batch long, kind int, a binary, b binary, c binary, d binary"
+
+
+def parcels(parts: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Deals the shingles of texts out to the parts of the hash space that count them, a batch of texts at a time (PARCEL).
+
+    To a part go the batch's shingles there (their lower 32 bits, b), text by text, with the number of each text's (a);
+    one that many texts of the batch have goes once (c), with their number (d). What tells the batch's texts stays with
+    the batch, in a part of its own: their nodes (a), sizes (b), and who has the shingles that went once (c, d).
+    """
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 32
+        for pdf in batches:
+            sets: dict[int, np.ndarray] = {}
+            size = 0
+            for w in pdf["words"]:
+                found = shingle_set(w)
+                if len(found) and (node := node_of(found)) not in sets:
+                    sets[node] = found
+                    size += len(found)
+                if size >= DEALT:
+                    yield parcel(sets, number)
+                    sets, size, number = {}, 0, number + 1
+            if sets:
+                yield parcel(sets, number)
+                number += 1
+
+    def parcel(sets: dict[int, np.ndarray], batch: int) -> pd.DataFrame:
+        sizes = np.array([len(s) for s in sets.values()], np.int32)
+        every, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+        part = ((every >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        token, owner, part = (every[order] & np.uint64(2**32 - 1)).astype(np.uint32), owner[order], part[order]
+        out, hot_owner, hot_token = [], [], []
+        for first, last in zip(starts := np.flatnonzero(np.diff(part, prepend=-1)), [*starts[1:], len(part)], strict=True):
+            t, o, p = token[first:last], owner[first:last], int(part[first])
+            same, at, n = np.unique(t, return_inverse=True, return_counts=True)
+            hot = n > HERE
+            if hot.any():
+                there = hot[at]
+                hot_owner.append(o[there])
+                hot_token.append(t[there].astype(np.int64) | p << 32)
+                t, o = t[~there], o[~there]
+            counts = np.bincount(o, minlength=len(sets)).astype(np.uint32)
+            out.append((p, batch, 1, counts.tobytes(), t.tobytes(), same[hot].tobytes(), n[hot].astype(np.uint32).tobytes()))
+        none = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        out.append((-1 - batch, batch, 0, np.array(list(sets), np.int64).tobytes(), sizes.tobytes(), np.concatenate(hot_owner or none[0]).tobytes(), np.concatenate(hot_token or none[1]).tobytes()))
+        return pd.DataFrame(out, columns=["part", "batch", "kind", "a", "b", "c", "d"])
+
+    return deal
+
+
+def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Counts the shingles of one part over all batches. To each batch go back the texts (a), shingles (b) and counts (c) of those that come twice or more; for those that went once, shingles and counts (kind 2)."""
+    part = int(pdf["part"].iat[0])
+    if part < 0:
+        return pdf
+    tokens, hot, times = ([np.frombuffer(x, np.uint32) for x in pdf[c]] for c in ("b", "c", "d"))
+    _, at, n = np.unique(np.concatenate(tokens + hot), return_inverse=True, return_counts=True)
+    single = sum(map(len, tokens))
+    np.add.at(n, at[single:], np.concatenate(times).astype(np.int64) - 1)
+    df, place, out = n[at].astype(np.uint32), 0, []
+    for batch, counts, t in zip(pdf["batch"], pdf["a"], tokens, strict=True):
+        here = df[place : place + len(t)]
+        place += len(t)
+        keep = here > 1
+        if keep.any():
+            counts = np.frombuffer(counts, np.uint32)
+            owner = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)[keep]
+            out.append((part, batch, 1, owner.tobytes(), (t[keep].astype(np.int64) | part << 32).tobytes(), here[keep].tobytes(), b""))
+    for batch, t in zip(pdf["batch"], hot, strict=True):
+        if len(t):
+            out.append((part, batch, 2, b"", (t.astype(np.int64) | part << 32).tobytes(), df[place : place + len(t)].tobytes(), b""))
+        place += len(t)
+    return pd.DataFrame(out, columns=list(pdf.columns))
+
+
+def prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The necessary prefix of each text of a batch, without the shingles that no other text has: (token, node, n, alone: how many those are).
+
+    Shingles are ordered by their count over all documents, rarest first. Sets of similarity 0.8 share 0.8 * n or more of
+    a set's n shingles, so one of its first n - 0.8 * n + 1 must be among the other's first ones.
+    """
+    own = pdf[pdf["kind"] == 0].iloc[0]
+    nodes, sizes = np.frombuffer(own["a"], np.int64), np.frombuffer(own["b"], np.int32).astype(np.int64)
+    read = lambda kind, column, dtype: np.concatenate([np.zeros(0, dtype), *[np.frombuffer(x, dtype) for x in pdf.loc[pdf["kind"] == kind, column]]])
+    owner, token, df = read(1, "a", np.uint32), read(1, "b", np.int64), read(1, "c", np.uint32)
+    hot, times = read(2, "b", np.int64), read(2, "c", np.uint32)
+    hot_owner, hot_token = np.frombuffer(own["c"], np.uint32), np.frombuffer(own["d"], np.int64)
+    by = np.argsort(hot)
+    owner, token = np.concatenate([owner, hot_owner]), np.concatenate([token, hot_token])
+    df = np.concatenate([df, times[by][np.searchsorted(hot[by], hot_token)]])
+    order = np.lexsort((token, df, owner))
+    owner, token = owner[order].astype(np.int64), token[order]
+    shared = np.bincount(owner, minlength=len(nodes))
+    rank = np.arange(len(owner)) - (np.cumsum(shared) - shared)[owner]
+    alone = sizes - shared
+    keep = rank < (sizes + 1 - -(-PART * sizes // WHOLE) - alone)[owner]
+    at = owner[keep]
+    return pd.DataFrame({"token": token[keep], "node": nodes[at], "n": sizes[at], "alone": alone[at]})
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have similarity 0.8 or more."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
+    """The pairs (a, b) whose sets of shingles have similarity 0.8 or more. A node a that is in very many pairs is dealt over many tasks."""
+    counts = pairs.groupBy("a").agg(F.count("*").alias("pairs"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")).join(counts, "a")
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
-    return pairs.join(left, "a").join(right, "b").where(both * (PART + WHOLE) >= PART * (F.size("s") + F.size("t"))).select("a", "b")
+    met = join_spread(pairs, left, ["a"], "pairs", pairs.count(), F.xxhash64("b")).join(right, "b")
+    return met.where(both * (PART + WHOLE) >= PART * (F.size("s") + F.size("t"))).select("a", "b")
 
 
 def fits() -> Column:
@@ -111,48 +204,117 @@ def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     right = heads.select(F.col("fp").alias("b"), "head", "m")
     across = fingerprint_links(heads).join(left, "a").join(right, "b")
     both = same.select("node", "n", "head", "m").union(across.select("node", "n", "head", "m"))
-    return both.where(fits()).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+    return both.where(fits()).select(F.col("head").alias("a"), F.col("node").alias("b"))
+
+
+def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Compares the two sides of a group, or its only side with itself, whole set by whole set, but for nodes of one component: links (a, b), one for each two components."""
+    none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+    root, node, second = pdf["root"].to_numpy(), pdf["node"].to_numpy(), pdf["second"].to_numpy()
+    alone = pdf["i"].iat[0] == pdf["j"].iat[0] and not pdf["apart"].iat[0]
+    left, right = (np.arange(len(pdf)),) * 2 if alone else (np.flatnonzero(~second), np.flatnonzero(second))
+    if not len(left) or not len(right) or len(np.unique(root)) < 2:
+        return none
+    sets = [np.sort(np.asarray(s, np.int64)) for s in pdf["shingles"]]
+    n = np.array([len(s) for s in sets])
+    tokens, owner = np.concatenate([sets[i] for i in right]), np.repeat(right, n[right])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    seen, out = set(), []
+    for x in left:
+        first, last = np.searchsorted(tokens, sets[x], "left"), np.searchsorted(tokens, sets[x], "right")
+        many = last - first
+        places = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+        both = np.bincount(owner[places], minlength=len(pdf))
+        for y in np.flatnonzero((both * (PART + WHOLE) >= PART * (n[x] + n)) & (both > 0) & (root != root[x])):
+            key = (min(root[x], root[y]), max(root[x], root[y]))
+            if key not in seen:
+                seen.add(key)
+                out.append((node[x], node[y]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64") if out else none
+
+
+def compared_within(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the members (token, node, root, n) of each token, in blocks of about BLOCK shingles; each two blocks are a group."""
+    blocks = members.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(blocks, "token").withColumn("at", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("token", F.least("at", "k").alias("i"), F.greatest("at", "k").alias("j"), (F.col("at") > F.col("k")).alias("second"), "node", "root", F.lit(False).alias("apart"))
+    return rows.join(sets, "node").groupBy("token", "i", "j").applyInPandas(compared, "a long, b long")
+
+
+def compared_with_visitors(own: DataFrame, visits: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the nodes (node, root, n) of large components and the nodes that visit them (to, node, root, n), block by block."""
+    n_own = own.groupBy(F.col("root").alias("to")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("rows"))
+    sizes = visits.groupBy("to").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("cols")).join(n_own, "to")
+    place = lambda c: F.pmod(F.xxhash64("node"), c).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = own.withColumn("to", F.col("root")).join(sizes, "to").select("to", place("rows").alias("i"), every("cols").alias("j"), F.lit(False).alias("second"), "node", "root")
+    right = visits.join(sizes, "to").select("to", every("rows").alias("i"), place("cols").alias("j"), F.lit(True).alias("second"), "node", "root")
+    rows = left.union(right.select(*left.columns)).withColumn("apart", F.lit(True))
+    return rows.join(sets, "node").groupBy("to", "i", "j").applyInPandas(compared, "a long, b long")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(node, root, first) of docs (doc_id, text): near copies and what they link share a root; first is (none, doc_id, _k1, _k2) of the node's smallest doc_id (null last), then row key.
 
-    Texts with equal sets of shingles are one node. Fingerprints within 2 bits meet at an anchor: the first nodes of such
-    fingerprints are compared, and the others of a fingerprint with its first. Nodes that share a band meet in a cell. A cell of CELL nodes or fewer
-    is compared pair by pair; in a larger one, PICKS nodes a round, others each round and band, are compared with the nodes
-    that they aren't linked to yet, until a round finds no link: a round's pairs grow with the nodes, not with their square.
-    Every link is verified on the sets, so nothing below 0.8 is linked; a link can be missed by the bands or in large cells.
+    Texts with equal sets of shingles are one node. The links are exact:
+
+    1. Operator 8's anchors bring fingerprints within 2 bits together; those pairs are verified.
+    2. All shingles are counted over all documents. Each node's necessary prefix of its rarest shingles is what it is found
+       by; shingles that no other text has find nothing, so most texts drop out here.
+    3. Nodes that share a prefix shingle are candidates. Round by round, each node whose shingles still hold several
+       components meets one other: the node of its commonest such shingle that has most in common with others, and later
+       ones by chance, until a round finds no link. This joins large groups with a pair a node.
+    4. What still shares a prefix shingle across components is compared in full: within each shingle, and where a
+       component is large, its visitors with all of it, in blocks of bounded size. No pairs are emitted, only links.
+
+    Every link is verified on the whole sets. The comparisons of step 4 grow with the candidates that are no near copies
+    of each other though they share a rare shingle.
     """
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", *whole_row_key(docs), word_hashes())
-    prints = cut(rows.mapInPandas(signed, f"doc_id {kind}, _k1 long, _k2 long, node long, n long, fp long, bands array<long>"))
+    prints = cut(rows.mapInPandas(signed, f"doc_id {kind}, _k1 long, _k2 long, node long, n long, fp long"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2"))
-    nodes = cut(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), least.alias("first")))
-    cells = nodes.select("node", "n", "first._k1", "first._k2", F.explode("bands").alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
-    cells = cut(cells.join(sizes, "cell"))
-    nearest = cut(fingerprint_pairs(nodes))
-    named = nearest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "first._k1", "first._k2")
-    wanted = cells.select("node", "_k1", "_k2").union(named).distinct()
+    nodes = cut(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), least.alias("first")))
+    parts = max(1, -(-(prints.agg(F.sum("n")).first()[0] or 0) // COUNTED))
+    dealt = docs.select(word_hashes()).mapInPandas(parcels(parts), PARCEL)
+    tokens = dealt.groupBy("part").applyInPandas(counted, PARCEL).groupBy("batch").applyInPandas(prefixes, "token long, node long, n long, alone long")
+    tokens = cut(tokens.distinct())
+    shared = tokens.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
+    tokens = cut(join_spread(tokens, shared, ["token"], "many", tokens.count(), F.col("node")))
+    nearest = cut(fingerprint_pairs(nodes).distinct())
+    wanted = tokens.select("node").union(nearest.select(F.explode(F.array("a", "b")))).distinct().join(nodes, "node").select("node", "first._k1", "first._k2")
     texts = docs.select("text", *whole_row_key(docs)).join(wanted, ["_k1", "_k2"]).select("node", word_hashes())
     sets = cut(texts.mapInPandas(with_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
 
-    small = cells.where(F.col("size") <= CELL).select("cell", "node", "n")
-    other = small.select("cell", F.col("node").alias("b"), F.col("n").alias("m"))
-    pairs = small.join(other, "cell").where((F.col("node") < F.col("b")) & fits()).select(F.col("node").alias("a"), "b").distinct()
-    linked = cut(components(verified(pairs.union(nearest).distinct(), sets)))
-    large = cells.where(F.col("size") > CELL).select("cell", "node", "n")
-    number = 0
+    linked, number = cut(components(verified(nearest, sets))), 0
     while True:
-        now = large.join(linked, "node", "left").select("cell", "node", "n", F.coalesce("root", "node").alias("root"))
-        salted = now.withColumn("salt", F.explode(F.array(*[F.lit(number * PICKS + i) for i in range(PICKS)])))
-        picked = F.min(F.struct(F.xxhash64("node", "cell", "salt").alias("h"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("r")))
-        chosen = salted.groupBy("cell", "salt").agg(picked.alias("p")).select("cell", "p.b", "p.m", "p.r")
-        pairs = now.join(chosen, "cell").where((F.col("root") != F.col("r")) & fits()).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        found = cut(verified(pairs, sets))
-        if found.isEmpty():
+        rooted = tokens.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        leader = F.struct(F.col("alone") / F.col("n") if not number else F.lit(0.0), F.xxhash64("node", F.lit(number)), F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("r"))
+        mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(leader).alias("l"), F.count("*").alias("size")).where("low < high").select("token", "size", "l.a", "l.m", "l.r")
+        rooted = cut(join_spread(rooted, mixed, ["token"], "size", tokens.count(), F.col("node")))
+        met = rooted.where((F.col("root") != F.col("r")) & fits()).groupBy("node").agg(F.max(F.struct("many", F.xxhash64("token", F.lit(number)), "a")).alias("x")).select("x.a", F.col("node").alias("b"))
+        found = cut(verified(met, sets))
+        if found.isEmpty() and number:
             break
         linked = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
         number += 1
+    rest = rooted.select("token", "node", "n", "root")
+    if not rest.isEmpty():
+        of = linked.select(F.col("node").alias("_node"), "root")
+        own = nodes.join(of, F.col("node") == F.col("_node")).select("node", "root", "n")
+        large = own.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE)
+        rest = cut(rest.join(F.broadcast(large) if large.count() < 10_000 else large, "root", "left"))
+        small = rest.where("size is null")
+        # shingles of the same nodes would compare them again
+        several = small.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(k) for k in ("s", "t")]).where("low < high")
+        several = several.groupBy("n", "s", "t").agg(F.min("token").alias("token")).select("token")
+        hosts = rest.where("size is not null").select("token", F.col("root").alias("to"), F.col("size").alias("theirs")).distinct()
+        smaller = F.coalesce("size", F.lit(0)) < F.col("theirs")
+        visits = cut(rest.join(hosts, "token").where((F.col("root") != F.col("to")) & (smaller | (F.col("size") == F.col("theirs")) & (F.col("root") < F.col("to")))).select("to", "node", "root", "n").distinct())
+        hosted = own.join(visits.select(F.col("to").alias("root")).distinct(), "root")
+        found = compared_within(small.join(several, "token").select("token", "node", "root", "n"), sets).union(compared_with_visitors(hosted, visits, sets))
+        linked = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
     roots = linked.select(F.col("node").alias("_node"), "root")
     return nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"), "first")

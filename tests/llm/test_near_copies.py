@@ -59,5 +59,5 @@ def test_similarity_bound_is_exact(spark):
 
 def test_large_cells_are_joined(spark):
     base = words(4)
-    rows = [(i, " ".join(base[:i] + [f"new{i}"] + base[i + 1 :])) for i in range(4 * near_copies.CELL)]
+    rows = [(i, " ".join(base[:i] + [f"new{i}"] + base[i + 1 :])) for i in range(64)]
     assert kept(spark, rows) == Counter(rows[:1])
