@@ -16,7 +16,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"[A-Z][A-Z][0-9][0-9](?:[0-9A-Z]{11,30}|(?:\x20[0-9A-Z]{4}){2,7}(?:\x20[0-9A-Z]{1,3})?)",
-    "secret": r"[A-Za-z0-9_-]{20,}+",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
 }
 BASE = ("email", "ip", "card", "phone")
 #: A text without this character has no match of the kind.
@@ -48,6 +48,18 @@ def mod_97(iban: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise((r * F.when(F.ascii(c) >= 65, 100).otherwise(10) + value(c)) % 97))
 
 
+def is_iban(packed: Column) -> Column:
+    fits = F.length(packed).between(15, 34)
+    return fits & (F.when(fits, mod_97(packed)).otherwise(0) == 1)
+
+
+def iban_part(match: Column) -> Column:
+    """The most leading groups of an IBAN written in groups that pass mod 97: a group of four that follows it looks like one of its own. The whole if none pass."""
+    groups = F.split(match, " ")
+    parts = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, 1, n), " "))
+    return F.when(match.contains(" "), F.coalesce(F.get(F.filter(parts, lambda p: is_iban(F.replace(p, F.lit(" "), F.lit("")))), F.lit(0)), match)).otherwise(match)
+
+
 def confirmed(kind: Column, match: Column) -> Column:
     octets, packed = F.split(match, r"\."), F.regexp_replace(match, " ", "")
     return (
@@ -55,7 +67,7 @@ def confirmed(kind: Column, match: Column) -> Column:
         .when(kind == "ip", F.forall(octets, lambda p: F.length(F.regexp_replace(p, "^0+", "")) <= 3) & F.forall(octets, lambda p: F.coalesce(F.substring(F.regexp_replace(p, "^0+", ""), 1, 3).try_cast("int"), F.lit(0)) <= 255))
         .when(kind == "card", F.length(digits(match)).between(16, 19) & F.call_function("luhn_check", F.when(F.length(digits(match)).between(16, 19), digits(match)).otherwise("0")))
         .when(kind == "phone", F.length(digits(match)).between(8, 15))
-        .when(kind == "iban", F.length(packed).between(15, 34) & (F.when(F.length(packed).between(15, 34), mod_97(packed)).otherwise(0) == 1))
+        .when(kind == "iban", is_iban(packed))
         .otherwise((F.length(match) <= 512) & match.rlike("[0-9]") & match.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(match, ""))) >= SECRET_CHARS))
     )
 
@@ -68,7 +80,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     never the text. Kinds are scanned apart, so spans of different kinds may overlap.
 
     Base kinds are kept as the contract has them, whatever their score. IBANs (grouped by spaces or not, no letter or
-    digit beside them, mod 97) and secrets (runs of 20 characters or more of letters, digits, - and _ with both and
+    digit beside them, mod 97; of a grouped one the leading groups that pass) and secrets (runs of 20 characters or more of letters, digits, - and _ with both and
     with SECRET_CHARS different ones) are added where forms and context words give them LEAST or more.
 
     Null and empty texts have no spans; a null doc_id is kept; rows equal in id and text count as one; other columns are left out.
@@ -94,6 +106,8 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     upto = Window.partitionBy("_k1", "_k2", "kind").orderBy("at")
     size = F.length("match").cast("long")
     rows = rows.withColumn("end", F.sum(F.col("gap") + size).over(upto)).withColumn("start", F.col("end") - size)
+    rows = rows.withColumn("whole", F.col("match")).withColumn("match", F.when(F.col("kind") == "iban", iban_part(F.col("match"))).otherwise(F.col("match")))
+    rows = rows.withColumn("after", F.concat(F.substring(F.col("whole"), F.length("match") + 1, F.length("whole")), "after")).withColumn("end", F.col("start") + size)
     near = ascii_lower(F.concat_ws(" ", "before", "after"))
     score = F.lit(None).cast("int")
     for kind, (words, without, with_) in CONTEXT.items():
@@ -125,22 +139,26 @@ def _sql() -> str:
         f"SELECT doc_id, '{k}' AS kind, {n} AS number, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g, '{CONTEXT[k][0]}' AS words, {CONTEXT[k][1]} AS without, {CONTEXT[k][2]} AS with_ FROM texts"
         for n, (k, p) in enumerate(plain.items())
     )
+    passes = lambda p: f"length({p}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0::BIGINT, [({value})::BIGINT FOR c IN string_split({p}[5:] || {p}[:4], '')]), lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"
     value = "CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END"
     return rf"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 kinds AS ({kinds}),
 each AS (SELECT doc_id, kind, number, words, without, with_, unnest(m) AS match, generate_subscripts(m, 1) AS i, g FROM kinds WHERE len(m) > 0),
-placed AS (SELECT *, regexp_replace(match, '[^0-9]', '', 'g') AS d, replace(match, ' ', '') AS packed, sum(length(g[i]) + length(match)) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT AS stop FROM each),
-tested AS (SELECT *, stop - length(match) AS start,
+found AS (SELECT *, sum(length(g[i]) + length(match)) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT - length(match) AS start FROM each),
+parts AS (SELECT doc_id, i, max(length(p)) AS n FROM (SELECT doc_id, i, p, replace(p, ' ', '') AS packed FROM (SELECT doc_id, i, array_to_string(string_split(match, ' ')[:k], ' ') AS p FROM (SELECT doc_id, i, match, unnest(range(1, len(string_split(match, ' ')) + 1)) AS k FROM each WHERE kind = 'iban' AND contains(match, ' ')))) WHERE {passes("packed")} GROUP BY ALL),
+cut AS (SELECT f.* EXCLUDE (match), coalesce(left(match, n), match) AS match, substr(match, coalesce(n, length(match))::BIGINT + 1) || g[f.i + 1] AS after FROM found f LEFT JOIN parts p ON f.kind = 'iban' AND p.doc_id IS NOT DISTINCT FROM f.doc_id AND p.i = f.i),
+placed AS (SELECT *, regexp_replace(match, '[^0-9]', '', 'g') AS d, replace(match, ' ', '') AS packed, start + length(match) AS stop FROM cut),
+tested AS (SELECT *,
   CASE kind WHEN 'email' THEN true
     WHEN 'ip' THEN list_max([try_cast(p AS DOUBLE) FOR p IN string_split(match, '.')]) <= 255
     WHEN 'card' THEN length(d) BETWEEN 16 AND 19 AND list_sum([CASE WHEN j % 2 = 1 THEN d[length(d) + 1 - j]::INT ELSE CASE WHEN d[length(d) + 1 - j]::INT > 4 THEN 2 * d[length(d) + 1 - j]::INT - 9 ELSE 2 * d[length(d) + 1 - j]::INT END END FOR j IN range(1, length(d) + 1)]) % 10 = 0
     WHEN 'phone' THEN length(d) BETWEEN 8 AND 15
     WHEN 'secret' THEN length(match) <= 512 AND regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Za-z]') AND len(list_distinct(string_split(match, ''))) >= {SECRET_CHARS}
-    ELSE length(packed) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0::BIGINT, [({value})::BIGINT FOR c IN string_split(packed[5:] || packed[:4], '')]), lambda r, v: (r * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1 END AS ok,
-  CASE WHEN regexp_matches(translate(right(g[i], 40) || ' ' || left(g[i + 1], 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])(' || words || ')([^a-z0-9]|$)') THEN with_
+    ELSE {passes("packed")} END AS ok,
+  CASE WHEN regexp_matches(translate(right(g[i], 40) || ' ' || left(after, 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])(' || words || ')([^a-z0-9]|$)') THEN with_
     WHEN kind = 'secret' AND regexp_matches(match, '{SECRET_FORMS}') THEN {SECRET_FORM} ELSE without END AS score FROM placed),
-spans AS (SELECT *, kind || ':' || start || ':' || stop AS said FROM tested WHERE ok AND (kind NOT IN ('iban', 'secret') OR score >= {LEAST} AND NOT regexp_matches(right(g[i], 1) || left(g[i + 1], 1), '[0-9A-Za-z]'))),
+spans AS (SELECT *, kind || ':' || start || ':' || stop AS said FROM tested WHERE ok AND (kind NOT IN ('iban', 'secret') OR score >= {LEAST} AND NOT regexp_matches(right(g[i], 1) || left(after, 1), '[0-9A-Za-z]'))),
 docs AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'iban') AS n_iban, count(*) FILTER (kind = 'secret') AS n_secret, count(*) AS n_spans,
   string_agg(said, ',' ORDER BY number, start) FILTER (kind NOT IN ('iban', 'secret')) AS base, string_agg(said, ',' ORDER BY number, start) AS spans, string_agg(score::VARCHAR, ',' ORDER BY number, start) AS scores FROM spans GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, coalesce(n_iban, 0) AS n_iban, coalesce(n_secret, 0) AS n_secret, coalesce(n_spans, 0) AS n_spans,

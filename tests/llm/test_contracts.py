@@ -165,3 +165,11 @@ def test_chat_and_pages_take_long_texts_and_clashing_columns(spark):
     body = "<p>One sentence that is long enough to be read.</p>" * 20_000
     pages = spark.createDataFrame([(1, f"<article>{body}</article>")], "page_id long, html string").withColumns({"text": F.lit(1), "blocks": F.lit(2)})
     assert html_extract.extract_text(pages).first()["text"].count("\n") == 19_999
+
+
+def test_grouped_ibans_end_where_mod_97_passes(spark):
+    iban = "AT61 1904 3002 3457 3201"
+    texts = [f"iban {iban} 2024", f"{iban} 2024 2025 bank", iban, f"konto {iban}.", "DE89 3704 0044 0532 0130 00 and more", f"{iban} 20245", "AT61 1904 3002 3457 3202 2024"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: texts[r["doc_id"]][r["start"] : r["end"]] for r in pii.pii_spans(docs).where("kind = 'iban'").collect()}
+    assert got == {0: iban, 1: iban, 2: iban, 3: iban, 4: "DE89 3704 0044 0532 0130 00", 5: iban}
