@@ -9,7 +9,7 @@ from pagewright.functions import resume_text
 from pagewright.operators import matching
 from pagewright.plans.catalog import LINES, doc_lines, longs, read
 from pagewright.plans.checker import quoted
-from pagewright.plans.writing import HEADINGS, headed_lines
+from pagewright.plans.writing import ENTRIES, HEADINGS, LOOKED_UP, headed_lines
 
 SHIFTS = [{"x0": 0, "x1": 300, "low": 0, "high": 200, "dy": -50}, {"x0": 0, "x1": 600, "low": -60, "high": 90, "dy": 7}]
 FONTS = ["ABCDEF+Lato-Regular", "Lato-Bold", "Lato-Italic", "Lato-BoldItalic", "Arial"]
@@ -122,7 +122,7 @@ gone AS (SELECT l.page, l.id FROM l JOIN r ON r.page = l.page AND abs(ry - y) <
     "wrap_leading": f"""WITH {PLACED}, g AS (SELECT page, coalesce(lag(y) OVER (PARTITION BY page ORDER BY y DESC, id) - y, 99) AS q FROM l), n AS (SELECT page, q FROM g GROUP BY page, q HAVING count(*) >= 2) SELECT page, min(q) AS wrap FROM n WHERE q <= page % 15 + 0.25 GROUP BY page""",
     "photographs": """WITH i AS (SELECT l_orderkey AS doc, l_linenumber::BIGINT AS image, (l_orderkey + l_linenumber) AS k FROM lineitem), s AS (SELECT *, k * 7 % 500 AS x, k * 11 % 700 AS y, k * 13 % 320 + 20 AS w, k * 13 % 310 + 25 AS h FROM i)
 SELECT doc, arg_max(image, (w * h, -image)) AS image FROM s WHERE w BETWEEN 40 AND 300 AND h BETWEEN 40 AND 300 AND w::DOUBLE / h BETWEEN 0.7 AND 1.4 AND (842 - (y + h) <= 336.8 OR x + w < 208.25) AND w < 357 GROUP BY doc""",
-    "heading_scores": rf"""WITH {LINES}, h(i, said, known) AS (VALUES {KNOWN}), t AS (SELECT doc_id AS doc, line_no AS id, CASE WHEN line_no % 9 = 4 THEN said ELSE 'x ' || text END AS text, line_no % 9 = 4 AND known AS known FROM lines JOIN h ON (doc_id + line_no) % {len(HEADINGS)} = i),
+    "heading_scores": rf"""WITH {LINES}, h(i, said, known) AS (VALUES {KNOWN}), entries(e, section) AS (VALUES {ENTRIES}), t AS (SELECT doc_id AS doc, line_no AS id, CASE WHEN line_no % 9 = 4 THEN said ELSE text END AS text, CASE WHEN line_no % 9 = 4 THEN known ELSE section IS NOT NULL END AS known FROM lines LEFT JOIN entries ON e = {LOOKED_UP} JOIN h ON (doc_id + line_no) % {len(HEADINGS)} = i),
 s AS (SELECT *, 2 * known::INT + (id % 4 = 0 OR regexp_matches(text, '[A-Z]{{3}}') AND NOT regexp_matches(text, '[a-z]'))::INT + (10 + id % 3 >= 10.5 + doc % 2)::INT + (len(string_split_regex(text, '\s+')) <= 4)::INT + (12 + id % 5 >= 1.44::DOUBLE * (10 + id % 3))::INT + (NOT ends_with(text, '.'))::INT AS score FROM t)
 SELECT doc, id, score::BIGINT AS score, known AND score >= 3 AS heading FROM s""",
     "resume_likeness": """WITH k AS (SELECT p_partkey, p_partkey AS k, (p_partkey % 2 = 0)::INT AS w, (p_partkey % 3 = 0 OR p_partkey % 7 = 0)::INT AS s, (p_partkey % 5 = 0)::INT AS e FROM part),

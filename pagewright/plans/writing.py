@@ -84,9 +84,9 @@ CASES = {
 
 
 def headed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' lines, every ninth one of HEADINGS."""
+    """The documents' lines, every ninth one of HEADINGS instead."""
     said = F.get(F.array(*map(F.lit, HEADINGS)), ((F.col("doc_id") + F.col("line_no")) % len(HEADINGS)).cast("int"))
-    return doc_lines(spark, sf_dir).withColumn("text", F.when(F.col("line_no") % 9 == 4, said).otherwise(F.concat(F.lit("x "), F.col("text"))))
+    return doc_lines(spark, sf_dir).withColumn("text", F.when(F.col("line_no") % 9 == 4, said).otherwise(F.col("text")))
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +99,13 @@ def bullet_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {**{k: q for k, (q, _) in CASES.items()}, "sections": sections, "bullet_lists": bullet_lists}
+#: The dictionary of headings, and how a plain line is looked up in it: in lower case, from its first letter, without marks at its end.
+ENTRIES = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in resume_text.ENTRIES.items())
+LOOKED_UP = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '^[^a-z]+', ''), '[:|–—_•. -]+$', ''), '\s+', ' ', 'g'))"
 KNOWN = ", ".join(f"({i}, {quoted(v) if v else 'NULL'})" for i, v in enumerate(HEADINGS.values()))
 ORACLE_SQL = {
     **{k: s for k, (_, s) in CASES.items()},
-    "sections": f"""WITH {LINES}, known(i, h) AS (VALUES {KNOWN}), headed AS (SELECT doc_id, line_no, CASE WHEN line_no % 9 = 4 THEN h END AS h FROM lines LEFT JOIN known ON (doc_id + line_no) % {len(HEADINGS)} = i)
+    "sections": f"""WITH {LINES}, known(i, h) AS (VALUES {KNOWN}), entries(e, section) AS (VALUES {ENTRIES}), headed AS (SELECT doc_id, line_no, CASE WHEN line_no % 9 = 4 THEN h ELSE section END AS h FROM lines LEFT JOIN entries ON e = {LOOKED_UP} LEFT JOIN known ON (doc_id + line_no) % {len(HEADINGS)} = i)
 SELECT doc_id, line_no, h IS NOT NULL AS is_heading, last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM headed""",
     # a step for each line, with the list item under way
     "bullet_lists": f"""WITH RECURSIVE {LINES}, said AS (SELECT doc_id, line_no, [{', '.join(map(quoted, LIST))}][((line_no + doc_id) % {len(LIST)} + 1)::INT] AS t, CASE WHEN line_no % 23 = 0 THEN 40 ELSE 14 END AS gap FROM lines),
