@@ -35,8 +35,17 @@ NAME_COST = {
     **dict.fromkeys("header banner masthead".split(), 2.0),
     **dict.fromkeys("articlebody article main".split(), -1.8),
 }
-#: What being in article or main tells for a block; what is kept of an element's cost from one block element to the next within.
-IN_CONTENT, HANDED_DOWN, MOST = 1.6, 0.95, 4.0
+#: Words that say the same as a whole id, where others half of it: no chapter is called so.
+SURE = frozenset("ad ads adv advert adverts advertisement adsense cookie cookies consent gdpr comments commentlist disqus replies respond nav navbar breadcrumb breadcrumbs sidebar newsletter popup modal footer share sharing toolbar pagination".split())
+#: Words that only say what shape an element has: beside them in a hyphenated name the telling word counts in full.
+SHAPES = frozenset(
+    "slot box buttons button bar block banner container wrapper wrap list item items unit area panel section widget links link icons icon form top bottom left right inner outer row col column strip rail overlay "
+    "holder frame zone group menu thread body header footer title heading wrapping list".split()
+)
+#: What is kept of an element's cost from one block element to the next within, and how much there is at most.
+HANDED_DOWN, MOST = 0.95, 4.0
+#: Nearness in the tree to an article or main, as an edge to it; such an element is content itself.
+IN_CONTENT, ROOT = 1.6, 1e6
 TOKEN = re.compile(
     r"(?P<raw><(script|style|xmp)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\2\s*>|\Z))"
     r"|(?P<comment><!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z))"
@@ -59,31 +68,38 @@ def decoded(text: str) -> str:
 
 
 def names_cost(classes: str, ids: str) -> float:
-    """The cost that an element's names tell, its most telling word's: of a hyphenated or camel-case name a word counts its share; of an id half."""
+    """The cost that an element's names tell, its most telling word's.
+
+    A name of words for shapes beside the telling one, such as ad-slot, counts in full; with a word of another matter, such
+    as alert-systems, the telling word counts its share of all words and one more. An id counts half, if its word isn't
+    SURE: ids also name chapters.
+    """
     best = 0.0
     for value, weight in ((classes, 1.0), (ids, 0.5)):
         for name in value.split():
             words = [w.lower() for w in CAMEL.split(name) if w]
-            for cost in (NAME_COST.get(w, 0.0) for w in words):
-                found = cost * weight / len(words)
+            for word in words:
+                cost = NAME_COST.get(word, 0.0)
+                others = [w for w in words if w != word and w not in SHAPES and w not in NAME_COST]
+                found = cost * (1.0 if word in SURE and not others else weight) / (len(words) + 1 if others else 1)
                 if abs(found) > abs(best):
                     best = found
     return best
 
 
 class Frame(NamedTuple):
-    """A block element that is open: its number, tag and class, the cost that it and those around it tell, and whether it is in article or main."""
+    """A block element that is open: its number, tag and class, the cost that it and those around it tell, and the number of the article or main it is in, or 0."""
 
     number: int
     tag: str
     names: str
     cost: float
-    content: bool
+    content: int
 
 
 def blocks_of(page: str) -> list[dict]:
-    """The blocks of text of a page in order: text, cost of its surroundings, whether in content, share of it in links, class of its own element, and the numbers of its parent and grandparent."""
-    root = Frame(0, "", "", 0.0, False)
+    """The blocks of text of a page in order: text, cost of its surroundings, the number of the article or main around it, share of it in links, class of its own element, and the numbers of its parent and grandparent."""
+    root = Frame(0, "", "", 0.0, 0)
     stack: list[tuple[str, bool]] = []  # tag, hidden
     frames: list[Frame] = [root, root, root]  # block elements alone, so that a block needn't look for them
     out, parts, linked, size, links, number, skipped = [], [], 0, 0, 0, 0, 0
@@ -153,10 +169,10 @@ def blocks_of(page: str) -> list[dict]:
             around = frames[-1]
             told = names_cost(classes, ids) if (classes or ids) and tag not in ("html", "body") else 0.0
             if tag == "main" or tag == "article" and told <= 0:
-                frame = Frame(number, tag, classes, 0.0, True)  # what is around an article says nothing about it
+                frame = Frame(number, tag, classes, 0.0, number)  # what is around an article says nothing about it
             else:
                 cost = min(MOST, max(-MOST, around.cost * HANDED_DOWN + told + TAG_COST.get(tag, 0.0) * (not around.content or tag != "header")))
-                frame = Frame(number, tag, classes, cost, around.content or tag == "article")
+                frame = Frame(number, tag, classes, cost, around.content or (number if tag == "article" else 0))
             frames.append(frame)
         stack.append((tag, hidden))
         opened[tag] = opened.get(tag, 0) + 1
@@ -167,10 +183,10 @@ def blocks_of(page: str) -> list[dict]:
 
 
 def gain(block: dict) -> float:
-    """How much better "content" fits the block than "boilerplate": by what is around it, its length, how it ends and its links."""
+    """How much better "content" fits the block than "boilerplate": by the names around it, its length, how it ends and its links. For most blocks it is less than their edges, so that the cut decides."""
     text = block["text"]
     said = 0.5 * (min(len(text) / 40, 4.0) - 1.2 + (1.0 if text[-1] in ".!?…:\"”" else -0.5)) - 2.0 * block["links"]
-    return IN_CONTENT * block["content"] - block["cost"] + min(1.0, max(-1.0, said))
+    return min(1.0, max(-1.0, said)) - block["cost"]
 
 
 def minimum_cut(gains: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -229,12 +245,16 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    kept = minimum_cut([gain(b) for b in blocks], smoothness(blocks))
-    return "\n".join(b["text"] for b, keep in zip(blocks, kept, strict=True) if keep)
+    kept = minimum_cut(*network(blocks))
+    return "\n".join(b["text"] for b, keep in zip(blocks, kept, strict=False) if keep)
 
 
-def smoothness(blocks: list[dict]) -> list[tuple[int, int, float]]:
-    """The edges: each block and the next, by their distance in the tree, and each and the last one before of the same parent and class."""
+def network(blocks: list[dict]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Gains and edges of the blocks and, after them, of each article and main that holds any.
+
+    Edges: each block and the next, by their distance in the tree; each and the last one before of the same parent and
+    class; each and the article or main around it.
+    """
     edges, last = [], {}
     for i, (a, b) in enumerate(zip(blocks, blocks[1:], strict=False)):
         same = a["parent"] == b["parent"]
@@ -244,7 +264,11 @@ def smoothness(blocks: list[dict]) -> list[tuple[int, int, float]]:
         if (j := last.get((b["parent"], b["names"]), i - 1)) < i - 1:
             edges.append((j, i, SAME_PARENT))
         last[b["parent"], b["names"]] = i
-    return edges
+    roots: dict[int, int] = {}
+    for i, b in enumerate(blocks):
+        if b["content"]:
+            edges.append((i, roots.setdefault(b["content"], len(blocks) + len(roots)), IN_CONTENT))
+    return [gain(b) for b in blocks] + [ROOT] * len(roots), edges
 
 
 def main_texts(pages: pd.Series) -> pd.Series:
@@ -256,9 +280,9 @@ def extract_text(pages: DataFrame, column: str = "html", to: str = "text") -> Da
 
     Blocks are runs of text between block elements (br, too); hidden ones aren't read. A block's terminal capacity is a
     classifier's cost: what the elements around it tell by tag and name, less the farther they are and nothing from
-    around an article or main; its length, its end and its share of links. Edges to the next block and to the last one
-    of the same parent pull near blocks to one label, and for most blocks weigh more than any one feature. A maximum
-    flow finds the cut.
+    around an article or main; its length, its end and its share of links. Edges to the next block, to the last one of the
+    same parent and to the article or main around it pull near blocks to one label, and for most blocks weigh more than
+    their cost. A maximum flow finds the cut.
     Null and empty pages and pages without content have the text ''. Rows and other columns stay, the target is replaced.
     """
     return pages.withColumn(to, F.pandas_udf(main_texts, "string")(F.coalesce(column, F.lit(""))))
