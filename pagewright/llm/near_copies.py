@@ -27,6 +27,8 @@ COUNTED, DEALT = 1 << 21, 1 << 21
 HERE = 256
 #: Nodes from which a component is compared with its visitors as a whole, and shingles of a block of nodes that are compared.
 LARGE, BLOCK = 256, 1 << 20
+#: Classes of shingles whose counts bound what two sets have in common.
+CLASSES = 128
 
 
 def mixed_bits(x: np.ndarray) -> np.ndarray:
@@ -70,8 +72,11 @@ def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each node's set, and how many of its shingles are in each class."""
     for pdf in batches:
-        yield pd.DataFrame({"node": pdf["node"], "shingles": [shingle_set(w).view(np.int64) for w in pdf["words"]]})
+        sets = [shingle_set(w) for w in pdf["words"]]
+        sketches = [np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).astype(np.int32).tobytes() for s in sets]
+        yield pd.DataFrame({"node": pdf["node"], "shingles": [s.view(np.int64) for s in sets], "sketch": sketches})
 
 
 def word_hashes(text: str = "text"):
@@ -207,12 +212,33 @@ def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return both.where(fits()).select(F.col("head").alias("a"), F.col("node").alias("b"))
 
 
+def sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the two sides of a group; of a block alone both are all of it."""
+    second = pdf["second"].to_numpy()
+    alone = pdf["i"].iat[0] == pdf["j"].iat[0] and not pdf["apart"].iat[0]
+    return (np.arange(len(pdf)),) * 2 if alone else (np.flatnonzero(~second), np.flatnonzero(second))
+
+
+def possible(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of a group (place, node, second) that may be near a node of the other side and another component: two sets have no more in common than, class by class, the smaller of their counts."""
+    left, right = sides(pdf)
+    root, n = pdf["root"].to_numpy(), pdf["n"].to_numpy()
+    counts = np.stack([np.frombuffer(x, np.int32) for x in pdf["sketch"]])
+    keep = np.zeros(len(pdf), bool)
+    if len(left) and len(right) and len(np.unique(root)) > 1:
+        for x in left:
+            fit = right[(root[right] != root[x]) & (np.minimum(n[right], n[x]) * WHOLE >= np.maximum(n[right], n[x]) * PART)]
+            fit = fit[np.minimum(counts[fit], counts[x]).sum(1) * (PART + WHOLE) >= PART * (n[fit] + n[x])]
+            keep[fit] = True
+            keep[x] |= len(fit) > 0
+    return pdf.loc[keep, ["place", "node", "second"]]
+
+
 def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Compares the two sides of a group, or its only side with itself, whole set by whole set, but for nodes of one component: links (a, b), one for each two components."""
+    """Compares the two sides of a group whole set by whole set, but for nodes of one component: links (a, b), one for each two components."""
     none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    root, node, second = pdf["root"].to_numpy(), pdf["node"].to_numpy(), pdf["second"].to_numpy()
-    alone = pdf["i"].iat[0] == pdf["j"].iat[0] and not pdf["apart"].iat[0]
-    left, right = (np.arange(len(pdf)),) * 2 if alone else (np.flatnonzero(~second), np.flatnonzero(second))
+    root, node = pdf["root"].to_numpy(), pdf["node"].to_numpy()
+    left, right = sides(pdf)
     if not len(left) or not len(right) or len(np.unique(root)) < 2:
         return none
     sets = [np.sort(np.asarray(s, np.int64)) for s in pdf["shingles"]]
@@ -234,25 +260,29 @@ def compared(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64") if out else none
 
 
-def compared_within(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among the members (token, node, root, n) of each token, in blocks of about BLOCK shingles; each two blocks are a group."""
-    blocks = members.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(blocks, "token").withColumn("at", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("at", "k").alias("i"), F.greatest("at", "k").alias("j"), (F.col("at") > F.col("k")).alias("second"), "node", "root", F.lit(False).alias("apart"))
-    return rows.join(sets, "node").groupBy("token", "i", "j").applyInPandas(compared, "a long, b long")
+def paired(members: DataFrame) -> DataFrame:
+    """The members (place, node, root, n) of each place in blocks of about BLOCK shingles, once for each block they meet: place, i and j, second (the member is of block j), apart."""
+    blocks = members.groupBy("place").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(blocks, "place").withColumn("at", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("place", F.least("at", "k").alias("i"), F.greatest("at", "k").alias("j"), (F.col("at") > F.col("k")).alias("second"), F.lit(False).alias("apart"), "node", "root", "n")
+
+
+def facing(members: DataFrame) -> DataFrame:
+    """The same for members with a side (second): blocks of one side meet those of the other."""
+    sizes = members.groupBy("place").agg(*[F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("second") == s, F.col("n"))) / BLOCK)).cast("int").alias(c) for c, s in (("rows", False), ("cols", True))])
+    at = lambda c: F.pmod(F.xxhash64("node"), c).cast("int")
+    rows = members.join(sizes, "place").withColumn("k", F.explode(F.sequence(F.lit(0), F.when(F.col("second"), F.col("rows")).otherwise(F.col("cols")) - 1)))
+    i, j = F.when(F.col("second"), F.col("k")).otherwise(at("rows")), F.when(F.col("second"), at("cols")).otherwise(F.col("k"))
+    return rows.select("place", i.alias("i"), j.alias("j"), "second", F.lit(True).alias("apart"), "node", "root", "n")
 
 
-def compared_with_visitors(own: DataFrame, visits: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between the nodes (node, root, n) of large components and the nodes that visit them (to, node, root, n), block by block."""
-    n_own = own.groupBy(F.col("root").alias("to")).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("rows"))
-    sizes = visits.groupBy("to").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("cols")).join(n_own, "to")
-    place = lambda c: F.pmod(F.xxhash64("node"), c).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = own.withColumn("to", F.col("root")).join(sizes, "to").select("to", place("rows").alias("i"), every("cols").alias("j"), F.lit(False).alias("second"), "node", "root")
-    right = visits.join(sizes, "to").select("to", every("rows").alias("i"), place("cols").alias("j"), F.lit(True).alias("second"), "node", "root")
-    rows = left.union(right.select(*left.columns)).withColumn("apart", F.lit(True))
-    return rows.join(sets, "node").groupBy("to", "i", "j").applyInPandas(compared, "a long, b long")
+def links_across(members: DataFrame, deal: Callable[[DataFrame], DataFrame], sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the members (place, node, root, n, second) of each place: sketches rule members out first, and only those left bring their sets."""
+    sketched = deal(members).join(sets.select("node", "sketch"), "node")
+    left = sketched.groupBy("place", "i", "j").applyInPandas(possible, "place long, node long, second boolean")
+    left = left.select("place", "node", *(["second"] if deal is facing else [])).distinct()
+    kept = cut(members.join(left, left.columns))
+    return deal(kept).join(sets.select("node", "shingles"), "node").groupBy("place", "i", "j").applyInPandas(compared, "a long, b long")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -267,7 +297,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
        components meets one other: the node of its commonest such shingle that has most in common with others, and later
        ones by chance, until a round finds no link. This joins large groups with a pair a node.
     4. What still shares a prefix shingle across components is compared in full: within each shingle, and where a
-       component is large, its visitors with all of it, in blocks of bounded size. No pairs are emitted, only links.
+       component is large, its visitors with all of it, in blocks of bounded size. Counts by class, which bound what two
+       sets share, rule most out before whole sets move. No pairs are emitted, only links.
 
     Every link is verified on the whole sets. The comparisons of step 4 grow with the candidates that are no near copies
     of each other though they share a rare shingle.
@@ -286,7 +317,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     nearest = cut(fingerprint_pairs(nodes).distinct())
     wanted = tokens.select("node").union(nearest.select(F.explode(F.array("a", "b")))).distinct().join(nodes, "node").select("node", "first._k1", "first._k2")
     texts = docs.select("text", *whole_row_key(docs)).join(wanted, ["_k1", "_k2"]).select("node", word_hashes())
-    sets = cut(texts.mapInPandas(with_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+    sets = cut(texts.mapInPandas(with_sets, "node long, shingles array<long>, sketch binary").dropDuplicates(["node"]))
 
     linked, number = cut(components(verified(nearest, sets))), 0
     while True:
@@ -313,8 +344,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
         hosts = rest.where("size is not null").select("token", F.col("root").alias("to"), F.col("size").alias("theirs")).distinct()
         smaller = F.coalesce("size", F.lit(0)) < F.col("theirs")
         visits = cut(rest.join(hosts, "token").where((F.col("root") != F.col("to")) & (smaller | (F.col("size") == F.col("theirs")) & (F.col("root") < F.col("to")))).select("to", "node", "root", "n").distinct())
-        hosted = own.join(visits.select(F.col("to").alias("root")).distinct(), "root")
-        found = compared_within(small.join(several, "token").select("token", "node", "root", "n"), sets).union(compared_with_visitors(hosted, visits, sets))
+        hosted = own.join(visits.select(F.col("to").alias("root")).distinct(), "root").select(F.col("root").alias("place"), "node", "root", "n", F.lit(False).alias("second"))
+        visiting = visits.select(F.col("to").alias("place"), "node", "root", "n", F.lit(True).alias("second"))
+        within = small.join(several, "token").select(F.col("token").alias("place"), "node", "root", "n")
+        found = links_across(within, paired, sets).union(links_across(hosted.union(visiting), facing, sets))
         linked = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
     roots = linked.select(F.col("node").alias("_node"), "root")
     return nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"), "first")
