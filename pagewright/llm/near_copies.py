@@ -26,9 +26,11 @@ COUNTED, DEALT = 1 << 21, 1 << 21
 #: A shingle in more texts of a batch than this is dealt out once, with its number.
 HERE = 256
 #: Nodes from which a component is compared with its visitors as a whole, and shingles of a block of nodes that are compared.
-LARGE, BLOCK = 256, 1 << 20
-#: Classes of shingles whose counts bound what two sets have in common.
-CLASSES = 128
+LARGE, BLOCK = 256, 1 << 22
+#: Classes of shingles whose counts bound what two sets have in common; counts of FULL or more bound nothing.
+CLASSES, FULL = 512, 255
+#: Counts of a shingle over all documents are told apart up to here.
+COUNTS = 65_535
 
 
 def mixed_bits(x: np.ndarray) -> np.ndarray:
@@ -75,7 +77,7 @@ def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each node's set, and how many of its shingles are in each class."""
     for pdf in batches:
         sets = [shingle_set(w) for w in pdf["words"]]
-        sketches = [np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).astype(np.int32).tobytes() for s in sets]
+        sketches = [np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).clip(max=FULL).astype(np.uint8).tobytes() for s in sets]
         yield pd.DataFrame({"node": pdf["node"], "shingles": [s.view(np.int64) for s in sets], "sketch": sketches})
 
 
@@ -145,7 +147,7 @@ def counted(pdf: pd.DataFrame) -> pd.DataFrame:
     _, at, n = np.unique(np.concatenate(tokens + hot), return_inverse=True, return_counts=True)
     single = sum(map(len, tokens))
     np.add.at(n, at[single:], np.concatenate(times).astype(np.int64) - 1)
-    df, place, out = n[at].astype(np.uint32), 0, []
+    df, place, out = n[at].clip(max=COUNTS).astype(np.uint16), 0, []
     for batch, counts, t in zip(pdf["batch"], pdf["a"], tokens, strict=True):
         here = df[place : place + len(t)]
         place += len(t)
@@ -153,10 +155,10 @@ def counted(pdf: pd.DataFrame) -> pd.DataFrame:
         if keep.any():
             counts = np.frombuffer(counts, np.uint32)
             owner = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)[keep]
-            out.append((part, batch, 1, owner.tobytes(), (t[keep].astype(np.int64) | part << 32).tobytes(), here[keep].tobytes(), b""))
+            out.append((part, batch, 1, owner.tobytes(), t[keep].tobytes(), here[keep].tobytes(), b""))
     for batch, t in zip(pdf["batch"], hot, strict=True):
         if len(t):
-            out.append((part, batch, 2, b"", (t.astype(np.int64) | part << 32).tobytes(), df[place : place + len(t)].tobytes(), b""))
+            out.append((part, batch, 2, b"", t.tobytes(), df[place : place + len(t)].tobytes(), b""))
         place += len(t)
     return pd.DataFrame(out, columns=list(pdf.columns))
 
@@ -170,8 +172,9 @@ def prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
     own = pdf[pdf["kind"] == 0].iloc[0]
     nodes, sizes = np.frombuffer(own["a"], np.int64), np.frombuffer(own["b"], np.int32).astype(np.int64)
     read = lambda kind, column, dtype: np.concatenate([np.zeros(0, dtype), *[np.frombuffer(x, dtype) for x in pdf.loc[pdf["kind"] == kind, column]]])
-    owner, token, df = read(1, "a", np.uint32), read(1, "b", np.int64), read(1, "c", np.uint32)
-    hot, times = read(2, "b", np.int64), read(2, "c", np.uint32)
+    named = lambda kind: np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.uint32).astype(np.int64) | int(p) << 32 for x, p in pdf.loc[pdf["kind"] == kind, ["b", "part"]].itertuples(index=False)]])
+    owner, token, df = read(1, "a", np.uint32), named(1), read(1, "c", np.uint16)
+    hot, times = named(2), read(2, "c", np.uint16)
     hot_owner, hot_token = np.frombuffer(own["c"], np.uint32), np.frombuffer(own["d"], np.int64)
     by = np.argsort(hot)
     owner, token = np.concatenate([owner, hot_owner]), np.concatenate([token, hot_token])
@@ -220,15 +223,17 @@ def sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def possible(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The nodes of a group (place, node, second) that may be near a node of the other side and another component: two sets have no more in common than, class by class, the smaller of their counts."""
+    """The nodes of a group (place, node, second) that may be near a node of the other side and another component: two sets have no more in common than either shares with any text, nor than, class by class, the smaller of their counts."""
     left, right = sides(pdf)
-    root, n = pdf["root"].to_numpy(), pdf["n"].to_numpy()
-    counts = np.stack([np.frombuffer(x, np.int32) for x in pdf["sketch"]])
+    root, n, shared = pdf["root"].to_numpy(), pdf["n"].to_numpy(), (pdf["n"] - pdf["alone"]).to_numpy()
+    counts = np.stack([np.frombuffer(x, np.uint8) for x in pdf["sketch"]])
+    full = (counts == FULL).any(1)
     keep = np.zeros(len(pdf), bool)
     if len(left) and len(right) and len(np.unique(root)) > 1:
         for x in left:
-            fit = right[(root[right] != root[x]) & (np.minimum(n[right], n[x]) * WHOLE >= np.maximum(n[right], n[x]) * PART)]
-            fit = fit[np.minimum(counts[fit], counts[x]).sum(1) * (PART + WHOLE) >= PART * (n[fit] + n[x])]
+            least = PART * (n[right] + n[x])
+            fit = right[(root[right] != root[x]) & (np.minimum(n[right], n[x]) * WHOLE >= np.maximum(n[right], n[x]) * PART) & (np.minimum(shared[right], shared[x]) * (PART + WHOLE) >= least)]
+            fit = fit[full[fit] | full[x] | (np.minimum(counts[fit], counts[x]).sum(1, dtype=np.int64) * (PART + WHOLE) >= PART * (n[fit] + n[x]))]
             keep[fit] = True
             keep[x] |= len(fit) > 0
     return pdf.loc[keep, ["place", "node", "second"]]
@@ -261,10 +266,10 @@ def compared(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def paired(members: DataFrame) -> DataFrame:
-    """The members (place, node, root, n) of each place in blocks of about BLOCK shingles, once for each block they meet: place, i and j, second (the member is of block j), apart."""
+    """The members (place, node, root, n, alone) of each place in blocks of about BLOCK shingles, once for each block they meet: place, i and j, second (the member is of block j), apart."""
     blocks = members.groupBy("place").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     rows = members.join(blocks, "place").withColumn("at", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("place", F.least("at", "k").alias("i"), F.greatest("at", "k").alias("j"), (F.col("at") > F.col("k")).alias("second"), F.lit(False).alias("apart"), "node", "root", "n")
+    return rows.select("place", F.least("at", "k").alias("i"), F.greatest("at", "k").alias("j"), (F.col("at") > F.col("k")).alias("second"), F.lit(False).alias("apart"), "node", "root", "n", "alone")
 
 
 def facing(members: DataFrame) -> DataFrame:
@@ -273,11 +278,11 @@ def facing(members: DataFrame) -> DataFrame:
     at = lambda c: F.pmod(F.xxhash64("node"), c).cast("int")
     rows = members.join(sizes, "place").withColumn("k", F.explode(F.sequence(F.lit(0), F.when(F.col("second"), F.col("rows")).otherwise(F.col("cols")) - 1)))
     i, j = F.when(F.col("second"), F.col("k")).otherwise(at("rows")), F.when(F.col("second"), at("cols")).otherwise(F.col("k"))
-    return rows.select("place", i.alias("i"), j.alias("j"), "second", F.lit(True).alias("apart"), "node", "root", "n")
+    return rows.select("place", i.alias("i"), j.alias("j"), "second", F.lit(True).alias("apart"), "node", "root", "n", "alone")
 
 
 def links_across(members: DataFrame, deal: Callable[[DataFrame], DataFrame], sets: DataFrame) -> DataFrame:
-    """Links (a, b) between the members (place, node, root, n, second) of each place: sketches rule members out first, and only those left bring their sets."""
+    """Links (a, b) between the members (place, node, root, n, alone, second) of each place: sketches rule members out first, and only those left bring their sets."""
     sketched = deal(members).join(sets.select("node", "sketch"), "node")
     left = sketched.groupBy("place", "i", "j").applyInPandas(possible, "place long, node long, second boolean")
     left = left.select("place", "node", *(["second"] if deal is facing else [])).distinct()
@@ -331,7 +336,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
             break
         linked = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
         number += 1
-    rest = rooted.select("token", "node", "n", "root")
+    rest = rooted.select("token", "node", "n", "alone", "root")
     if not rest.isEmpty():
         of = linked.select(F.col("node").alias("_node"), "root")
         own = nodes.join(of, F.col("node") == F.col("_node")).select("node", "root", "n")
@@ -343,10 +348,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
         several = several.groupBy("n", "s", "t").agg(F.min("token").alias("token")).select("token")
         hosts = rest.where("size is not null").select("token", F.col("root").alias("to"), F.col("size").alias("theirs")).distinct()
         smaller = F.coalesce("size", F.lit(0)) < F.col("theirs")
-        visits = cut(rest.join(hosts, "token").where((F.col("root") != F.col("to")) & (smaller | (F.col("size") == F.col("theirs")) & (F.col("root") < F.col("to")))).select("to", "node", "root", "n").distinct())
-        hosted = own.join(visits.select(F.col("to").alias("root")).distinct(), "root").select(F.col("root").alias("place"), "node", "root", "n", F.lit(False).alias("second"))
-        visiting = visits.select(F.col("to").alias("place"), "node", "root", "n", F.lit(True).alias("second"))
-        within = small.join(several, "token").select(F.col("token").alias("place"), "node", "root", "n")
+        visits = cut(rest.join(hosts, "token").where((F.col("root") != F.col("to")) & (smaller | (F.col("size") == F.col("theirs")) & (F.col("root") < F.col("to")))).select("to", "node", "root", "n", "alone").distinct())
+        hosted = own.join(visits.select(F.col("to").alias("root")).distinct(), "root").select(F.col("root").alias("place"), "node", "root", "n", F.lit(0).cast("long").alias("alone"), F.lit(False).alias("second"))
+        visiting = visits.select(F.col("to").alias("place"), "node", "root", "n", "alone", F.lit(True).alias("second"))
+        within = small.join(several, "token").select(F.col("token").alias("place"), "node", "root", "n", "alone")
         found = links_across(within, paired, sets).union(links_across(hosted.union(visiting), facing, sets))
         linked = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
     roots = linked.select(F.col("node").alias("_node"), "root")
