@@ -189,13 +189,13 @@ def prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"token": token[keep], "node": nodes[at], "n": sizes[at], "alone": alone[at]})
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have similarity 0.8 or more. A node a that is in very many pairs is dealt over many tasks."""
+def verified(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """The pairs (a, b), about total, whose sets of shingles have similarity 0.8 or more. A node a that is in very many pairs is dealt over many tasks."""
     counts = pairs.groupBy("a").agg(F.count("*").alias("pairs"))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")).join(counts, "a")
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
-    met = join_spread(pairs, left, ["a"], "pairs", pairs.count(), F.xxhash64("b")).join(right, "b")
+    met = join_spread(pairs, left, ["a"], "pairs", total, F.xxhash64("b")).join(right, "b")
     return met.where(both * (PART + WHOLE) >= PART * (F.size("s") + F.size("t"))).select("a", "b")
 
 
@@ -290,6 +290,19 @@ def links_across(members: DataFrame, deal: Callable[[DataFrame], DataFrame], set
     return deal(kept).join(sets.select("node", "shingles"), "node").groupBy("place", "i", "j").applyInPandas(compared, "a long, b long")
 
 
+def mixed_tokens(tokens: DataFrame, linked: DataFrame) -> DataFrame:
+    """The tokens (token, node, n, alone, many) that still hold several components, with the root of each node, and a node (a, of size m and root r) of each token by chance."""
+    rooted = tokens.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    leader = F.struct(F.xxhash64(F.lit(1), "node"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("r"))
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(leader).alias("l"), F.count("*").alias("size")).where("low < high").select("token", "size", "l.a", "l.m", "l.r")
+    return cut(join_spread(rooted, mixed, ["token"], "size", tokens.count(), F.col("node")))
+
+
+def meetings(rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b): each node b with the leader of the commonest of its tokens that another component leads."""
+    return rooted.where((F.col("root") != F.col("r")) & fits()).groupBy("node").agg(F.max(F.struct("many", F.xxhash64("token"), "a")).alias("x")).select("x.a", F.col("node").alias("b"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(node, root, first) of docs (doc_id, text): near copies and what they link share a root; first is (none, doc_id, _k1, _k2) of the node's smallest doc_id (null last), then row key.
 
@@ -298,9 +311,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     1. Operator 8's anchors bring fingerprints within 2 bits together; those pairs are verified.
     2. All shingles are counted over all documents. Each node's necessary prefix of its rarest shingles is what it is found
        by; shingles that no other text has find nothing, so most texts drop out here.
-    3. Nodes that share a prefix shingle are candidates. Round by round, each node whose shingles still hold several
-       components meets one other: the node of its commonest such shingle that has most in common with others, and later
-       ones by chance, until a round finds no link. This joins large groups with a pair a node.
+    3. Nodes that share a prefix shingle are candidates. Twice each node whose shingles hold several components meets one
+       other: of its commonest such shingle the node that has most in common with others, then one by chance. This
+       joins large groups with a pair a node; it only saves work, as what it leaves is compared in full.
     4. What still shares a prefix shingle across components is compared in full: within each shingle, and where a
        component is large, its visitors with all of it, in blocks of bounded size. Counts by class, which bound what two
        sets share, rule most out before whole sets move. No pairs are emitted, only links.
@@ -324,18 +337,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts = docs.select("text", *whole_row_key(docs)).join(wanted, ["_k1", "_k2"]).select("node", word_hashes())
     sets = cut(texts.mapInPandas(with_sets, "node long, shingles array<long>, sketch binary").dropDuplicates(["node"]))
 
-    linked, number = cut(components(verified(nearest, sets))), 0
-    while True:
-        rooted = tokens.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        leader = F.struct(F.col("alone") / F.col("n") if not number else F.lit(0.0), F.xxhash64("node", F.lit(number)), F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("r"))
-        mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(leader).alias("l"), F.count("*").alias("size")).where("low < high").select("token", "size", "l.a", "l.m", "l.r")
-        rooted = cut(join_spread(rooted, mixed, ["token"], "size", tokens.count(), F.col("node")))
-        met = rooted.where((F.col("root") != F.col("r")) & fits()).groupBy("node").agg(F.max(F.struct("many", F.xxhash64("token", F.lit(number)), "a")).alias("x")).select("x.a", F.col("node").alias("b"))
-        found = cut(verified(met, sets))
-        if found.isEmpty() and number:
-            break
-        linked = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)))
-        number += 1
+    total = nodes.count()
+    # the first leaders are those with most in common with others, the second ones by chance
+    alone, leader = F.col("alone") / F.col("n"), [F.xxhash64("node"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("node").alias("r")]
+    first = tokens.groupBy("token").agg(F.min(F.struct(alone, *leader)).alias("l"), F.first("many").alias("many")).select("token", "many", "l.a", "l.m", "l.r")
+    met = meetings(join_spread(tokens.drop("many").withColumn("root", F.col("node")), first, ["token"], "many", tokens.count(), F.col("node")))
+    linked = cut(components(verified(nearest.union(met).distinct(), sets, total)))
+    rooted = mixed_tokens(tokens, linked)
+    linked = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(meetings(rooted), sets, total))))
+    rooted = mixed_tokens(rooted.select(*tokens.columns), linked)
     rest = rooted.select("token", "node", "n", "alone", "root")
     if not rest.isEmpty():
         of = linked.select(F.col("node").alias("_node"), "root")
