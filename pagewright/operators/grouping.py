@@ -74,6 +74,14 @@ def text_runs(items: DataFrame) -> DataFrame:
     )
 
 
+def without_start(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+", "")
+
+
+def without_end(text: Column) -> Column:
+    return F.regexp_replace(text, f"{SPACE}+$", "")
+
+
 def justified(runs: DataFrame) -> DataFrame:
     """runs (text_runs) with chains of runs parted by wide gaps joined to one line where the gaps are about the same and not too wide; table cells stay apart. Chains are islands of the runs that follow."""
     down = Window.partitionBy("page").orderBy("line")
@@ -85,11 +93,11 @@ def justified(runs: DataFrame) -> DataFrame:
     size = F.min_by("size", "line").over(of)
     joins = F.coalesce((n > 0) & (most <= F.when(n > 1, SEVERAL).otherwise(SINGLE) * size) & (most - least <= F.greatest(F.lit(EVEN), EVEN_PART * most)), F.lit(False))
     linked = linked.withColumn("into", F.when(joins, F.min("line").over(of)).otherwise(F.col("line")))
-    trim = lambda t, head, tail: F.regexp_replace(F.regexp_replace(t, f"^{SPACE}+" if head else "^(?!)", ""), f"{SPACE}+$" if tail else "$^(?!)", "")
     parts = F.array_sort(F.collect_list(F.struct("line", "text")))
     last = F.max_by(F.struct("e", "f", "width"), "line")
     out = linked.groupBy("page", F.col("into").alias("line")).agg(parts.alias("p"), last.alias("l"), *[F.min_by(c, "line").alias(c) for c in ("font", *"efabcd", "ux", "uy", "size", "width")])
-    words = F.transform("p", lambda p, i: F.when(F.size("p") == 1, p["text"]).otherwise(F.when(i == 0, trim(p["text"], False, True)).when(i == F.size("p") - 1, trim(p["text"], True, False)).otherwise(trim(p["text"], True, True))))
+    inner = lambda p, i: F.when(i == 0, without_end(p["text"])).when(i == F.size("p") - 1, without_start(p["text"])).otherwise(without_start(without_end(p["text"])))
+    words = F.transform("p", lambda p, i: F.when(F.size("p") == 1, p["text"]).otherwise(inner(p, i)))
     reach = F.when(F.size("p") > 1, (F.col("l.e") - F.col("e")) * F.col("ux") + (F.col("l.f") - F.col("f")) * F.col("uy") + F.col("l.width")).otherwise(F.col("width"))
     return out.withColumn("text", F.array_join(words, " ")).withColumn("width", reach).drop("p", "l")
 
@@ -125,6 +133,6 @@ def engine_lines(items: DataFrame, odd_fonts: list[str] | None = None) -> DataFr
     told = of.select("page", F.explode(F.arrays_zip(F.col("rows"), running(F.col("rows"), start, join_step).alias("s"))).alias("z"))
     piece = F.struct("z.rows.line", F.when(F.col("z.s.spaced"), F.concat(F.lit(" "), F.col("z.rows.text"))).otherwise(F.col("z.rows.text")).alias("text"), F.col("z.rows.font").alias("font"))
     out = told.groupBy("page", F.col("z.s.line").alias("line")).agg(F.array_sort(F.collect_list(piece)).alias("p"), *[F.max_by(f"z.s.{c}", "z.rows.line").alias(n) for c, n in (("e", "x"), ("f", "y"), ("size", "size"), ("width", "width"))])
-    text = F.regexp_replace(F.array_join(F.transform("p", lambda p: p["text"]), ""), f"{SPACE}+$", "")
+    text = without_end(F.array_join(F.transform("p", lambda p: p["text"]), ""))
     out = out.select("page", "line", text.alias("text"), "x", "y", "size", "width", F.array_distinct(F.transform("p", lambda p: p["font"])).alias("fonts"))
     return out.where(~F.col("text").rlike(f"^{SPACE}*$"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,28 +18,22 @@ def items_of(rows: DataFrame) -> DataFrame:
     return words.select(F.col("doc_id").alias("page"), "line_no", "seq", F.col("_w.s").alias("s"), (40 + 7 * at).cast("double").alias("x"), (6 * n).cast("double").alias("w"), (40 + 14 * F.col("line_no")).cast("double").alias("top"), F.lit(10.0).alias("h"))
 
 
-def anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Line numbers of items that come sorted by page, top, x and seq; what is kept from one to the next is the open line."""
-    line, top, h, page = -1, 0.0, 0.0, object()
-    for pdf in batches:
-        out = []
-        for p, t, size in zip(pdf["page"].tolist(), pdf["top"].tolist(), pdf["h"].tolist(), strict=True):
-            if p != page:
-                page, line, top, h = p, 0, t, size
-            elif abs(top - t) > max(2.0, min(h, size) * 0.45):
-                line, top, h = line + 1, t, size
-            out.append(line)
-        yield pdf[["page", "seq", "top"]].assign(line=out)
+def anchored(s: Column, i: Column) -> Column:
+    """The state after one more item: the open line's number, and top and height of its first item."""
+    new = (s["line"] < 0) | (F.abs(s["top"] - i["top"]) > F.greatest(F.lit(2.0), F.least(s["h"], i["h"]) * 0.45))
+    return F.struct((s["line"] + new.cast("int")).alias("line"), *[F.when(new, i[c]).otherwise(s[c]).alias(c) for c in ("top", "h")])
 
 
 def anchor_lines(items: DataFrame) -> DataFrame:
     """(page, seq, top, line): line numbers by the distance to the first item of the line, not to the one before, over the items of a page sorted by top and x.
 
-    Pages are dealt over the partitions and sorted there; items stream through, so no page is held.
+    A page's items fold in order in the JVM, over an array of the page.
     """
-    kind = dict(items.dtypes)
-    ordered = items.select("page", "seq", "top", "x", "h").repartition("page").sortWithinPartitions("page", "top", "x", "seq")
-    return ordered.select("page", "seq", "top", "h").mapInPandas(anchored, f"page {kind['page']}, seq int, top double, line int")
+    item = F.struct(F.col("top").cast("double").alias("top"), "x", "seq", F.col("h").cast("double").alias("h"))
+    of = items.groupBy("page").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    start = F.struct(F.lit(-1).alias("line"), F.lit(0.0).alias("top"), F.lit(0.0).alias("h"))
+    told = of.select("page", F.explode(F.arrays_zip(F.col("items"), running(F.col("items"), start, anchored).alias("s"))).alias("z"))
+    return told.select("page", F.col("z.items.seq").cast("int").alias("seq"), "z.items.top", "z.s.line")
 
 
 def segments(items: DataFrame) -> DataFrame:

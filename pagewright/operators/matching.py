@@ -112,7 +112,8 @@ def styled_siblings(lines: DataFrame, fonts_of: DataFrame) -> DataFrame:
     """(page, id, key) of lines (page, id, font, bold, italic: the wanted style): the first font (page, at, key, font, embedded) of the line's font's family, embedded or not as it is, that has the style."""
     named = fonts_of.select("page", "at", "key", "embedded", fonts.family(fonts.normal_name(F.col("font"))).alias("family"), fonts.traits(F.col("font")).alias("t"), F.col("font"))
     own = named.select("page", "font", F.col("family").alias("f"), F.col("embedded").alias("e")).distinct()
-    met = lines.join(own, ["page", "font"]).join(named.drop("font"), "page").where((F.col("family") == F.col("f")) & (F.col("embedded") == F.col("e")) & (F.col("t.bold") == F.col("bold")) & (F.col("t.italic") == F.col("italic")))
+    wanted = named.select("page", F.col("family").alias("f"), F.col("embedded").alias("e"), F.col("t.bold").alias("bold"), F.col("t.italic").alias("italic"), "at", "key")
+    met = lines.join(own, ["page", "font"]).join(wanted, ["page", "f", "e", "bold", "italic"])
     return met.groupBy("page", "id").agg(F.min_by("key", "at").alias("key"))
 
 

@@ -21,6 +21,10 @@ def is_bullet_run(text: Column, font: Column) -> Column:
     return (F.length(t) == 1) & (t.rlike(BULLET_MARK) | F.coalesce(font, F.lit("")).rlike(SYMBOL_FONT))
 
 
+#: Points of a band in which lines and images meet.
+BAND = 50
+
+
 def drawn_by(lines: DataFrame, runs: DataFrame) -> DataFrame:
     """(page, id, run, seq, mode) of lines (page, id, x, y, width, size) and runs (page, run, seq, x, y, mode): the upright runs that start on a line's baseline and within it.
 
@@ -36,13 +40,14 @@ def drawn_by(lines: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def hidden_lines(lines: DataFrame, runs: DataFrame, images: DataFrame) -> DataFrame:
-    """(page, id, reason) of the lines that don't show: all their runs are invisible, or an opaque image (page, seq, x0, y0, x1, y1) painted after the last of them covers the line."""
+    """(page, id, reason) of the lines that don't show: all their runs are invisible, or an opaque image (page, seq, x0, y0, x1, y1) painted after the last of them covers the line. Lines meet the images that reach into their band of the page."""
     told = drawn_by(lines, runs).groupBy("page", "id").agg(F.bool_and(F.col("mode").isin(*INVISIBLE)).alias("invisible"), F.max("seq").alias("last"))
+    band = lambda y: F.floor(y / BAND)
     drawn = lines.join(told, ["page", "id"])
-    i = images.select("page", F.col("seq").alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
+    i = images.where("y1 >= y0").select("page", F.col("seq").alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")], F.explode(F.sequence(band(F.col("y0") - 1), band(F.col("y1") + 1))).alias("_b"))
     under = (F.col("_s") > F.col("last")) & (F.col("_x0") <= F.col("x") + 1) & (F.col("_x1") >= F.col("x") + F.col("width") - 1)
     under = under & (F.col("_y0") <= F.col("y") - 0.22 * F.col("size") + 1) & (F.col("_y1") >= F.col("y") + 0.78 * F.col("size") - 1)
-    covered = drawn.join(i, "page").where(under).select("page", "id").distinct().withColumn("_c", F.lit(True))
+    covered = drawn.withColumn("_b", band(F.col("y"))).join(i, ["page", "_b"]).where(under).select("page", "id").distinct().withColumn("_c", F.lit(True))
     out = drawn.join(covered, ["page", "id"], "left").select("page", "id", F.when(F.col("invisible"), "invisible").when(F.col("_c"), "covered").alias("reason"))
     return out.where("reason is not null")
 

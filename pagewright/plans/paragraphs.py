@@ -30,18 +30,18 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as rows of a page for each nation: a title, two columns, white space, and two columns again."""
-    k = F.col("c_custkey")
-    c = read(spark, sf_dir, "customer").withColumn("n", k % 40)
-    x0 = F.when(F.col("n") == 0, 40.0).when(F.col("n") % 2 == 1, 40.0).otherwise(320.0)
-    y = 800.0 - 14 * F.floor((F.col("n") + 1) / 2) - F.when(F.col("n") > 20, 100.0).otherwise(0.0) - 1000 * F.floor(k / 40)
-    r = c.select((F.col("c_nationkey") + 0).alias("page"), k.alias("row"), x0.alias("x0"), (x0 + F.when(F.col("n") == 0, 500.0).otherwise(200.0 + k % 7)).alias("x1"), y.alias("y"), F.lit(10.0).alias("size"))
-    out = operators.reading_order(r, 8.0, 1)
-    return out.select(F.col("page").cast("long").alias("page"), "row", "rank")
+    """Forty parts a page: a title across it, two columns of ten rows, white space, and two columns again."""
+    k = F.col("p_partkey")
+    n = k % 40
+    x0 = F.when((n > 0) & (n % 2 == 0), 320.0).otherwise(40.0)
+    y = 800.0 - 14 * F.floor((n + 1) / 2) - F.when(n > 20, 100.0).otherwise(0.0)
+    r = read(spark, sf_dir, "part").select(F.floor(k / 40).alias("page"), F.col("p_partkey").alias("row"), x0.alias("x0"), (x0 + F.when(n == 0, 480.0).otherwise(200.0 + k % 7)).alias("x1"), y.alias("y"), F.lit(10.0).alias("size"))
+    return operators.reading_order(r, 8.0).select("page", "row", "rank")
 
 
-QUERIES = {"paragraphs": paragraphs}
+QUERIES = {"paragraphs": paragraphs, "reading_order": reading_order}
 ORACLE_SQL = {
+    "reading_order": """SELECT p_partkey // 40 AS page, p_partkey AS row, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey % 40 > 20, CASE WHEN p_partkey % 40 > 0 AND p_partkey % 2 = 0 THEN 1 ELSE 0 END, p_partkey) - 1 AS rank FROM part""",
     "paragraphs": rf"""
 WITH RECURSIVE {LINES}, r0 AS (SELECT doc_id AS page, line_no::BIGINT AS row, text AS raw, trim(text, ' ') AS text FROM lines WHERE trim(text, ' ') <> ''),
 r1 AS (SELECT page, row, text, 40 + 7 * (length(raw) - length(ltrim(raw, ' ')) + row % 17 % 2)::DOUBLE AS x0, length(text) AS n, 842.0::DOUBLE - 14 * row - 10 * (row // 9) AS y, CASE WHEN row % 13 = 0 THEN 12.0::DOUBLE ELSE 10 END AS size, row % 11 = 0 AS bold, regexp_matches(text, '{MARK}') AS marked FROM r0),
