@@ -59,8 +59,10 @@ def fields_of(widgets: DataFrame) -> DataFrame:
 
 
 def mapped_radios(buttons: DataFrame, options: DataFrame) -> DataFrame:
-    """buttons (doc, name, at, on) with `mapped`: the option (doc, name, at, option) at the place of the last button of the same state, or the state itself."""
-    by_state = buttons.join(options, ["doc", "name", "at"]).where("on is not null and option is not null").groupBy("doc", "name", "on").agg(F.max_by("option", "at").alias("option"))
+    """buttons (doc, name, at, on) with `mapped`: the option (doc, name, at, option; row, if there: their order) at the place of the last button of the same state, or the state itself. Of several options at one place the first row counts."""
+    row = F.col("row") if "row" in options.columns else F.col("option")
+    told = options.where("option is not null").groupBy("doc", "name", "at").agg(F.min_by("option", row).alias("option"))
+    by_state = buttons.where("on is not null").select("doc", "name", "at", "on").distinct().join(told, ["doc", "name", "at"]).groupBy("doc", "name", "on").agg(F.max_by("option", "at").alias("option"))
     return buttons.join(by_state, ["doc", "name", "on"], "left").select("doc", "name", "at", "on", F.coalesce("option", "on").alias("mapped"))
 
 

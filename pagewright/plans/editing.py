@@ -39,8 +39,11 @@ def form_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def radio_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit("r").alias("name"), F.col("l_linenumber").cast("long").alias("at"), (F.col("l_linenumber") % 3).cast("string").alias("on"), F.when(F.col("l_linenumber") < 5, F.col("l_returnflag")).alias("option"))
-    return forms.mapped_radios(lines.drop("option"), lines.select("doc", "name", "at", "option"))
+    """Lines of an order as buttons; lines of one number stand at one place, in the order of the file."""
+    table = read(spark, sf_dir, "lineitem")
+    row = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("row")
+    lines = table.select(F.col("l_orderkey").alias("doc"), F.lit("r").alias("name"), F.col("l_linenumber").cast("long").alias("at"), (F.col("l_linenumber") % 3).cast("string").alias("on"), F.when(F.col("l_linenumber") < 5, F.col("l_returnflag")).alias("option"), row)
+    return forms.mapped_radios(lines.drop("option", "row"), lines.select("doc", "name", "at", "option", "row"))
 
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
