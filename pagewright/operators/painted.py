@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,18 +163,41 @@ def operations(text: str) -> list[tuple[str, list[str], int, int]]:
     return out
 
 
+#: Streams up to this many characters, as forms repeat them, are parsed once for pages that share them.
+SHORT = 4_000
+
+
+@lru_cache(maxsize=256)
+def short_operations(text: str) -> list[tuple[str, list[str], int, int]]:
+    return operations(text)
+
+
 def stream_operations(streams: DataFrame) -> DataFrame:
     """(page, i, op, args, start, end) of content streams (page, stream: Latin-1 text): a row for each operator, args as they are written."""
     kind = dict(streams.dtypes)["page"]
+    names, types = ["i", "op", "args", "start", "end"], [pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32()]
 
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for page, text in zip(pdf["page"], pdf["stream"], strict=True):
-                ops = operations(text or "")
-                for first in range(0, len(ops), 10_000):
-                    yield pd.DataFrame([(page, first + i, *op) for i, op in enumerate(ops[first : first + 10_000])], columns=["page", "i", "op", "args", "start", "end"])
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, rows = [], []
+
+            def full() -> pa.RecordBatch:
+                found = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int32())), *found], ["page", *names])  # noqa: B023
 
-    return streams.select("page", "stream").mapInPandas(parsed, f"page {kind}, i int, op string, args array<string>, start int, end int")
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                ops = (short_operations if len(text or "") <= SHORT else operations)(text or "")
+                for first in range(0, len(ops), 10_000):
+                    part = ops[first : first + 10_000]
+                    of.extend([at] * len(part))
+                    rows.extend((first + i, *op) for i, op in enumerate(part))
+                    if len(rows) >= 10_000:
+                        yield full()
+                        of, rows = [], []
+            if rows:
+                yield full()
+
+    return streams.select("page", "stream").mapInArrow(parsed, f"page {kind}, i int, op string, args array<string>, start int, end int")
 
 
 def image_uses(pages: DataFrame, uses: DataFrame, masks: DataFrame, deepest: int = 4) -> DataFrame:

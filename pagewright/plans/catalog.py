@@ -26,6 +26,11 @@ def longs(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c, kind in df.dtypes if kind == "int"})
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Narrow rows dealt to all cores, where working on one costs more than moving it: a small file is one task otherwise."""
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.lines(read(spark, sf_dir, "documents"))
 

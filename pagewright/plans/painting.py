@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators import painted, reading
-from pagewright.plans.catalog import ITEMS, LINES, doc_lines, longs, read
+from pagewright.plans.catalog import ITEMS, LINES, dealt, doc_lines, longs, read
 from pagewright.plans.checker import quoted
 from pagewright.plans.reading import marks
 
@@ -65,7 +65,7 @@ def fonts_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    streams = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), F.lit(STREAM).alias("stream"))
+    streams = dealt(read(spark, sf_dir, "part").select("p_partkey")).select(F.col("p_partkey").alias("page"), F.lit(STREAM).alias("stream"))
     return longs(painted.stream_operations(streams).withColumn("args", F.array_join("args", "|")))
 
 
