@@ -2,74 +2,138 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import math
+from collections.abc import Iterator, Sequence
 
-from pagewright.functions.geometry import at, box_of, common_box, moved_point, product
-from pagewright.functions.scalars import running
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-# Operators that build, paint and show; the plane, where nothing clips.
+# Operators that build, paint and show, and those whose operands count; the plane, where nothing clips.
 BUILD, PAINT, SHOW = ("m", "l", "c", "v", "y", "h", "re"), ("S", "s", "f", "F", "f*", "B", "B*", "b", "b*", "n"), ("Tj", "TJ", "'", '"')
+WITH_ARGS = ("cm", "w", "m", "l", "c", "v", "y", "re", "Do")
 PLANE = (-1e6, -1e6, 1e6, 1e6)
-SQUARE = ((0, 0), (1, 0), (0, 1), (1, 1))
+START, UNIT = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), (0.0, 0.0, 1.0, 1.0)
+#: How many points a building operator names, as pairs of operands.
+PAIRS = {"m": 1, "l": 1, "c": 3, "v": 2, "y": 2, "h": 0}
 
 
 def numbers(*values: float) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def corners(box: Column) -> Column:
-    return F.array(*[F.array(at(box, i), at(box, j)) for i, j in ((0, 1), (2, 1), (0, 3), (2, 3))])
+def operands(args: Sequence[str] | None) -> list[float]:
+    """The first six operands; what is missing or no number counts 0."""
+    out = [0.0] * 6
+    for i, a in enumerate((args or ())[:6]):
+        try:
+            out[i] = float(a)
+        except (TypeError, ValueError):
+            continue
+    return out
+
+
+def product(m: Sequence[float], n: Sequence[float]) -> tuple[float, ...]:
+    """The matrix that first does m, then n."""
+    a, b, c, d, e, f = n
+    return (m[0] * a + m[1] * c, m[0] * b + m[1] * d, m[2] * a + m[3] * c, m[2] * b + m[3] * d, m[4] * a + m[5] * c + e, m[4] * b + m[5] * d + f)
+
+
+def seen_by(m: Sequence[float], points: Sequence[tuple[float, float]]) -> tuple[float, ...]:
+    """The box of points that matrix m moves."""
+    a, b, c, d, e, f = m
+    xs, ys = [a * x + c * y + e for x, y in points], [b * x + d * y + f for x, y in points]
+    return (min(xs), min(ys), max(xs), max(ys))
 
 
-def seen_by(m: Column, points: Column) -> Column:
-    """The box of points that matrix m moves; null without points."""
-    return F.when(F.size(points) > 0, box_of(F.transform(points, lambda p: moved_point(m, at(p, 0), at(p, 1)))))
+def corners(box: Sequence[float]) -> list[tuple[float, float]]:
+    x0, y0, x1, y1 = box
+    return [(x0, y0), (x1, y0), (x0, y1), (x1, y1)]
 
 
-def built(op: Column, v: Column) -> Column:
+def built(op: str, v: Sequence[float]) -> list[tuple[float, float]]:
     """The points that a building operator names."""
-    p = lambda i, j: F.array(at(v, i), at(v, j))
-    corner = F.array(p(0, 1), F.array(at(v, 0) + at(v, 2), at(v, 1)), F.array(at(v, 0), at(v, 1) + at(v, 3)), F.array(at(v, 0) + at(v, 2), at(v, 1) + at(v, 3)))
-    none = F.slice(F.array(p(0, 1)), 1, 0)
-    return F.when(op.isin("m", "l"), F.array(p(0, 1))).when(op == "c", F.array(p(0, 1), p(2, 3), p(4, 5))).when(op.isin("v", "y"), F.array(p(0, 1), p(2, 3))).when(op == "re", corner).otherwise(none)
-
-
-def joined(a: Column, b: Column) -> Column:
-    """The box around two boxes, either of which may be null."""
-    both = F.array(F.least(at(a, 0), at(b, 0)), F.least(at(a, 1), at(b, 1)), F.greatest(at(a, 2), at(b, 2)), F.greatest(at(a, 3), at(b, 3)))
-    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
-
-
-def step(s: Column, o: Column) -> Column:
-    """The state after one more operator; `item` holds what the operator put on the page, or null."""
-    free = ~s["text"]
-    builds, paints, clips = (free & o[c] for c in ("builds", "paints", "clips"))
-    other = free & ~o["builds"] & ~o["paints"] & ~o["clips"]
-    op = o["op"]
-    shows = paints & s["box"].isNotNull()
-    pops = other & (op == "Q") & (F.size(s["stack"]) > 0)
-    top = F.element_at(s["stack"], -1)
-    none = F.lit(None)
-    keep = lambda new, old: F.when(builds, new).when(paints | other, none).otherwise(old)
-    ctm = F.when(pops, top["ctm"]).when(other & (op == "cm"), product(o["v"], s["ctm"])).otherwise(s["ctm"])
-    clip = F.when(pops, top["clip"]).when(shows & s["pending"], common_box(s["clip"], s["box"])).otherwise(s["clip"])
-    scale = F.sqrt(F.abs(at(s["ctm"], 0) * at(s["ctm"], 3) - at(s["ctm"], 1) * at(s["ctm"], 2)))
-    wide = F.when(o["strokes"], s["width"] * F.when(scale == 0, 1.0).otherwise(scale)).otherwise(0.0)
-    drawn = F.array(at(s["box"], 0) - wide / 2, at(s["box"], 1) - wide / 2, at(s["box"], 2) + wide / 2, at(s["box"], 3) + wide / 2)
-    item = lambda kind, box, m=s["ctm"], i0=o["i"], start=o["start"], w=F.lit(0.0), sets=F.lit(False), painted=F.lit(True): F.struct(F.lit(kind).alias("kind"), i0.alias("i0"), start.alias("start"), box.alias("box"), m.alias("ctm"), s["clip"].alias("clip_at"), w.alias("line"), sets.alias("clips"), painted.alias("painted"))
-    square = F.array(*[numbers(*p) for p in SQUARE])
-    put = F.when(shows, item("path", drawn, s["from_ctm"], s["from_i"], s["from"], wide, s["pending"], op != "n"))
-    put = put.when(other & (op == "Do") & (o["kind"] == "image"), item("image", seen_by(s["ctm"], square))).when(other & (op == "Do") & (o["kind"] == "form"), item("form", seen_by(product(o["matrix"], s["ctm"]), corners(o["bounds"]))))
-    put = put.when(other & (op == "BI"), item("inline", seen_by(s["ctm"], square))).when(other & (op == "sh"), item("shading", F.coalesce(s["clip"], numbers(*PLANE)))).when(s["text"] & o["shows"], item("text", F.coalesce(s["clip"], numbers(*PLANE))))
-    saved = F.struct(s["ctm"].alias("ctm"), s["clip"].alias("clip"), s["width"].alias("width"))
-    return F.struct(
-        ctm.alias("ctm"), clip.alias("clip"), F.when(pops, top["width"]).when(other & (op == "w"), at(o["v"], 0)).otherwise(s["width"]).alias("width"),
-        F.when(pops, F.slice(s["stack"], F.lit(1), F.size(s["stack"]) - 1)).when(other & (op == "q"), F.array_append(s["stack"], saved)).otherwise(s["stack"]).alias("stack"),
-        keep(F.coalesce(s["from_i"], o["i"]), s["from_i"]).alias("from_i"), keep(F.coalesce(s["from"], o["start"]), s["from"]).alias("from"), keep(F.coalesce(s["from_ctm"], s["ctm"]), s["from_ctm"]).alias("from_ctm"),
-        keep(joined(s["box"], seen_by(s["ctm"], o["points"])), s["box"]).alias("box"), F.when(clips, True).when(paints, False).otherwise(s["pending"]).alias("pending"),
-        F.when(s["text"], op != "ET").otherwise(op == "BT").alias("text"), put.alias("item"),
-    )
+    if op == "re":
+        return corners((v[0], v[1], v[0] + v[2], v[1] + v[3]))
+    return [(v[2 * i], v[2 * i + 1]) for i in range(PAIRS[op])]
+
+
+class Page:
+    """The graphics state of a page; `items` holds what its operators put on the page, but inline images until they end."""
+
+    def __init__(self, page: object) -> None:
+        self.page, self.known, self.items, self.inline = page, {}, [], []
+        self.ctm, self.clip, self.width, self.stack = START, None, 1.0, []
+        self.first, self.box, self.pending, self.text = None, None, False, False
+
+    def put(self, kind: str, i: int, start: int, end: int, box: Sequence[float], i0: int | None = None, ctm: Sequence[float] | None = None, clips: bool = False, painted: bool = True, line: float = 0.0) -> None:
+        item = [self.page, i if i0 is None else i0, i, kind, start, end, box, ctm or self.ctm, self.clip, clips, painted, line]
+        (self.inline if kind == "inline" else self.items).append(item)
+
+    def paint(self, op: str, i: int, end: int) -> None:
+        if self.box is not None:
+            a, b, c, d = self.ctm[:4]
+            line = self.width * (math.sqrt(abs(a * d - b * c)) or 1.0) if op[0] in "SsBb" else 0.0
+            x0, y0, x1, y1 = self.box
+            i0, start, ctm = self.first
+            self.put("path", i, start, end, (x0 - line / 2, y0 - line / 2, x1 + line / 2, y1 + line / 2), i0, ctm, self.pending, op != "n", line)
+            if self.pending:
+                c = self.clip or self.box
+                self.clip = (max(c[0], x0), max(c[1], y0), min(c[2], x1), min(c[3], y1))
+        self.first, self.box, self.pending = None, None, False
+
+    def step(self, i: int, op: str, args: Sequence[str] | None, start: int, end: int) -> None:
+        """One more operator."""
+        if op == "EI":  # inline images before it end here
+            for item in self.inline:
+                item[2], item[5] = i, end
+            self.items += self.inline
+            self.inline = []
+        if self.text:
+            if op in SHOW:
+                self.put("text", i, start, end, self.clip or PLANE)
+            self.text = op != "ET"
+        elif op in BUILD:
+            self.first = self.first or (i, start, self.ctm)
+            points = built(op, operands(args))
+            if points:
+                x0, y0, x1, y1 = seen_by(self.ctm, points)
+                b = self.box
+                self.box = (x0, y0, x1, y1) if b is None else (min(b[0], x0), min(b[1], y0), max(b[2], x1), max(b[3], y1))
+        elif op in PAINT:
+            self.paint(op, i, end)
+        elif op in ("W", "W*"):
+            self.pending = True
+        else:
+            self.first, self.box = None, None
+            self.text = op == "BT"
+            self.other(i, op, args, start, end)
+
+    def other(self, i: int, op: str, args: Sequence[str] | None, start: int, end: int) -> None:
+        if op == "q":
+            self.stack.append((self.ctm, self.clip, self.width))
+        elif op == "Q":
+            if self.stack:
+                self.ctm, self.clip, self.width = self.stack.pop()
+        elif op == "cm":
+            self.ctm = product(operands(args), self.ctm)
+        elif op == "w":
+            self.width = operands(args)[0]
+        elif op == "Do":
+            kind, bounds, matrix = self.known.get(args[0][1:] if args else None, (None, None, None))
+            if kind == "image":
+                self.put("image", i, start, end, seen_by(self.ctm, corners(UNIT)))
+            elif kind == "form":
+                self.put("form", i, start, end, seen_by(product(matrix or START, self.ctm), corners(bounds or UNIT)))
+        elif op == "BI":
+            self.put("inline", i, start, end, seen_by(self.ctm, corners(UNIT)))
+        elif op == "sh":
+            self.put("shading", i, start, end, self.clip or PLANE)
+
+
+ITEM = "i0 int, i1 int, kind string, start int, end int, box array<double>, ctm array<double>, clip_at array<double>, clips boolean, painted boolean, line double"
+_BOX = pa.list_(pa.float64())
+ITEM_TYPES = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), _BOX, _BOX, _BOX, pa.bool_(), pa.bool_(), pa.float64()]
 
 
 def page_items(operations: DataFrame, objects: DataFrame) -> DataFrame:
@@ -80,29 +144,44 @@ def page_items(operations: DataFrame, objects: DataFrame) -> DataFrame:
     own: theirs is the clip. objects (page, name, kind, bounds, matrix) tells the named images and forms; a name that it
     doesn't have draws nothing.
 
-    Saving and restoring nest, so an operator's state hangs on all before it: a page's operators fold once, in the JVM,
-    over an array of the page, with the saved states as a stack; nothing is drawn. Restores without a save do nothing.
-    Operands that are no numbers count 0.
+    Saving and restoring nest, so an operator's state hangs on all before it: Spark deals operators and objects by page
+    and sorts them, a page's objects first, and each task takes one operator after another, with the saved states as a
+    stack; no page is held whole, and nothing is drawn. Restores without a save do nothing. Operands that are no numbers
+    count 0.
     """
-    name = F.when(F.col("op") == "Do", F.substring(F.get("args", F.lit(0)), 2, 1_000_000))
-    known = objects.select("page", F.col("name").alias("_name"), "kind", F.coalesce("bounds", numbers(0, 0, 1, 1)).alias("bounds"), F.coalesce("matrix", numbers(1, 0, 0, 1, 0, 0)).alias("matrix"))
-    rows = operations.withColumn("_name", name).join(known, ["page", "_name"], "left")
-    rows = rows.withColumn("v", F.transform(F.array(*[F.get("args", F.lit(i)) for i in range(6)]), lambda a: F.coalesce(a.try_cast("double"), F.lit(0.0))))
-    o = F.struct(
-        "i", "op", "start", "v", "kind", "bounds", "matrix", built(F.col("op"), F.col("v")).alias("points"), F.col("op").isin(*BUILD).alias("builds"), F.col("op").isin(*PAINT).alias("paints"),
-        F.col("op").isin("W", "W*").alias("clips"), F.col("op").isin(*SHOW).alias("shows"), F.col("op").rlike("^[SsBb]").alias("strokes"), "end",
-    )
-    closing = F.min(F.when(F.col("op") == "EI", F.struct("i", "end"))).over(Window.partitionBy("page").orderBy("i").rowsBetween(1, Window.unboundedFollowing))
-    of = rows.withColumn("_e", closing).withColumn("_o", o).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("i", "_o", "_e"))).alias("ops"))
-    box, none = "array<double>", F.lit(None)
-    saved = "array<struct<ctm:array<double>,clip:array<double>,width:double>>"
-    item = "struct<kind:string,i0:int,start:int,box:array<double>,ctm:array<double>,clip_at:array<double>,line:double,clips:boolean,painted:boolean>"
-    start = F.struct(
-        numbers(1, 0, 0, 1, 0, 0).alias("ctm"), none.cast(box).alias("clip"), F.lit(1.0).alias("width"), F.array().cast(saved).alias("stack"), none.cast("int").alias("from_i"), none.cast("int").alias("from"), none.cast(box).alias("from_ctm"),
-        none.cast(box).alias("box"), F.lit(False).alias("pending"), F.lit(False).alias("text"), none.cast(item).alias("item"),
-    )
-    items = F.transform(running(F.transform("ops", lambda x: x["_o"]), start, step), lambda s: s["item"])
-    out = of.select("page", F.explode(F.arrays_zip(F.col("ops"), items.alias("item"))).alias("z")).where("z.item is not null")
-    inline = (F.col("z.item.kind") == "inline") & F.col("z.ops._e").isNotNull()
-    ends = lambda c, own: F.when(inline, F.col(f"z.ops._e.{c}")).otherwise(F.col(f"z.ops._o.{own}"))
-    return out.select("page", F.col("z.item.i0").alias("i0"), ends("i", "i").alias("i1"), "z.item.kind", "z.item.start", ends("end", "end").alias("end"), "z.item.box", "z.item.ctm", "z.item.clip_at", "z.item.clips", "z.item.painted", "z.item.line")
+    kind = dict(operations.dtypes)["page"]
+    none = lambda t: F.lit(None).cast(t)
+    args = F.when(F.col("op").isin(*WITH_ARGS), F.col("args"))
+    ops = operations.select("page", F.col("i").cast("int").alias("i"), "op", args.alias("args"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), none("array<double>").alias("bounds"), none("array<double>").alias("matrix"))
+    named = objects.select(F.col("page").cast(kind).alias("page"), F.lit(-1).alias("i"), F.col("kind").alias("op"), F.array("name").alias("args"), none("int").alias("start"), none("int").alias("end"), F.col("bounds").cast("array<double>").alias("bounds"), F.col("matrix").cast("array<double>").alias("matrix"))
+    rows = ops.union(named).repartition("page").sortWithinPartitions("page", "i")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, done = None, []
+
+        def told(of: pa.DataType) -> pa.RecordBatch:
+            columns = zip(*done, strict=True) if done else [[]] * (1 + len(ITEM_TYPES))
+            names = ["page", *(c.split()[0] for c in ITEM.split(", "))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [of, *ITEM_TYPES], strict=True)], names)
+
+        of = None
+        for batch in batches:
+            of = batch.schema.field(0).type
+            for page, i, op, args, start, end, bounds, matrix in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if state is None or page != state.page:
+                    done += state.items + state.inline if state else []
+                    state = Page(page)
+                if i < 0:
+                    state.known.setdefault(args[0], (op, bounds, matrix))
+                else:
+                    state.step(i, op, args, start, end)
+            done += state.items if state else []
+            if state:
+                state.items = []
+            yield told(of)
+            done = []
+        if state and state.inline:
+            done = state.inline
+            yield told(of)
+
+    return rows.mapInArrow(folded, f"page {kind}, {ITEM}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators import graphics, painted
-from pagewright.plans.catalog import longs, read
+from pagewright.plans.catalog import dealt, longs, read
 
 #: {a}, {b}, {c}: whole numbers of the row; {n}: one to seven squares.
 STREAM = "q 2 0 0 {a} {b} 10 cm 0 0 100 50 re W n /Im Do q 1 0 0 1 5 {c} cm 3 w 1 2 m 9 {c} l S Q 20 30 40 {a} re f Q 0 0 7 7 re f* BT (x) Tj ET Q /Fm Do {n}"
@@ -15,7 +15,7 @@ STREAM = "q 2 0 0 {a} {b} 10 cm 0 0 100 50 re W n /Im Do q 1 0 0 1 5 {c} cm 3 w
 def line_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A content stream for each order, and the objects that it names."""
     key, by = F.col("o_orderkey"), F.col("o_custkey")
-    line = read(spark, sf_dir, "orders").select(key.alias("page"), (by % 5 + 1).alias("a"), (by % 9).alias("b"), (key % 30).alias("c"), (key % 7 + 1).cast("int").alias("n"))
+    line = dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(key.alias("page"), (by % 5 + 1).alias("a"), (by % 9).alias("b"), (key % 30).alias("c"), (key % 7 + 1).cast("int").alias("n"))
     text = F.lit(STREAM)
     for c in "abc":
         text = F.replace(text, F.lit(f"{{{c}}}"), F.col(c).cast("string"))
