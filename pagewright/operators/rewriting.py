@@ -2,40 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.geometry import at, number_text, user_delta
-from pagewright.functions.scalars import running
+from pagewright.operators.graphics import PAINT
 
 #: Replacements (page, s, e, text, inserts): the span from s to e gives way to the text; inserts: it only adds text.
 SPAN = ("page", "s", "e", "text", "inserts")
 
 
-def kept_spans(spans: Column) -> Column:
-    """Of spans in order from the right (insertions behind others of one start), whether each is kept: it ends where the last kept one begins, or before."""
-    start = F.struct(F.lit(2**31 - 1).alias("from"), F.lit(False).alias("kept"))
-    states = running(spans, start, lambda s, r: F.struct(F.when(r["e"] <= s["from"], r["s"]).otherwise(s["from"]).alias("from"), (r["e"] <= s["from"]).alias("kept")))
-    return F.transform(states, lambda s: s["kept"])
+def spliced(stream: str, spans: Sequence[dict]) -> tuple[str, int]:
+    """A stream after spans in order from the right, and how many of them are kept: one that ends where the last kept one begins, or before."""
+    pieces, upto = [], len(stream)
+    start, kept = 2**31 - 1, 0
+    for r in spans:
+        if r["e"] <= start:
+            start, kept = r["s"], kept + 1
+            pieces += [stream[r["e"] : upto], r["text"]]
+            upto = r["s"]
+    return "".join([stream[:upto], *reversed(pieces)]), kept
 
 
 def rewritten(streams: DataFrame, spans: DataFrame) -> DataFrame:
     """(page, stream, n_kept, n_dropped) of streams (page, stream) after SPANs: those that run into a kept one further right are dropped.
 
-    What is kept is told from the right in one fold; the stream is then gathered once, from the left, from what lies
-    between the spans and their texts. Streams without spans stay; spans of pages without a stream are left out.
+    What is kept is told from the right, a page's spans in a row. Streams without spans stay; spans of pages without a
+    stream are left out.
     """
     span = F.struct((-F.col("s")).alias("k"), F.col("inserts"), F.col("at"), F.col("s"), F.col("e"), F.col("text"))
     numbered = spans.withColumn("at", F.xxhash64("s", "e", "text"))
-    of = numbered.groupBy("page").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    met = streams.join(of, "page", "left").withColumn("spans", F.coalesce("spans", F.slice(F.array(F.struct(F.lit(0).alias("k"), F.lit(False).alias("inserts"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("text"))), 1, 0)))
-    met = met.withColumn("kept", kept_spans(F.col("spans")))
-    met = met.withColumn("good", F.reverse(F.transform(F.filter(F.arrays_zip(F.col("spans"), F.col("kept")), lambda z: z["kept"]), lambda z: z["spans"])))
-    piece = lambda r, i: F.concat(F.substring(F.col("stream"), F.coalesce(F.get("good", i - 1)["e"], F.lit(0)) + 1, r["s"] - F.coalesce(F.get("good", i - 1)["e"], F.lit(0))), r["text"])
-    end = F.coalesce(F.get("good", F.size("good") - 1)["e"], F.lit(0))
-    tail = F.substring(F.col("stream"), end + 1, F.length("stream") - end)
-    stream = F.concat(F.array_join(F.transform("good", piece), ""), tail)
-    return met.select("page", stream.alias("stream"), F.size("good").alias("n_kept"), (F.size("spans") - F.size("good")).alias("n_dropped"))
+    of = numbered.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(span)), lambda r: F.struct(r["s"].cast("int").alias("s"), r["e"].cast("int").alias("e"), r["text"].alias("text"))).alias("spans"))
+    kind = dict(streams.dtypes)["page"]
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, found = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            out = [(t, 0) if not s or t is None else spliced(t, s) for t, s in zip(texts, found, strict=True)]
+            dropped = [len(s or ()) - n for (_, n), s in zip(out, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int32()), pa.array(dropped, pa.int32())], ["page", "stream", "n_kept", "n_dropped"])
+
+    return streams.select("page", "stream").join(of, "page", "left").mapInArrow(told, f"page {kind}, stream string, n_kept int, n_dropped int")
 
 
 def moved_operator(op: Column, v: Column, dx: Column, dy: Column) -> Column:
@@ -65,3 +75,25 @@ def drops(items: DataFrame, operations: DataFrame) -> DataFrame:
     paths = items.where("kind = 'path' and painted").join(last, ["page", "i1"]).select("page", F.col("_s").alias("s"), F.col("_e").alias("e"), F.lit("n").alias("text"), F.lit(False).alias("inserts"))
     others = items.where("kind not in ('path', 'text')").select("page", F.col("start").alias("s"), F.col("end").alias("e"), F.lit("").alias("text"), F.lit(False).alias("inserts"))
     return paths.unionByName(others)
+
+
+def edits(items: DataFrame, operations: DataFrame, streams: DataFrame) -> DataFrame:
+    """The SPANs of shifts and drops together, of items with dy and `gone`: those that are gone are dropped, the others shifted. Items, operators and streams each are read once, where both apart read them several times."""
+    gone = F.coalesce("gone", F.lit(False))
+    moves = ~gone & (F.coalesce("dy", F.lit(0.0)) != 0) & (F.col("kind") != "shading")
+    told = items.where((gone | moves) & (F.col("kind") != "text")).select("page", "i0", "i1", "kind", "painted", F.col("start").alias("s"), F.col("end").alias("e"), gone.alias("gone"), user_delta(F.col("ctm"), F.lit(0.0), F.col("dy")).alias("d"))
+    told = told.where((F.col("gone") | F.col("d").isNotNull()) & ~(F.col("gone") & (F.col("kind") == "path") & ~F.col("painted")))
+    first = F.when((F.col("kind") == "path") & ~F.col("gone"), F.col("i0")).otherwise(F.col("i1"))
+    last = F.when((F.col("kind") == "path") & ~F.col("gone"), F.col("i1") - 1).otherwise(F.col("i1"))
+    places = told.select("page", "kind", "gone", "d", "s", "e", F.explode(F.sequence(first, last)).alias("i"))
+    # an operator of a path gives its own place, all others the item's
+    v = F.transform(F.array(*[F.get("args", F.lit(i)) for i in range(6)]), lambda a: F.coalesce(a.try_cast("double"), F.lit(0.0)))
+    ops = operations.where(F.col("op").isin("m", "l", "c", "v", "y", "re", *PAINT)).select("page", "i", "op", v.alias("v"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    path = F.col("kind") == "path"
+    met = places.join(ops, ["page", "i"], "left")
+    text = F.when(~path & F.col("gone"), "").when(path & F.col("gone"), "n").when(path, moved_operator(F.col("op"), F.col("v"), at(F.col("d"), 0), at(F.col("d"), 1)))
+    met = met.select("page", F.when(path, F.col("_s")).otherwise(F.col("s")).alias("s"), F.when(path, F.col("_e")).otherwise(F.col("e")).alias("e"), text.alias("text"), (~path & ~F.col("gone")).alias("wrapped"), "d").where("wrapped or text is not null")
+    step = F.concat(F.lit("q 1 0 0 1 "), number_text(at(F.col("d"), 0)), F.lit(" "), number_text(at(F.col("d"), 1)), F.lit(" cm "))
+    own = F.substring(F.col("stream"), F.col("s") + 1, F.col("e") - F.col("s"))
+    said = F.when(F.col("wrapped"), F.concat(step, own, F.lit(" Q"))).otherwise(F.col("text"))
+    return met.join(streams.select("page", "stream"), "page").select("page", "s", "e", said.alias("text"), F.lit(False).alias("inserts"))

@@ -16,9 +16,9 @@ STEP = 60.0
 def rewritten_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams, objects = line_streams(spark, sf_dir)
     ops = painted.stream_operations(streams)
-    items = graphics.page_items(ops, objects).withColumn("dy", F.when(F.col("page") % 2 == 0, STEP))
-    gone = items.where((F.col("page") % 3 == 0) & ((F.col("kind") == "image") | (F.col("i0") == 24)))
-    spans = rewriting.shifts(items.join(gone.select("page", "i0"), ["page", "i0"], "left_anti"), ops, streams).union(rewriting.drops(gone, ops))
+    gone = (F.col("page") % 3 == 0) & ((F.col("kind") == "image") | (F.col("i0") == 24))
+    items = graphics.page_items(ops, objects).withColumn("dy", F.when(F.col("page") % 2 == 0, STEP)).withColumn("gone", gone)
+    spans = rewriting.edits(items, ops, streams)
     return longs(rewriting.rewritten(streams, spans))
 
 
