@@ -86,15 +86,22 @@ def parse_ranges(spec: Column, n: Column) -> Column:
     parts = F.filter(F.split(tidy, r"[,;\s]+"), lambda p: p != "")
 
     def one(p: Column) -> Column:
-        ok = p.rlike(r"^(\d+|\d+-\d*|-\d+)$")
+        # each number is read once: in lambda functions an expression is computed at every place where it stands
         a = F.coalesce(F.regexp_extract(p, r"^(\d*)", 1).try_cast("int"), F.lit(1))
-        b = F.when(~p.contains("-"), a).otherwise(F.coalesce(F.regexp_extract(p, r"-(\d*)$", 1).try_cast("int"), n.cast("int")))
-        error = F.when(~ok, "unreadable").when(a > b, "reversed").when((a < 1) | (b > n), "outside")
-        return F.struct(F.when(error.isNull(), F.sequence(a - 1, F.greatest(a, b) - 1)).alias("pages"), error.alias("error"))
+        end = F.when(p.contains("-"), F.coalesce(F.regexp_extract(p, r"-(\d*)$", 1).try_cast("int"), n.cast("int")))
 
-    read = F.transform(parts, one)
-    error = F.when(F.size(parts) == 0, "empty").otherwise(F.get(F.filter(F.transform(read, lambda r: r["error"]), lambda e: e.isNotNull()), F.lit(0)))
-    return F.struct(F.when(error.isNull(), F.transform(read, lambda r: r["pages"])).alias("groups"), error.alias("error"))
+        def told(t: Column) -> Column:
+            a, b = t["a"], F.when(t["open"], t["end"]).otherwise(t["a"])
+            error = F.when(~t["ok"], "unreadable").when(a > b, "reversed").when((a < 1) | (b > n), "outside")
+            return let(error, lambda e: F.struct(F.when(e.isNull(), F.sequence(a - 1, F.greatest(a, b) - 1)).alias("pages"), e.alias("error")))
+
+        return let(F.struct(p.rlike(r"^(\d+|\d+-\d*|-\d+)$").alias("ok"), p.contains("-").alias("open"), a.alias("a"), end.alias("end")), told)
+
+    def of(read: Column) -> Column:
+        error = F.when(F.size(read) == 0, "empty").otherwise(F.get(F.filter(F.transform(read, lambda r: r["error"]), lambda e: e.isNotNull()), F.lit(0)))
+        return let(error, lambda e: F.struct(F.when(e.isNull(), F.transform(read, lambda r: r["pages"])).alias("groups"), e.alias("error")))
+
+    return let(F.transform(parts, one), of)
 
 
 def written_date(date: Column) -> Column:
