@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import scalars
 from pagewright.operators import forms, layout, pages, reading
-from pagewright.plans.catalog import ITEMS, SEGMENTS, items, longs, read
+from pagewright.plans.catalog import ITEMS, SEGMENTS, dealt, items, longs, read
 
 WIDTH, MIN_GAP = 595.0, 8.0
 #: Words that stand for bullets.
@@ -51,7 +51,7 @@ def form_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = lambda k: (F.col("p_partkey") * k % 256).cast("double") / 255
     plain = scalars.hex_color(share(7), share(13), share(29))
-    return read(spark, sf_dir, "part").select("p_partkey", plain.alias("plain")).select("*", scalars.readable_color(F.col("plain")).alias("readable"))
+    return dealt(read(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", plain.alias("plain")).select("*", scalars.readable_color(F.col("plain")).alias("readable"))
 
 
 def written_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import resume_text, scalars
 from pagewright.operators import resume
-from pagewright.plans.catalog import LINES, doc_lines, longs, read
+from pagewright.plans.catalog import LINES, dealt, doc_lines, longs, read
 from pagewright.plans.checker import quoted
 
 HEADINGS = {
@@ -53,7 +53,7 @@ def facts(cases: dict, said: str, columns: list[str], told: Callable[[Column], l
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         case = F.get(F.array(*map(F.lit, keys)), (F.col("p_partkey") % len(keys)).cast("int"))
-        rows = read(spark, sf_dir, "part").select("p_partkey", case.alias(said))
+        rows = dealt(read(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", case.alias(said))
         return rows.select("p_partkey", said, *[c.alias(n) for n, c in zip(columns, told(F.col(said)), strict=True)])
 
     def literal(v) -> str:
