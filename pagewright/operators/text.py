@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.scalars import mask_digits, running
+from pagewright.functions.scalars import let, mask_digits, running
 from pagewright.session import join_spread
 
 # Patterns of contact fields, and code points around a hit in its snippet.
@@ -54,16 +54,18 @@ def replace_text(rows: DataFrame, pattern: str, replacement: str, text: str = "t
 
 def delete_hits(rows: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """rows with the hits deleted from right to left, without leaving a double space: a space after a hit goes if one is before it or the line starts there; else a space before it goes if the line ends or punctuation follows."""
-    hits = F.reverse(F.sequence(F.lit(1), F.size("_g") - 1))
 
-    def drop(rest: Column, i: Column) -> Column:
-        before = F.get("_g", i - 1)
-        kept = F.when(rest.startswith(" ") & ((before == "") & (i == 1) | before.endswith(" ")), F.substring(rest, F.lit(2), F.length(rest))).otherwise(rest)
-        shortened = F.when((kept == rest) & before.endswith(" ") & ((rest == "") | rest.rlike(r"^[\s.,;:!?)]")), F.substring(before, F.lit(1), F.length(before) - 1)).otherwise(before)
-        return F.concat(shortened, kept)
+    def joined(g: Column) -> Column:
+        def drop(rest: Column, i: Column) -> Column:
+            before = F.get(g, i - 1)
+            kept = F.when(rest.startswith(" ") & ((before == "") & (i == 1) | before.endswith(" ")), F.substring(rest, F.lit(2), F.length(rest))).otherwise(rest)
+            shortened = F.when((kept == rest) & before.endswith(" ") & ((rest == "") | rest.rlike(r"^[\s.,;:!?)]")), F.substring(before, F.lit(1), F.length(before) - 1)).otherwise(before)
+            return F.concat(shortened, kept)
 
-    cut = rows.withColumn("_g", F.split(text, pattern, -1))
-    return cut.withColumn("deleted", F.when(F.size("_g") > 1, F.aggregate(hits, F.element_at("_g", -1), drop)).otherwise(F.col(text))).drop("_g")
+        return F.when(F.size(g) > 1, F.aggregate(F.reverse(F.sequence(F.lit(1), F.size(g) - 1)), F.element_at(g, -1), drop)).otherwise(F.col(text))
+
+    # the line is split once, also where a filter of what is deleted is computed before it: not once for each hit
+    return rows.withColumn("deleted", let(F.split(text, pattern, -1), joined))
 
 
 def contact_fields(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from pagewright.functions import scalars
-from pagewright.operators import fitting
+from pagewright.operators import fitting, text
 from pagewright.plans import fitting as fitting_plans
 from pagewright.plans import reading, writing
 
@@ -28,3 +28,10 @@ def test_ranges_of_unknown_length(spark):
     df = spark.createDataFrame([("2", None), ("2-", None), ("1-x", 9), ("3-1", 9), ("8-", 9), ("-2,9", 9), ("10", 9), ("", 9)], "spec string, n int")
     got = [tuple(r[0]) for r in df.select(scalars.parse_ranges(F.col("spec"), F.col("n"))).collect()]
     assert got == [([[1]], None), ([[1]], None), (None, "unreadable"), (None, "reversed"), ([[7, 8]], None), ([[0, 1], [8]], None), (None, "outside"), (None, "empty")]
+
+
+def test_lines_are_split_once_for_a_filter_and_once_for_what_is_deleted(spark):
+    rows = spark.createDataFrame([("the a the, b the",), ("none",)], "text string")
+    out = text.delete_hits(rows, "the").where("deleted <> text")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+    assert [r["deleted"] for r in out.collect()] == ["a, b"]
