@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.scalars import running
 from pagewright.functions.scripts import has_indic
 
 # Fixed values, in sizes: the smallest size; what differs in size or slant; off the baseline; how far back and on a run goes; a word's gap; a wide gap.
@@ -17,36 +19,87 @@ INDIC_SIZE, OVERLAP, INDIC_GAP = 0.05, 0.2, 0.35
 SPACE = r"[\s\x{00A0}\x{FEFF}]"
 
 
-def ahead(of: Column, item: Column) -> tuple[Column, Column]:
+#: What a run is told by, beside its page, number, text and reach.
+PLACE = ("font", *"efabcd", "ux", "uy", "size")
+#: Runs and lines of a batch on the way back.
+BATCH = 10_000
+
+
+def listed(column: pa.Array) -> list:
+    """A column's values, by way of NumPy where that keeps them: many times faster. A null number is no number, which is like nothing."""
+    kind = column.type
+    fast = pa.types.is_floating(kind) or pa.types.is_string(kind) or not column.null_count and (pa.types.is_integer(kind) or pa.types.is_boolean(kind))
+    return column.to_numpy(zero_copy_only=False).tolist() if fast else column.to_pylist()
+
+
+def values(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple]:
+    return zip(*(listed(batch.column(n)) for n in names), strict=True)
+
+
+def sent(rows: list[tuple], page: pa.DataType, schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of a page and what the schema names."""
+    schema = schema.insert(0, pa.field("page", page))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=pa.types.is_floating(f.type)) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def ahead(of: dict, e: float, f: float) -> tuple[float, float]:
     """How far an item's origin is along a run's baseline from the run's, and how far off it."""
-    dx, dy = item["e"] - of["e"], item["f"] - of["f"]
+    dx, dy = e - of["e"], f - of["f"]
     return dx * of["ux"] + dy * of["uy"], dy * of["ux"] - dx * of["uy"]
 
 
-def alike(of: Column, item: Column) -> Column:
+def alike(of: dict, off: float, font: str | None, size: float, b: float, c: float) -> bool:
     """Same font, size and slant, and on the baseline."""
-    near = lambda c: F.abs(item[c] - of[c]) < SLANT * item["size"]
-    return (item["font"] == of["font"]) & near("size") & near("b") & near("c") & (F.abs(ahead(of, item)[1]) < OFF * item["size"])
-
-
-def step(s: Column, i: Column) -> Column:
-    """The state after one more item: the open run (null: none), the run before a wide gap, and what became of the item."""
-    open_, wide = s["open"], s["wide"]
-    along = ahead(open_, i)[0]
-    nothing = (i["text"] == "") | (i["size"] < LEAST)
-    gap = ~nothing & i["blank"] & (i["width"] > WIDE * i["size"])
-    goes = ~nothing & ~gap & F.coalesce(alike(open_, i) & (along >= open_["width"] - BACK * i["size"]) & (along - open_["width"] <= ON * i["size"]), F.lit(False))
-    starts = ~nothing & ~gap & ~goes & ~i["blank"]
-    follows = starts & F.coalesce(alike(wide, i) & (ahead(wide, i)[0] > wide["width"]), F.lit(False))
-    spaced = goes & (along - open_["width"] > WORD * i["size"]) & ~open_["ends"] & ~i["opens"]
-    run = lambda line, e, width: F.struct(line.alias("line"), *[(i[c] if e is None else e[c]).alias(c) for c in ("e", "f", "b", "c", "ux", "uy", "size", "font")], width.alias("width"), i["ends"].alias("ends"))
-    none = F.lit(None)
-    now = F.when(starts, run(s["next"], None, i["width"])).when(goes, run(open_["line"], open_, F.greatest(open_["width"], along + i["width"]))).when(gap, none).otherwise(open_)
-    drops = i["eol"] & ~gap
-    parted = F.when(gap, F.coalesce(open_, wide)).when(starts | drops & ~goes, none).otherwise(wide)
-    return F.struct(
-        F.when(drops, none).otherwise(now).alias("open"), parted.alias("wide"), (s["next"] + starts.cast("int")).alias("next"), F.when(goes | starts, now).alias("run"), spaced.alias("spaced"), F.when(follows, True).otherwise(False).alias("follows"),
-    )
+    near = SLANT * size
+    return font is not None and font == of["font"] and abs(size - of["size"]) < near and abs(b - of["b"]) < near and abs(c - of["c"]) < near and abs(off) < OFF * size
+
+
+def run_step(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Items, which come by page and in order, to runs: only the open run and the one before a wide gap are held."""
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, line, open_, wide, last, out = object(), 0, None, None, None, []
+        told = lambda r: (r["page"], r["line"], "".join(r["text"]), *[r[c] for c in PLACE], r["width"], r["follows"])
+        for batch in batches:
+            for of, text, font, e, f, a, b, c, d, ux, uy, size, width, eol, blank, ends, opens in values(batch, ("page", "text", *PLACE, "width", "eol", "blank", "ends", "opens")):
+                if of != page:
+                    page, line, open_, wide = of, 0, None, None
+                if text == "" or size < LEAST:
+                    if eol:
+                        open_ = wide = None
+                    continue
+                if blank and width > WIDE * size:
+                    open_, wide = None, open_ or wide
+                    continue
+                if open_:
+                    along, off = ahead(open_, e, f)
+                    reach = open_["width"]
+                    if alike(open_, off, font, size, b, c) and along >= reach - BACK * size and along - reach <= ON * size:
+                        if along - reach > WORD * size and not open_["ends"] and not opens:
+                            open_["text"].append(" ")
+                        open_["text"].append(text)
+                        open_["width"], open_["ends"] = max(reach, along + width), ends
+                        if eol:
+                            open_ = None
+                        continue
+                if not blank:
+                    if last:
+                        out.append(told(last))
+                    follows = False
+                    if wide:
+                        along, off = ahead(wide, e, f)
+                        follows = alike(wide, off, font, size, b, c) and along > wide["width"]
+                    last = open_ = {"page": of, "line": line, "text": [text], "font": font, "e": e, "f": f, "a": a, "b": b, "c": c, "d": d, "ux": ux, "uy": uy, "size": size, "width": width, "ends": ends, "follows": follows}
+                    line, wide = line + 1, None
+                if eol:
+                    open_ = wide = None
+            if len(out) >= BATCH:
+                yield sent(out, batch.schema.field("page").type, schema)
+                out = []
+        if last:
+            yield sent([*out, told(last)], batch.schema.field("page").type, schema)
+
+    return folded
 
 
 def text_runs(items: DataFrame) -> DataFrame:
@@ -54,24 +107,16 @@ def text_runs(items: DataFrame) -> DataFrame:
 
     An item goes on in the open run if font, size, slant and baseline are the same and it starts where the run ends,
     more or less; how far the run reaches grows as it goes. Blank items wider than the size part runs, others are part of
-    one. A page's items fold in order in the JVM, over an array of the page.
+    one. A page's items are in one partition, sorted; they stream through.
     """
-    size = F.hypot("c", "d")
-    unit = F.hypot("a", "b")
-    by = F.when(unit == 0, 1.0).otherwise(unit)
+    kind = dict(items.dtypes)["page"]
     text = F.coalesce("text", F.lit(""))
-    item = F.struct("seq", text.alias("text"), "font", *list("abcdef"), "width", F.coalesce("eol", F.lit(False)).alias("eol"), size.alias("size"), (F.col("a") / by).alias("ux"), (F.col("b") / by).alias("uy"), text.rlike(f"^{SPACE}*$").alias("blank"), text.rlike(f"{SPACE}$").alias("ends"), text.rlike(f"^{SPACE}").alias("opens"))
-    of = items.select("page", item.alias("i")).groupBy("page").agg(F.array_sort(F.collect_list("i")).alias("items"))
-    run = "struct<line:int,e:double,f:double,b:double,c:double,ux:double,uy:double,size:double,font:string,width:double,ends:boolean>"
-    none = F.lit(None).cast(run)
-    start = F.struct(none.alias("open"), none.alias("wide"), F.lit(0).alias("next"), none.alias("run"), F.lit(False).alias("spaced"), F.lit(False).alias("follows"))
-    told = of.select("page", F.explode(F.arrays_zip(F.col("items"), running(F.col("items"), start, step).alias("s"))).alias("z")).where("z.s.run is not null")
-    piece = F.struct("z.items.seq", F.when(F.col("z.s.spaced"), F.concat(F.lit(" "), F.col("z.items.text"))).otherwise(F.col("z.items.text")).alias("text"))
-    first, last = (lambda c: F.min_by(c, "z.items.seq")), (lambda c: F.max_by(c, "z.items.seq"))
-    return told.groupBy("page", F.col("z.s.run.line").alias("line")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["text"]), "").alias("text"), first("z.items.font").alias("font"), *[first(f"z.items.{c}").alias(c) for c in (*"efabcd", "ux", "uy", "size")],
-        last("z.s.run.width").alias("width"), F.max("z.s.follows").alias("follows"),
-    )
+    by = F.when(F.hypot("a", "b") == 0, 1.0).otherwise(F.hypot("a", "b"))
+    taken = items.select("page", "seq", text.alias("text"), "font", *[F.col(c).cast("double").alias(c) for c in (*"abcdef", "width")], F.coalesce("eol", F.lit(False)).alias("eol"))
+    placed = taken.repartition("page").sortWithinPartitions("page", "seq", "text", "font", *"abcdef", "width", "eol")
+    told = [F.hypot("c", "d").alias("size"), (F.col("a") / by).alias("ux"), (F.col("b") / by).alias("uy"), F.col("text").rlike(f"^{SPACE}*$").alias("blank"), F.col("text").rlike(f"{SPACE}$").alias("ends"), F.col("text").rlike(f"^{SPACE}").alias("opens")]
+    made = [("line", pa.int32()), ("text", pa.string()), ("font", pa.string()), *[(c, pa.float64()) for c in (*PLACE[1:], "width")], ("follows", pa.bool_())]
+    return placed.select("*", *told).drop("seq").mapInArrow(run_step(pa.schema(made)), f"page {kind}, line int, text string, font string, {', '.join(f'{c} double' for c in (*PLACE[1:], 'width'))}, follows boolean")
 
 
 def without_start(text: Column) -> Column:
@@ -93,26 +138,41 @@ def justified(runs: DataFrame) -> DataFrame:
     size = F.min_by("size", "line").over(of)
     joins = F.coalesce((n > 0) & (most <= F.when(n > 1, SEVERAL).otherwise(SINGLE) * size) & (most - least <= F.greatest(F.lit(EVEN), EVEN_PART * most)), F.lit(False))
     linked = linked.withColumn("into", F.when(joins, F.min("line").over(of)).otherwise(F.col("line")))
-    parts = F.array_sort(F.collect_list(F.struct("line", "text")))
-    last = F.max_by(F.struct("e", "f", "width"), "line")
-    out = linked.groupBy("page", F.col("into").alias("line")).agg(parts.alias("p"), last.alias("l"), *[F.min_by(c, "line").alias(c) for c in ("font", *"efabcd", "ux", "uy", "size", "width")])
+    own = ("text", *PLACE, "width")
+    parts = F.array_sort(F.collect_list(F.struct("line", *own)))
+    out = linked.groupBy("page", F.col("into")).agg(parts.alias("p")).select("page", F.col("into").alias("line"), "p", F.element_at("p", -1).alias("l"), *[F.get("p", F.lit(0))[c].alias(c) for c in own[1:]])
     inner = lambda p, i: F.when(i == 0, without_end(p["text"])).when(i == F.size("p") - 1, without_start(p["text"])).otherwise(without_start(without_end(p["text"])))
     words = F.transform("p", lambda p, i: F.when(F.size("p") == 1, p["text"]).otherwise(inner(p, i)))
     reach = F.when(F.size("p") > 1, (F.col("l.e") - F.col("e")) * F.col("ux") + (F.col("l.f") - F.col("f")) * F.col("uy") + F.col("l.width")).otherwise(F.col("width"))
     return out.withColumn("text", F.array_join(words, " ")).withColumn("width", reach).drop("p", "l")
 
 
-def join_step(s: Column, r: Column) -> Column:
-    """The state after one more line: the line under way, as far as it reaches and what it holds."""
-    gap = r["e"] - (s["e"] + s["width"])
-    flat = lambda x: (F.abs(x["b"]) <= SLANT * s["size"]) & (F.abs(x["c"]) <= SLANT * s["size"])
-    letters = (s["indic"] | r["indic"]) & (s["indic"] | ~s["latin"]) & (r["indic"] | ~r["latin"])
-    near = (F.abs(r["size"] - s["size"]) <= INDIC_SIZE * s["size"]) & (F.abs(r["f"] - s["f"]) <= INDIC_SIZE * s["size"]) & (gap >= -OVERLAP * s["size"]) & (gap <= INDIC_GAP * s["size"])
-    joins = (s["line"] >= 0) & letters & near & flat(s) & flat(r) & ~s["odd"] & ~r["odd"]
-    spaced = joins & (gap > WORD * s["size"]) & ~s["ends"] & ~r["opens"]
-    kept = lambda c: F.when(joins, s[c]).otherwise(r[c]).alias(c)
-    either = lambda c: F.when(joins, s[c] | r[c]).otherwise(r[c]).alias(c)
-    return F.struct(kept("line"), *[kept(c) for c in ("e", "f", "b", "c", "size")], F.when(joins, F.greatest(s["width"], r["e"] + r["width"] - s["e"])).otherwise(r["width"]).alias("width"), either("indic"), either("latin"), r["ends"].alias("ends"), kept("odd"), spaced.alias("spaced"))
+def join_step(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines, which come by page and in order, with neighbours joined: only the line under way is held."""
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, out = None, []
+        told = lambda s: (s["page"], s["line"], "".join(s["text"]), s["e"], s["f"], s["size"], s["width"], list(dict.fromkeys(s["fonts"])))
+        for batch in batches:
+            for page, line, text, font, e, f, b, c, size, width, indic, latin, ends, opens, odd in values(batch, ("page", "line", "text", "font", *"efbc", "size", "width", "indic", "latin", "ends", "opens", "odd")):
+                if s and s["page"] == page and (indic or s["indic"]) and (s["indic"] or not s["latin"]) and (indic or not latin) and not s["odd"] and not odd:
+                    of, gap = s["size"], e - (s["e"] + s["width"])
+                    flat = all(abs(v) <= SLANT * of for v in (s["b"], s["c"], b, c))
+                    if flat and abs(size - of) <= INDIC_SIZE * of and abs(f - s["f"]) <= INDIC_SIZE * of and -OVERLAP * of <= gap <= INDIC_GAP * of:
+                        s["text"] += [" ", text] if gap > WORD * of and not s["ends"] and not opens else [text]
+                        s["fonts"].append(font)
+                        s.update(width=max(s["width"], e + width - s["e"]), indic=s["indic"] or indic, latin=s["latin"] or latin, ends=ends)
+                        continue
+                if s:
+                    out.append(told(s))
+                s = {"page": page, "line": line, "text": [text], "fonts": [font], "e": e, "f": f, "b": b, "c": c, "size": size, "width": width, "indic": indic, "latin": latin, "ends": ends, "odd": odd}
+            if len(out) >= BATCH:
+                yield sent(out, batch.schema.field("page").type, schema)
+                out = []
+        if s:
+            yield sent([*out, told(s)], batch.schema.field("page").type, schema)
+
+    return folded
 
 
 def engine_lines(items: DataFrame, odd_fonts: list[str] | None = None) -> DataFrame:
@@ -120,19 +180,15 @@ def engine_lines(items: DataFrame, odd_fonts: list[str] | None = None) -> DataFr
 
     Runs are put together, justified lines joined again, and neighbouring runs of one baseline joined if Indic text is in
     one of them and Latin letters only in one that has some. Lines in odd_fonts (drawn fonts) aren't joined. Items without a
-    font or with a null text count as empty. What a line takes in hangs on what it has taken in: both steps fold over
-    arrays of a page in the JVM; the chains are windows.
+    font or with a null text count as empty. What a line takes in hangs on what it has taken in: in both steps a page's
+    rows stream through a task in order; the chains are windows.
     """
     lines = justified(text_runs(items))
+    kind = dict(lines.dtypes)["page"]
     odd = F.col("font").isin(odd_fonts) if odd_fonts else F.lit(False)
     flags = [has_indic(F.col("text")).alias("indic"), F.col("text").rlike("[A-Za-z]").alias("latin"), F.col("text").rlike(f"{SPACE}$").alias("ends"), F.col("text").rlike(f"^{SPACE}").alias("opens"), F.coalesce(odd, F.lit(False)).alias("odd")]
-    row = F.struct("line", "e", "f", "b", "c", "size", "width", *flags, "text", "font")
-    of = lines.groupBy("page").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    zero, no = F.lit(0.0), F.lit(False)
-    start = F.struct(F.lit(-1).alias("line"), *[zero.alias(c) for c in ("e", "f", "b", "c", "size", "width")], *[no.alias(c) for c in ("indic", "latin", "ends", "odd", "spaced")])
-    told = of.select("page", F.explode(F.arrays_zip(F.col("rows"), running(F.col("rows"), start, join_step).alias("s"))).alias("z"))
-    piece = F.struct("z.rows.line", F.when(F.col("z.s.spaced"), F.concat(F.lit(" "), F.col("z.rows.text"))).otherwise(F.col("z.rows.text")).alias("text"), F.col("z.rows.font").alias("font"))
-    out = told.groupBy("page", F.col("z.s.line").alias("line")).agg(F.array_sort(F.collect_list(piece)).alias("p"), *[F.max_by(f"z.s.{c}", "z.rows.line").alias(n) for c, n in (("e", "x"), ("f", "y"), ("size", "size"), ("width", "width"))])
-    text = without_end(F.array_join(F.transform("p", lambda p: p["text"]), ""))
-    out = out.select("page", "line", text.alias("text"), "x", "y", "size", "width", F.array_distinct(F.transform("p", lambda p: p["font"])).alias("fonts"))
+    # the windows of justified have each page in one partition
+    placed = lines.sortWithinPartitions("page", "line").select("page", "line", "text", "font", *"efbc", "size", "width", *flags)
+    made = [("line", pa.int32()), ("text", pa.string()), *[(c, pa.float64()) for c in ("x", "y", "size", "width")], ("fonts", pa.list_(pa.string()))]
+    out = placed.mapInArrow(join_step(pa.schema(made)), f"page {kind}, line int, text string, x double, y double, size double, width double, fonts array<string>").withColumn("text", without_end(F.col("text")))
     return out.where(~F.col("text").rlike(f"^{SPACE}*$"))

@@ -125,3 +125,13 @@ def test_justified_lines_join_and_cells_do_not(spark):
     got = sorted((r["page"], r["text"]) for r in grouping.engine_lines(df).collect())
     assert got == [("cells", "w0"), ("cells", "w1"), ("cells", "w2"), ("cells", "w3"), ("even", "w0 w1 w2 w3")]
     assert grouping.engine_lines(df.limit(0)).count() == 0
+
+
+def test_runs_stream_by_page_and_no_page_is_one_row(spark):
+    """A page's items and lines come one after another: no array holds a page, and a null page is a page too."""
+    rows = [(p, k, f"w{k}", "F", 10.0, 0.0, 0.0, 10.0, 30.0 * k, 0.0, 10.0, False) for p in ("a", None) for k in range(25_000)]
+    df = spark.createDataFrame(rows, ITEMS)
+    found = grouping.engine_lines(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "mapinarrow" in plan.lower() and "aggregate(" not in plan.lower().replace("objecthashaggregate", "")
+    assert found.count() == 50_000 and found.where("page is null").count() == 25_000
