@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.session import dealt_by
+
 # Marks of lists, fonts of symbols, and the reasons for which a page isn't edited.
 BULLET_MARK = r"^[\x{2022}\x{2023}\x{2043}\x{2219}\x{00B7}\x{25CF}\x{25CB}\x{25AA}\x{25AB}\x{25A0}\x{25A1}\x{25E6}\x{25BA}\x{25B8}\x{25B6}\x{27A2}\x{2794}\x{2713}\x{2714}\x{2666}\x{2756}\x{2605}\x{2013}\x{2014}*>\x{E000}-\x{F8FF}-]$"
 SYMBOL_FONT = "(?i)symbol|dingbat|wingding|webding"
@@ -70,11 +72,20 @@ def stray_bullets(targets: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def fonts_by_place(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """(page, key, font) of two readings of a page's fonts in order (page, at, key) and (page, at, font): by their places. A page whose readings differ in length, or where a key meets two fonts, has none."""
-    sizes = ours.groupBy("page").agg(F.count("*").alias("n")).join(theirs.groupBy("page").agg(F.count("*").alias("m")), "page").where("n = m").select("page")
-    met = ours.join(theirs, ["page", "at"]).join(sizes, "page").groupBy("page", "key").agg(F.min("font").alias("font"), F.max("font").alias("other"), F.count_if(F.col("font").isNull()).alias("none"))
-    bad = met.where("key is null or none > 0 or font <> other").select("page").distinct()
-    return met.join(bad, "page", "left_anti").select("page", "key", "font")
+    """(page, key, font) of two readings of a page's fonts in order (page, at, key) and (page, at, font): by their places. A page whose readings differ in length, or where a key meets two fonts, has none.
+
+    Both readings are dealt by page once; places and pages are windows, no joins.
+    """
+    none = lambda rows, c: F.lit(None).cast(dict(rows.dtypes)[c]).alias(c)
+    both = ours.select("page", "at", "key", none(theirs, "font"), F.lit(True).alias("own")).union(theirs.select("page", "at", none(ours, "key"), "font", F.lit(False).alias("own")))
+    of_page, place = Window.partitionBy("page"), Window.partitionBy("page", "at")
+    placed = dealt_by(both.where("page is not null"), "page").select(
+        "page", "at", "key", "own", F.count_if("own").over(of_page).alias("n"), F.count_if(~F.col("own")).over(of_page).alias("m"), F.min("font").over(place).alias("low"), F.max("font").over(place).alias("high"),
+        F.count_if(~F.col("own")).over(place).alias("there"), F.count_if(~F.col("own") & F.col("font").isNull()).over(place).alias("without"),
+    )
+    met = placed.where("own and n = m and at is not null and there > 0").groupBy("page", "key").agg(F.min("low").alias("font"), F.max("high").alias("other"), F.max("without").alias("none"))
+    bad = F.coalesce(F.col("key").isNull() | (F.col("none") > 0) | (F.col("font") != F.col("other")), F.lit(False))
+    return met.withColumn("bad", F.max(bad).over(of_page)).where("not bad").select("page", "key", "font")
 
 
 def alignments(lines: DataFrame, width: float) -> DataFrame:

@@ -26,6 +26,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that a task sorts or groups at a time.
+ROWS = 1 << 19
+
+
+def dealt_by(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows dealt by key over so many tasks that one takes about ROWS of them, however well they compress; they are counted first."""
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(least, -(-rows.count() // ROWS)), *key)
+
+
 #: Share of all rows from which a key is hot: 1 in so many. There are at most so many hot keys.
 HOT = 1000
 
