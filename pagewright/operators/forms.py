@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.session import dealt_by
+
 
 def filled(fields: DataFrame, answers: DataFrame) -> DataFrame:
     """(doc, name, status, stored) for each answer (doc, name, value: an array of strings) to fields (doc, name, kind, options, max_len).
@@ -53,7 +55,8 @@ def fields_of(widgets: DataFrame) -> DataFrame:
     order = F.struct("page", "at")
     on = F.when((F.col("kind") == "radio") & ~F.coalesce(F.get("value", F.lit(0)), F.lit("")).isin("", "Off"), F.struct(order.alias("o"), F.col("value").alias("v")))
     first = F.min(F.struct(order.alias("o"), "kind", "read_only", "multi", initial_value().alias("value"))).alias("f")
-    told = known.groupBy("doc", "name").agg(first, F.max(on).alias("on"), F.count("*").alias("n_widgets"))
+    # the groups are sorted: dealt by document first, a task sorts no more than it was dealt
+    told = dealt_by(known, "doc").groupBy("doc", "name").agg(first, F.max(on).alias("on"), F.count("*").alias("n_widgets"))
     value = F.when(F.col("f.kind") == "radio", F.coalesce(F.col("on.v"), F.col("f.value"))).otherwise(F.col("f.value"))
     return told.select("doc", "name", "f.kind", "f.read_only", "f.multi", value.alias("value"), "n_widgets", F.col("f.o.page").alias("first_page"))
 
