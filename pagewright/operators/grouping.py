@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.scripts import has_indic
+from pagewright.operators.streams import sent, values
 
 # Fixed values, in sizes: the smallest size; what differs in size or slant; off the baseline; how far back and on a run goes; a word's gap; a wide gap.
 LEAST, SLANT, OFF, BACK, ON, WORD, WIDE = 1.0, 0.02, 0.2, 0.35, 1.1, 0.12, 1.0
@@ -25,23 +26,6 @@ PLACE = ("font", *"efabcd", "ux", "uy", "size")
 BATCH = 10_000
 
 
-def listed(column: pa.Array) -> list:
-    """A column's values, by way of NumPy where that keeps them: many times faster. A null number is no number, which is like nothing."""
-    kind = column.type
-    fast = pa.types.is_floating(kind) or pa.types.is_string(kind) or not column.null_count and (pa.types.is_integer(kind) or pa.types.is_boolean(kind))
-    return column.to_numpy(zero_copy_only=False).tolist() if fast else column.to_pylist()
-
-
-def values(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple]:
-    return zip(*(listed(batch.column(n)) for n in names), strict=True)
-
-
-def sent(rows: list[tuple], page: pa.DataType, schema: pa.Schema) -> pa.RecordBatch:
-    """Rows of a page and what the schema names."""
-    schema = schema.insert(0, pa.field("page", page))
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=pa.types.is_floating(f.type)) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
 def ahead(of: dict, e: float, f: float) -> tuple[float, float]:
     """How far an item's origin is along a run's baseline from the run's, and how far off it."""
     dx, dy = e - of["e"], f - of["f"]

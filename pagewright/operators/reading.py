@@ -4,37 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.scalars import js_round
 from pagewright.operators.layout import upper_median
+from pagewright.operators.streams import sent, values
 
 # Baseline tolerance and widest gap of a row, in sizes; share of the width from which a row spans columns; share of rows that may cross a gutter.
 BASELINE, ROW_GAP, SPANS, CROSSING = 0.3, 2.2, 0.7, 0.08
 
 
-def first_fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Gives each line, from the top and then the left, to the first open row that it continues. Lines come sorted; rows above the reach of the page's largest size are closed."""
-    page, number, rows = object(), 0, []
-    for pdf in batches:
-        out = []
-        for p, x, y, width, size, largest in zip(*(pdf[c].tolist() for c in ("page", "x", "y", "width", "size", "largest")), strict=True):
+#: Rows of a batch on the way back, and what tells a row.
+BATCH = 10_000
+ROW = pa.schema([("row", pa.int32()), *[(c, pa.float64()) for c in ("x0", "x1", "y", "size")], ("n_lines", pa.int64())])
+
+
+def first_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gives each line, from the top and then the left, to the first open row that it continues. Lines come sorted; rows above the reach of the page's largest size are closed and go out."""
+    page, number, rows, out = object(), 0, [], []
+    told = lambda r: (page, *r)
+    for batch in batches:
+        for p, x, y, width, size, largest in values(batch, ("page", "x", "y", "width", "size", "largest")):
             if p != page:
+                out.extend(map(told, rows))
                 page, number, rows = p, 0, []
-            rows = [r for r in rows if r[2] - y <= BASELINE * largest]
+            elif rows and rows[0][3] - y > BASELINE * largest:
+                # rows open from the top down: the first is the highest
+                out.extend(told(r) for r in rows if r[3] - y > BASELINE * largest)
+                rows = [r for r in rows if r[3] - y <= BASELINE * largest]
             for r in rows:
-                em = max(r[3], size)
-                if abs(r[2] - y) <= BASELINE * em and -0.5 <= x - r[1] < ROW_GAP * em:
-                    r[1], r[3] = max(r[1], x + width), max(r[3], size)
+                em = r[4] if r[4] > size else size
+                if abs(r[3] - y) <= BASELINE * em and -0.5 <= x - r[2] < ROW_GAP * em:
+                    r[1], r[2], r[4] = min(r[1], x), max(r[2], x + width), em
+                    r[5] += 1
                     break
             else:
-                r = [number, x + width, y, size]
-                rows.append(r)
+                rows.append([number, x, x + width, y, size, 1])
                 number += 1
-            out.append(r[0])
-        yield pdf[["page", "id", "x", "y", "width", "size"]].assign(row=out)
+        if len(out) >= BATCH:
+            yield sent(out, batch.schema.field("page").type, ROW)
+            out = []
+    out.extend(map(told, rows))
+    if out:
+        yield sent(out, batch.schema.field("page").type, ROW)
 
 
 def rows(lines: DataFrame) -> DataFrame:
@@ -45,10 +59,11 @@ def rows(lines: DataFrame) -> DataFrame:
     """
     kind = dict(lines.dtypes)
     placed = lines.select("page", "id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "size")]).dropna(subset=["x", "y", "width", "size"])
-    placed = placed.withColumn("largest", F.max("size").over(Window.partitionBy("page"))).sortWithinPartitions("page", F.desc("y"), "x", "id")
-    dealt = placed.mapInPandas(first_fit, f"page {kind['page']}, id {kind['id']}, x double, y double, width double, size double, row int")
-    first = F.struct((-F.col("y")).alias("_y"), "x", "id")
-    return dealt.groupBy("page", "row").agg(F.min("x").alias("x0"), F.max(F.col("x") + F.col("width")).alias("x1"), F.min_by("y", first).alias("y"), F.max("size").alias("size"), F.count("*").alias("n_lines"))
+    order = [F.desc("y"), F.asc("x"), F.asc("id")]
+    # the window sorts a page's lines as the fold takes them: one sort does for both
+    whole = Window.partitionBy("page").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = placed.withColumn("largest", F.max("size").over(whole)).sortWithinPartitions("page", *order)
+    return placed.mapInArrow(first_fit, f"page {kind['page']}, row int, x0 double, x1 double, y double, size double, n_lines long")
 
 
 def gutters(found: DataFrame, width: float, min_gap: float) -> DataFrame:
