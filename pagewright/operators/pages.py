@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.geometry import A4, display_size, total_rotation
 from pagewright.functions.scalars import js_round
-from pagewright.session import cut
+from pagewright.session import cut, tasks_of
 
 
 def reordered(pages: DataFrame, from_: int, to: int, by: str = "conv_id", at: str = "turn") -> DataFrame:
@@ -99,6 +99,9 @@ def current_text(lines: DataFrame, edits: DataFrame, dropped: DataFrame, incomin
     kind text, move or insert) moves or replaces it, lines without one move by their shift; dropped (page, id) go;
     inserted lines and those that flow in (page, id, text, x, y, width, dx, dy) come.
     """
+    # edits are grouped by sorting and lines sorted to meet them: both are dealt first, over as many tasks
+    tasks = tasks_of(lines)
+    lines, edits = lines.repartition(tasks, "page", "id"), edits.repartition(tasks, "page", "id")
     last = edits.groupBy("page", "id").agg(F.max_by(F.struct("kind", "text", "dx", "dy", "new_width", "x", "y"), "version").alias("e"))
     e = lambda n: F.col(f"e.{n}")
     kept = lines.join(dropped, ["page", "id"], "left_anti").join(last.where("e.kind <> 'insert'"), ["page", "id"], "left")

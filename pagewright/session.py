@@ -30,10 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
 ROWS = 1 << 19
 
 
+def tasks_of(rows: DataFrame) -> int:
+    """Over how many tasks rows are dealt so that one takes about ROWS of them, however well they compress. They are counted."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS))
+
+
 def dealt_by(rows: DataFrame, *key: str) -> DataFrame:
-    """Rows dealt by key over so many tasks that one takes about ROWS of them, however well they compress; they are counted first."""
-    least = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(least, -(-rows.count() // ROWS)), *key)
+    """Rows dealt by key over tasks_of them."""
+    return rows.repartition(tasks_of(rows), *key)
 
 
 #: Share of all rows from which a key is hot: 1 in so many. There are at most so many hot keys.

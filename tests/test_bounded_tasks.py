@@ -1,6 +1,8 @@
 """Steps whose tasks sort or group no more than they were dealt, however the input grows and compresses."""
 
-from pagewright.operators import forms, painted, reading
+from pyspark.sql import functions as F
+
+from pagewright.operators import forms, pages, painted, reading
 
 
 def plan(df):
@@ -27,3 +29,11 @@ def test_lines_of_a_null_page_fall_into_rows(spark):
     lines = spark.createDataFrame([(None, "a", 0.0, 100.0, 20.0, 10.0), (None, "b", 30.0, 98.0, 20.0, 10.0), (None, "c", 0.0, 50.0, 20.0, 10.0), (1, "d", 0.0, 50.0, 20.0, 10.0)], "page int, id string, x double, y double, width double, size double")
     got = sorted(((r["page"], r["row"], r["x0"], r["x1"], r["y"], r["n_lines"]) for r in reading.rows(lines).collect()), key=str)
     assert got == [(1, 0, 0.0, 20.0, 50.0, 1), (None, 0, 0.0, 50.0, 100.0, 2), (None, 1, 0.0, 20.0, 50.0, 1)]
+
+
+def test_edits_are_dealt_before_they_are_sorted(spark):
+    lines = spark.createDataFrame([("p", 0, "a", 1.0, 2.0, 3.0, 0.5), ("p", 1, "b", 1.0, 2.0, 3.0, 0.5)], "page string, id long, text string, x double, y double, width double, shift double")
+    edits = spark.createDataFrame([("p", 0, 1, "text", "new", 0.0, 0.0, 9.0, 0.0, 0.0)], "page string, id long, version int, kind string, text string, dx double, dy double, new_width double, x double, y double")
+    found = pages.current_text(lines, edits, lines.select("page", "id").limit(0), lines.select("page", "id", "text", "x", "y", "width", "x").limit(0).toDF("page", "id", "text", "x", "y", "width", "dx").withColumn("dy", F.col("dx")))
+    assert sorted(tuple(r) for r in found.collect()) == [("p", "0", "new", 1.0, 2.0, 9.0, "text"), ("p", "1", "b", 1.0, 2.5, 3.0, "kept")]
+    assert plan(found).count("REPARTITION_BY_NUM") >= 2
