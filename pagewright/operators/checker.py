@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+from string import ascii_uppercase as UPPER
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.scalars import js_round
+from pagewright.functions.scalars import js_round, let
 from pagewright.operators.resume import common_words
 
 # Levels of risks and their penalties, headings and words that tell them, months, symbols, places and keywords of the check.
@@ -38,6 +42,11 @@ ALIASES = {
     "orchestration": r"\borchestrat(ion|or|ing|e)\b", "evals": r"\bevals?\b|\bevaluations?\b", "rag": r"\brag\b|retrieval[\s-]augmented", "mcp": r"\bmcp\b|model context protocol",
     "sql": r"\b(my|postgre|ms|no|t-|pl/)?sql\b", "uipath": r"\bui\s?path\b",
 }
+#: What every hit of an alias has one of, in lower case.
+STEMS = {
+    "rest apis": ["rest"], "llms": ["llm", "large language model"], "genai": ["gen"], "agents": ["agent"], "orchestration": ["orchestrat"], "evals": ["eval"], "rag": ["rag", "retrieval"],
+    "mcp": ["mcp", "model context protocol"], "sql": ["sql"], "uipath": ["path"],
+}
 NOT_TOKENS = "^(I|A|THE|AND|OR|WE|US|YOU)$"
 MOST_KEYWORDS, MOST_WORDS, MOST_EXAMPLES = 30, 12, 4
 TOKENS = r"\b[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*\b|\b[A-Za-z]+\.(?:js|ts|py|net)\b|\b[A-Z]{2,6}s?\b|\b[A-Za-z]+\+\+|C#"
@@ -65,6 +74,13 @@ def keyword_pattern(keyword: str) -> str:
     return "(?i)" + ascii_bounds(alias)
 
 
+def keyword_hit(text: Column, low: Column, keyword: str) -> Column:
+    """Whether text, whose lower case is low, has the keyword. What every hit holds, an alias's stem or the keyword's parts, is looked for first, which is much faster."""
+    stems = STEMS.get(keyword.lower())
+    first = reduce(or_, map(low.contains, stems)) if stems else reduce(and_, [low.contains(p.lower()) for p in keyword.split() if p.isascii()], F.lit(True))
+    return first & text.rlike(keyword_pattern(keyword))
+
+
 def job_keywords(jobs: DataFrame, known: list[str] = KEYWORDS) -> DataFrame:
     """(keyword, rank) of job descriptions (item_id, text): known ones that occur, then names in capitals or with a language's mark, then the commonest other words; the first spelling of each, MOST_KEYWORDS at most. A top-k report."""
     text = F.coalesce("text", F.lit(""))
@@ -86,14 +102,14 @@ def trim(text: Column) -> Column:
 def parser_lines(items: DataFrame) -> DataFrame:
     """(doc, page, line, top, text, chars, segs, fonts) of items (doc, page, line, seq, s, x, w, top, h, font): segs (x, s) are parted where a gap is wide; pieces of one are joined with a space where a gap is small.
 
-    Documents are dealt over the partitions once; lines, pages and documents are then told where they are.
+    Where the items of a document are dealt to one task (dealt_texts), they are told where they are.
     """
     line = Window.partitionBy("doc", "page", "line").orderBy("x", "seq")
     gap = F.col("x") - F.max(F.col("x") + F.col("w")).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    placed = items.where(trim(F.col("s")) != "").repartition("doc").withColumn("gap", gap)
+    placed = items.where(trim(F.col("s")) != "").withColumn("gap", gap)
     placed = placed.withColumn("new", F.col("gap").isNull() | (F.col("gap") > F.greatest(F.lit(6.0), F.col("h") * 0.8))).withColumn("seg", F.sum(F.col("new").cast("int")).over(line))
     piece = F.concat(F.when(~F.col("new") & (F.col("gap") > F.col("h") * 0.15), " ").otherwise(""), trim(F.col("s")))
-    told = placed.groupBy("doc", "page", "line").agg(F.min("top").alias("top"), F.sum(F.length(trim(F.col("s")))).alias("chars"), F.array_sort(F.collect_list(F.struct("x", "seq", "seg", piece.alias("p"), "font"))).alias("i"))
+    told = placed.groupBy("doc", "page", "line").agg(F.min("top").alias("top"), F.sum(F.length(trim(F.col("s")))).alias("chars"), F.sort_array(F.collect_list(F.struct("x", "seq", "seg", piece.alias("p"), "font"))).alias("i"))
     numbers = F.sequence(F.lit(1), F.element_at("i", -1)["seg"])
 
     def segment(n: Column) -> Column:
@@ -107,20 +123,24 @@ def parser_lines(items: DataFrame) -> DataFrame:
 def headings(segs: Column) -> Column:
     """The headings among the segments of a line: (key, odd, text); key of a standard one or of the one that odd capitals stand for, odd if it isn't standard."""
 
-    def one(seg: Column) -> Column:
-        t = trim(seg["s"])
-        caps = (t == F.upper(t))
-        told = (F.length(t) <= 40) & ~t.rlike("[0-9@:|•]") & (F.size(F.split(t, r"\s+")) <= 5) & (caps & t.rlike("[A-Z]{3}") | (F.size(segs) == 1)) & F.lower(t).rlike(HEADING_WORD)
-        n = F.btrim(F.regexp_replace(F.regexp_replace(F.lower(t), r"\s+", " "), "[&/].*$", ""))
+    # what is long is left out before anything is upper-cased, which takes most of the time on long texts; a name is told once
+    short = F.filter(F.transform(segs, lambda seg: trim(seg["s"])), lambda t: F.length(t) <= 40)
+    caps = lambda t: t == F.upper(t)
+    found = F.filter(short, lambda t: ~t.rlike("[0-9@:|•]") & (F.size(F.split(t, r"\s+")) <= 5) & F.lower(t).rlike(HEADING_WORD) & ((F.size(segs) == 1) | t.rlike("[A-Z]{3}") & caps(t)))
+
+    def one(t: Column) -> Column:
+        return let(F.struct(t.alias("t"), F.btrim(F.regexp_replace(F.regexp_replace(F.lower(t), r"\s+", " "), "[&/].*$", "")).alias("n"), caps(t).alias("caps")), named)
+
+    def named(v: Column) -> Column:
         standard = guess = F.lit(None).cast("string")
         for key, pattern in reversed(STANDARD.items()):
-            standard = F.when(n.rlike(pattern), key).otherwise(standard)
+            standard = F.when(v["n"].rlike(pattern), key).otherwise(standard)
         for key, pattern in reversed(GUESSES):
-            guess = F.when(n.rlike(pattern), key).otherwise(guess)
-        odd = standard.isNull() & ~n.rlike(ALSO_STANDARD) & caps
-        return F.when(told & (standard.isNotNull() | odd), F.struct(F.coalesce(standard, guess).alias("key"), odd.alias("odd"), t.alias("text")))
+            guess = F.when(v["n"].rlike(pattern), key).otherwise(guess)
+        odd = standard.isNull() & ~v["n"].rlike(ALSO_STANDARD) & v["caps"]
+        return F.when(standard.isNotNull() | odd, F.struct(F.coalesce(standard, guess).alias("key"), odd.alias("odd"), v["t"].alias("text")))
 
-    return F.filter(F.transform(segs, one), lambda h: h.isNotNull())
+    return F.filter(F.transform(found, one), lambda h: h.isNotNull())
 
 
 def checked_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
@@ -130,10 +150,11 @@ def checked_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
     before = F.lag("segs").over(in_page)
     shared = F.filter("segs", lambda s: F.exists(before, lambda q: F.abs(q["x"] - s["x"]) < 5))
     grid = F.coalesce((F.size("segs") >= 2) & (F.size(before) >= 2) & (F.size(shared) >= 2), F.lit(False))
-    bad = text.rlike(ascii_bounds("(?i)" + "|".join(BAD_DATES))) & ~(text.rlike("(?i)" + GOOD_DATE) & ~text.rlike(ascii_bounds(FULL_DATE)))
+    # most lines have neither digits nor @, which is told much faster
+    bad = text.rlike("[0-9]") & text.rlike(ascii_bounds("(?i)" + "|".join(BAD_DATES))) & ~(text.rlike("(?i)" + GOOD_DATE) & ~text.rlike(ascii_bounds(FULL_DATE)))
     out = lines.join(pages.select("doc", "page", "h"), ["doc", "page"])
     return out.select(
-        "doc", "page", "line", "text", "chars", "segs", text.rlike(EMAIL).alias("email"), ((F.row_number().over(in_doc) <= 25) & text.rlike(ascii_bounds(rf"(?i)\b({PLACE})\b|,\s*[A-Z]{{2}}\b"))).alias("place"),
+        "doc", "page", "line", "text", "chars", "segs", (text.contains("@") & text.rlike(EMAIL)).alias("email"), ((F.row_number().over(in_doc) <= 25) & text.rlike(ascii_bounds(rf"(?i)\b({PLACE})\b|,\s*[A-Z]{{2}}\b"))).alias("place"),
         (((F.col("top") < F.col("h") * 0.05) | (F.col("top") > F.col("h") * 0.95)) & (text.contains("@") | text.rlike(digits))).alias("edge"), (text.rlike(PRIVATE) | F.col("fonts").rlike("(?i)" + ICON_FONT)).alias("icon"),
         bad.alias("date"), text.rlike(SYMBOLS).alias("symbol"), grid.alias("grid"), headings(F.col("segs")).alias("heads"),
     ).withColumn("table", F.col("grid") & F.coalesce(F.lag("grid").over(in_page), F.lit(False)))
@@ -175,8 +196,9 @@ def risks(checked: DataFrame, pages: DataFrame) -> DataFrame:
 def analyzed(found: DataFrame, keywords: list[str]) -> DataFrame:
     """(doc, levels, n_risks, parse, found, kw_score, score) of risks(): 100 less the penalties, the share of the keywords found, and 60 % of it with 40 % of the former."""
     penalty = sum((F.when(F.col(r) == level, p).otherwise(0) for r in RISKS for level, p in PENALTY.items()), F.lit(0))
-    hits = sum((F.col("text").rlike(keyword_pattern(k)).cast("long") for k in keywords), F.lit(0).cast("long"))
+    hits = sum((keyword_hit(F.col("text"), F.col("_low"), k).cast("long") for k in keywords), F.lit(0).cast("long"))
     n = sum((F.col(r).isNotNull().cast("long") for r in RISKS), F.lit(0).cast("long"))
+    found = found.withColumn("_low", F.translate("text", UPPER, UPPER.lower()))
     out = found.select("doc", *RISKS, n.alias("n_risks"), F.greatest(F.lit(0), 100 - penalty).cast("long").alias("parse"), hits.alias("found"))
     out = out.withColumn("kw_score", js_round(100.0 * F.col("found") / len(keywords)) if keywords else F.lit(100).cast("long"))
     return out.withColumn("score", js_round(0.6 * F.col("kw_score") + 0.4 * F.col("parse")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import scalars
 from pagewright.operators import layout, pages, resume, text
+from pagewright.session import dealt_texts
 
 QUERY = "ea"
 WORD = "the"
@@ -35,8 +36,13 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.lines(read(spark, sf_dir, "documents"))
 
 
+def dealt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines, a document's in one of many tasks."""
+    return text.lines(dealt_texts(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.items_of(doc_lines(spark, sf_dir))
+    return layout.items_of(dealt_lines(spark, sf_dir))
 
 
 LINES = "lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))"

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.operators import checker, resume, text
-from pagewright.plans.catalog import LINES, longs, read
+from pagewright.operators import checker, resume
+from pagewright.plans.catalog import LINES, dealt_lines, longs, read
 
 SAID = [
     "EXPERIENCE", "Education", "CAREER OBJECTIVE", "Technical Skills", "Jan '21 - Feb '22", "2019 - 2021", "01/2020 - 03/2021", "Jan 2020 - Mar 2021", "12/05/2020 and more", "● Item → next", "Mumbai, India", "me@mail.example.com",
@@ -23,7 +23,7 @@ PER_PAGE = 40
 def said_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = ((F.col("doc_id") * 7 + F.col("line_no")) % len(SAID)).cast("int")
     said = F.when(F.col("line_no") % 3 == 1, F.get(F.array(*map(F.lit, SAID)), k)).otherwise(F.col("text"))
-    return text.lines(read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("doc"), F.floor(F.col("line_no") / PER_PAGE).alias("page"), F.col("line_no").cast("long").alias("line"), said.alias("text"))
+    return dealt_lines(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.floor(F.col("line_no") / PER_PAGE).alias("page"), F.col("line_no").cast("long").alias("line"), said.alias("text"))
 
 
 def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

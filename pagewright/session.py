@@ -40,6 +40,19 @@ def dealt_by(rows: DataFrame, *key: str) -> DataFrame:
     return rows.repartition(tasks_of(rows), *key)
 
 
+#: Code points of the texts that a task takes.
+TEXT = 1 << 22
+
+
+def dealt_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents dealt by key over tasks of about TEXT code points, three a core at least: a file of one row group is one task otherwise, and few bytes of text are much work. Their length is summed up.
+
+    What is then told within a document or its lines needs no other exchange.
+    """
+    size = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    return docs.repartition(max(3 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT)), key)
+
+
 #: Share of all rows from which a key is hot: 1 in so many. There are at most so many hot keys.
 HOT = 1000
 
