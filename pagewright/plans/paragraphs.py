@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators import paragraphs as operators
-from pagewright.plans.catalog import LINES, doc_lines, longs, read
+from pagewright.plans.catalog import LINES, dealt_lines, longs, read
 
 #: What marks an item at the start of a line.
 MARK = "^[-*•a-e][ )]"
@@ -15,7 +15,7 @@ MARK = "^[-*•a-e][ )]"
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that aren't blank as rows: 7 points a character, 14 a line and 10 more after each ninth, every eleventh bold, every thirteenth larger."""
     bare = F.btrim("text")
-    line = doc_lines(spark, sf_dir).where(bare != "")
+    line = dealt_lines(spark, sf_dir).where(bare != "")
     x0 = 40 + 7.0 * (F.length("text") - F.length(F.ltrim("text")) + F.col("line_no") % 17 % 2)
     mark = F.when(bare.rlike(MARK), F.concat(F.substring(bare, 1, 1), F.lit("@"), F.round(x0).cast("int").cast("string")))
     return line.select(
