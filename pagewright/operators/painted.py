@@ -62,13 +62,9 @@ def page_refusals(pages: DataFrame, lines: DataFrame) -> DataFrame:
     return pages.join(told, "page", "left").select("page", code.alias("code")).where("code is not null")
 
 
-def stray_bullets(targets: DataFrame, lines: DataFrame) -> DataFrame:
-    """(page, id, target, dy) of bullets and their targets (page, id, target) whose baselines differ by more than 0.12 of the target's size, to a thousandth."""
-    b = lines.select("page", "id", F.col("y").alias("by"))
-    t = lines.select("page", F.col("id").alias("target"), F.col("y").alias("ty"), F.col("size").alias("ts"))
-    dy = F.col("ty") - F.col("by")
-    out = targets.join(b, ["page", "id"]).join(t, ["page", "target"]).where(F.abs(dy) > 0.12 * F.col("ts"))
-    return out.select("page", "id", "target", (F.floor(dy * 1000 + 0.5) / 1000).alias("dy"))
+def stray_bullets(pairs: DataFrame) -> DataFrame:
+    """(page, id, target, dy) of bullets and their targets (page, id, target, dy, size) whose baselines differ by more than 0.12 of the target's size, to a thousandth."""
+    return pairs.where(F.abs("dy") > 0.12 * F.col("size")).select("page", "id", "target", (F.floor(F.col("dy") * 1000 + 0.5) / 1000).alias("dy"))
 
 
 def fonts_by_place(ours: DataFrame, theirs: DataFrame) -> DataFrame:

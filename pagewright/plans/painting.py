@@ -54,7 +54,7 @@ def bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stray_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = marks(spark, sf_dir).withColumn("y", F.col("y") + (F.col("id") % 3).cast("double"))
-    return painted.stray_bullets(reading.bullet_targets(lines), lines)
+    return painted.stray_bullets(reading.bullet_pairs(lines))
 
 
 def fonts_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:

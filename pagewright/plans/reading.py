@@ -26,7 +26,7 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
-    return i.select("page", (F.col("line_no") * 10000 + F.col("seq")).cast("long").alias("id"), "x", (842 - 14.0 * F.col("line_no")).alias("y"), F.lit(10.0).alias("size"), F.lower("s").rlike(MARK).alias("bullet"))
+    return i.select("page", (F.col("line_no") * 10000 + F.col("seq")).cast("long").alias("id"), "x", (842 - 14.0 * F.col("line_no")).alias("y"), F.lit(10.0).alias("size"), ((F.length("s") <= 2) & F.lower("s").rlike(MARK)).alias("bullet"))
 
 
 def form(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
