@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.common import ascii_lower, components, cut, join_spread, space_words, whole_row_key
 from pagewright.llm.simhash import fingerprint_links
+from pagewright.session import shuffles_dropped
 
 WORDS_A_SHINGLE = 5
 #: Two texts are near copies if 5 * |A and B| >= 4 * |A or B|: similarity 0.8 or more, in whole numbers.
@@ -290,12 +291,19 @@ def links_across(members: DataFrame, deal: Callable[[DataFrame], DataFrame], set
     return deal(kept).join(sets.select("node", "shingles"), "node").groupBy("place", "i", "j").applyInPandas(compared, "a long, b long")
 
 
+def led_tokens(tokens: DataFrame) -> DataFrame:
+    """The tokens (token, node, n, alone) that several nodes have, with how many these are (many), and of each token's nodes that with most in common with others (a, of size m; it is its own root r)."""
+    leader = F.struct(F.col("alone") / F.col("n"), F.xxhash64("node"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("node").alias("r"))
+    led = tokens.groupBy("token").agg(F.count("*").alias("many"), F.min(leader).alias("l")).where("many > 1").select("token", "many", "l.a", "l.m", "l.r")
+    return cut(tokens.join(cut(led), "token"))
+
+
 def mixed_tokens(tokens: DataFrame, linked: DataFrame) -> DataFrame:
     """The tokens (token, node, n, alone, many) that still hold several components, with the root of each node, and a node (a, of size m and root r) of each token by chance."""
     rooted = tokens.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     leader = F.struct(F.xxhash64(F.lit(1), "node"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("r"))
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(leader).alias("l"), F.count("*").alias("size")).where("low < high").select("token", "size", "l.a", "l.m", "l.r")
-    return cut(join_spread(rooted, mixed, ["token"], "size", tokens.count(), F.col("node")))
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(leader).alias("l")).where("low < high").select("token", "l.a", "l.m", "l.r")
+    return cut(rooted.join(cut(mixed), "token"))
 
 
 def meetings(rooted: DataFrame) -> DataFrame:
@@ -304,6 +312,12 @@ def meetings(rooted: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
+    """copy_groups() of docs; of the many small exchanges only what its last frame needs stays on disk."""
+    with shuffles_dropped(docs.sparkSession):
+        return copy_groups(docs)
+
+
+def copy_groups(docs: DataFrame) -> DataFrame:
     """(node, root, first) of docs (doc_id, text): near copies and what they link share a root; first is (none, doc_id, _k1, _k2) of the node's smallest doc_id (null last), then row key.
 
     Texts with equal sets of shingles are one node. The links are exact:
@@ -329,9 +343,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     parts = max(1, -(-(prints.agg(F.sum("n")).first()[0] or 0) // COUNTED))
     dealt = docs.select(word_hashes()).mapInPandas(parcels(parts), PARCEL)
     tokens = dealt.groupBy("part").applyInPandas(counted, PARCEL).groupBy("batch").applyInPandas(prefixes, "token long, node long, n long, alone long")
-    tokens = cut(tokens.distinct())
-    shared = tokens.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
-    tokens = cut(join_spread(tokens, shared, ["token"], "many", tokens.count(), F.col("node")))
+    led = led_tokens(cut(tokens.distinct()))
+    tokens = led.drop("a", "m", "r")
     nearest = cut(fingerprint_pairs(nodes).distinct())
     wanted = tokens.select("node").union(nearest.select(F.explode(F.array("a", "b")))).distinct().join(nodes, "node").select("node", "first._k1", "first._k2")
     texts = docs.select("text", *whole_row_key(docs)).join(wanted, ["_k1", "_k2"]).select("node", word_hashes())
@@ -339,9 +352,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     total = nodes.count()
     # the first leaders are those with most in common with others, the second ones by chance
-    alone, leader = F.col("alone") / F.col("n"), [F.xxhash64("node"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("node").alias("r")]
-    first = tokens.groupBy("token").agg(F.min(F.struct(alone, *leader)).alias("l"), F.first("many").alias("many")).select("token", "many", "l.a", "l.m", "l.r")
-    met = meetings(join_spread(tokens.drop("many").withColumn("root", F.col("node")), first, ["token"], "many", tokens.count(), F.col("node")))
+    met = meetings(led.withColumn("root", F.col("node")))
     linked = cut(components(verified(nearest.union(met).distinct(), sets, total)))
     rooted = mixed_tokens(tokens, linked)
     linked = cut(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(meetings(rooted), sets, total))))
