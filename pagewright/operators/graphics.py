@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.operators.painted import SHORT, operations
+from pagewright.operators.streams import listed
+
 # Operators that build, paint and show, and those whose operands count; the plane, where nothing clips.
 BUILD, PAINT, SHOW = ("m", "l", "c", "v", "y", "h", "re"), ("S", "s", "f", "F", "f*", "B", "B*", "b", "b*", "n"), ("Tj", "TJ", "'", '"')
 WITH_ARGS = ("cm", "w", "m", "l", "c", "v", "y", "re", "Do")
@@ -136,6 +141,81 @@ _BOX = pa.list_(pa.float64())
 ITEM_TYPES = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), _BOX, _BOX, _BOX, pa.bool_(), pa.bool_(), pa.float64()]
 
 
+_NAMES = [c.split()[0] for c in ITEM.split(", ")]
+#: Items of a batch on the way back; items that a task keeps for streams that come again.
+OUT, KEPT = 1 << 15, 1 << 18
+
+
+def followed(stream: str | None, objects: str | None) -> list[tuple]:
+    """The items of a whole stream, in the order in which they are put on the page; objects as JSON, of one name the first counts."""
+    state, floats = Page(None), lambda v: v and [x if x is None else float(x) for x in v]
+    for o in json.loads(objects or "[]"):
+        if o:
+            state.known.setdefault(o.get("name"), (o.get("kind"), floats(o.get("bounds")), floats(o.get("matrix"))))
+    for i, (op, args, start, end) in enumerate(operations(stream or "")):
+        state.step(i, op, args, start, end)
+    return [tuple(x[1:]) for x in state.items + state.inline]
+
+
+def followed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, pa.RecordBatch]]:
+    """Batches of (page, stream, objects) to the items of some of their rows: the batch, which row is the first, how many items each row has, and the items.
+
+    A stream that comes again with the same objects is followed once; what is kept is bounded by its items and by SHORT.
+    """
+    none = pa.RecordBatch.from_arrays([pa.array([], t) for t in ITEM_TYPES], _NAMES)
+    known, pool = {}, none
+    for batch in batches:
+        first, at, firsts, counts, fresh, n = 0, 0, [], [], [], 0
+
+        def full() -> tuple[pa.RecordBatch, int, np.ndarray, pa.RecordBatch]:
+            each = np.array(counts, np.int64)  # noqa: B023
+            places = np.repeat(np.array(firsts, np.int64) - np.cumsum(each) + each, each) + np.arange(each.sum())  # noqa: B023
+            return batch, first, each, pool.take(pa.array(places))  # noqa: B023
+
+        keys = list(zip(listed(batch.column(1)), listed(batch.column(2)), strict=True))
+        for at, key in enumerate(keys):
+            place = known.get(key)
+            if place is None:
+                found = followed(*key)
+                place = (pool.num_rows + len(fresh), len(found))
+                fresh += found
+                if len(key[0] or "") + len(key[1] or "") <= SHORT:
+                    known[key] = place
+            firsts.append(place[0])
+            counts.append(place[1])
+            n += place[1]
+            if n >= OUT or at == len(keys) - 1:
+                if fresh:
+                    more = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*fresh, strict=True), ITEM_TYPES, strict=True)], _NAMES)
+                    pool = pa.Table.from_batches([pool, more]).combine_chunks().to_batches()[0]
+                yield full()
+                first, firsts, counts, fresh, n = at + 1, [], [], [], 0
+                if pool.num_rows >= KEPT or len(known) >= KEPT // 8:
+                    known, pool = {}, none
+
+
+def with_json(streams: DataFrame) -> DataFrame:
+    """streams (page, stream, objects) as followed_batches takes them: two rows have the same objects if the text is the same."""
+    return streams.withColumn("_json", F.to_json("objects")).select("page", "stream", "_json")
+
+
+def stream_items(streams: DataFrame) -> DataFrame:
+    """What page_items tells of content streams (page, stream, objects: an array of name, kind, bounds, matrix), a page in a row.
+
+    A row has all that its items hang on, so operators need not be dealt and sorted: each stream is parsed and followed
+    where it lies, and a task holds one page's operators at a time.
+    """
+    kind = dict(streams.dtypes)["page"]
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first, counts, items in followed_batches(batches):
+            pages = batch.column(0).take(pa.array(np.repeat(np.arange(first, first + len(counts)), counts)))
+            out = pa.RecordBatch.from_arrays([pages, *items.columns], ["page", *_NAMES])
+            yield from (out.slice(k, OUT) for k in range(0, out.num_rows, OUT))
+
+    return with_json(streams).mapInArrow(told, f"page {kind}, {ITEM}")
+
+
 def page_items(operations: DataFrame, objects: DataFrame) -> DataFrame:
     """(page, i0, i1, kind, start, end, box, ctm, clip_at, clips, painted, line) of content-stream operators (page, i, op, args, start, end).
 
@@ -161,8 +241,7 @@ def page_items(operations: DataFrame, objects: DataFrame) -> DataFrame:
 
         def told(of: pa.DataType) -> pa.RecordBatch:
             columns = zip(*done, strict=True) if done else [[]] * (1 + len(ITEM_TYPES))
-            names = ["page", *(c.split()[0] for c in ITEM.split(", "))]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [of, *ITEM_TYPES], strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [of, *ITEM_TYPES], strict=True)], ["page", *_NAMES])
 
         of = None
         for batch in batches:

@@ -2,31 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.operators import graphics, painted
+from pagewright.operators import graphics
 from pagewright.plans.catalog import dealt, longs, read
 
 #: {a}, {b}, {c}: whole numbers of the row; {n}: one to seven squares.
 STREAM = "q 2 0 0 {a} {b} 10 cm 0 0 100 50 re W n /Im Do q 1 0 0 1 5 {c} cm 3 w 1 2 m 9 {c} l S Q 20 30 40 {a} re f Q 0 0 7 7 re f* BT (x) Tj ET Q /Fm Do {n}"
 
 
-def line_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A content stream for each order, and the objects that it names."""
+def line_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A content stream for each order, with the objects that it names."""
     key, by = F.col("o_orderkey"), F.col("o_custkey")
-    line = dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(key.alias("page"), (by % 5 + 1).alias("a"), (by % 9).alias("b"), (key % 30).alias("c"), (key % 7 + 1).cast("int").alias("n"))
-    text = F.lit(STREAM)
-    for c in "abc":
-        text = F.replace(text, F.lit(f"{{{c}}}"), F.col(c).cast("string"))
-    streams = line.select("page", F.replace(text, F.lit("{n}"), F.repeat(F.lit("1 0 0 1 8 0 cm 0 0 4 4 re f "), F.col("n"))).alias("stream"))
-    names = F.array(F.struct(F.lit("Im").alias("name"), F.lit("image").alias("kind"), F.lit(None).cast("array<double>").alias("bounds"), F.lit(None).cast("array<double>").alias("matrix")), F.struct(F.lit("Fm").alias("name"), F.lit("form").alias("kind"), graphics.numbers(0, 0, 10, 4).alias("bounds"), graphics.numbers(1, 0, 0, 2, 3, 0).alias("matrix")))
-    return streams, line.select("page", F.explode(names).alias("o")).select("page", "o.*")
+    line = dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(key.alias("page"), (by % 5 + 1).alias("a"), (by % 9).alias("b"), (key % 30).alias("c"), F.repeat(F.lit("1 0 0 1 8 0 cm 0 0 4 4 re f "), (key % 7 + 1).cast("int")).alias("n"))
+    parts = [F.col(t).cast("string") if i % 2 else F.lit(t) for i, t in enumerate(re.split(r"\{(\w)\}", STREAM))]
+    objects = F.array(F.struct(F.lit("Im").alias("name"), F.lit("image").alias("kind"), F.lit(None).cast("array<double>").alias("bounds"), F.lit(None).cast("array<double>").alias("matrix")), F.struct(F.lit("Fm").alias("name"), F.lit("form").alias("kind"), graphics.numbers(0, 0, 10, 4).alias("bounds"), graphics.numbers(1, 0, 0, 2, 3, 0).alias("matrix")))
+    return line.select("page", F.concat(*parts).alias("stream"), objects.alias("objects"))
 
 
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    streams, objects = line_streams(spark, sf_dir)
-    out = graphics.page_items(painted.stream_operations(streams), objects)
+    out = graphics.stream_items(line_streams(spark, sf_dir))
     box = lambda c: [F.round(F.get(c, F.lit(i)), 6).alias(f"{c}_{i}") for i in range(4)]
     return longs(out.select("page", "i0", "i1", "kind", *box("box"), *box("clip_at"), "clips", "painted", F.round("line", 6).alias("line")))
 

@@ -14,7 +14,8 @@ STEP = 60.0
 
 
 def rewritten_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    streams, objects = line_streams(spark, sf_dir)
+    streams = line_streams(spark, sf_dir)
+    objects = streams.select("page", F.explode("objects").alias("o")).select("page", "o.*")
     ops = painted.stream_operations(streams)
     gone = (F.col("page") % 3 == 0) & ((F.col("kind") == "image") | (F.col("i0") == 24))
     items = graphics.page_items(ops, objects).withColumn("dy", F.when(F.col("page") % 2 == 0, STEP)).withColumn("gone", gone)
