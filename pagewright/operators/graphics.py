@@ -146,13 +146,13 @@ _NAMES = [c.split()[0] for c in ITEM.split(", ")]
 OUT, KEPT = 1 << 15, 1 << 18
 
 
-def followed(stream: str | None, objects: str | None) -> list[tuple]:
-    """The items of a whole stream, in the order in which they are put on the page; objects as JSON, of one name the first counts."""
+def followed(ops: Sequence[tuple], objects: str | None) -> list[tuple]:
+    """The items of a whole stream's operators, in the order in which they are put on the page; objects as JSON, of one name the first counts."""
     state, floats = Page(None), lambda v: v and [x if x is None else float(x) for x in v]
     for o in json.loads(objects or "[]"):
         if o:
             state.known.setdefault(o.get("name"), (o.get("kind"), floats(o.get("bounds")), floats(o.get("matrix"))))
-    for i, (op, args, start, end) in enumerate(operations(stream or "")):
+    for i, (op, args, start, end) in enumerate(ops):
         state.step(i, op, args, start, end)
     return [tuple(x[1:]) for x in state.items + state.inline]
 
@@ -176,7 +176,7 @@ def followed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Rec
         for at, key in enumerate(keys):
             place = known.get(key)
             if place is None:
-                found = followed(*key)
+                found = followed(operations(key[0] or ""), key[1])
                 place = (pool.num_rows + len(fresh), len(found))
                 fresh += found
                 if len(key[0] or "") + len(key[1] or "") <= SHORT:
@@ -199,6 +199,20 @@ def with_json(streams: DataFrame) -> DataFrame:
     return streams.withColumn("_json", F.to_json("objects")).select("page", "stream", "_json")
 
 
+def listed_items(streams: DataFrame) -> DataFrame:
+    """(page, stream, _json, items) of content streams (page, stream, objects): all items of a page in a row, in order, and its objects as JSON."""
+    kind = dict(streams.dtypes)["page"]
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first, counts, items in followed_batches(batches):
+            ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            own = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(items.columns, _NAMES))
+            yield pa.RecordBatch.from_arrays([*batch.slice(first, len(counts)).columns, own], ["page", "stream", "_json", "items"])
+
+    fields = ", ".join(f"{n}: {c.split()[1]}" for n, c in zip(_NAMES, ITEM.split(", "), strict=True))
+    return with_json(streams).mapInArrow(told, f"page {kind}, stream string, _json string, items array<struct<{fields}>>")
+
+
 def stream_items(streams: DataFrame) -> DataFrame:
     """What page_items tells of content streams (page, stream, objects: an array of name, kind, bounds, matrix), a page in a row.
 

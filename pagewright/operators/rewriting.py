@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.geometry import at, number_text, user_delta
-from pagewright.operators.graphics import PAINT
+from pagewright.operators.graphics import followed, listed_items, operands
+from pagewright.operators.painted import SHORT, operations
+from pagewright.operators.streams import listed
 
 #: Replacements (page, s, e, text, inserts): the span from s to e gives way to the text; inserts: it only adds text.
 SPAN = ("page", "s", "e", "text", "inserts")
+#: How many points an operator names that is written anew; the largest whole number; characters that a task keeps for streams that come again.
+POINTS, MOST, KEPT = {"m": 1, "l": 1, "c": 3, "v": 2, "y": 2}, 2**63 - 1, 1 << 24
 
 
 def spliced(stream: str, spans: Sequence[dict]) -> tuple[str, int]:
@@ -77,23 +82,89 @@ def drops(items: DataFrame, operations: DataFrame) -> DataFrame:
     return paths.unionByName(others)
 
 
-def edits(items: DataFrame, operations: DataFrame, streams: DataFrame) -> DataFrame:
-    """The SPANs of shifts and drops together, of items with dy and `gone`: those that are gone are dropped, the others shifted. Items, operators and streams each are read once, where both apart read them several times."""
-    gone = F.coalesce("gone", F.lit(False))
-    moves = ~gone & (F.coalesce("dy", F.lit(0.0)) != 0) & (F.col("kind") != "shading")
-    told = items.where((gone | moves) & (F.col("kind") != "text")).select("page", "i0", "i1", "kind", "painted", F.col("start").alias("s"), F.col("end").alias("e"), gone.alias("gone"), user_delta(F.col("ctm"), F.lit(0.0), F.col("dy")).alias("d"))
-    told = told.where((F.col("gone") | F.col("d").isNotNull()) & ~(F.col("gone") & (F.col("kind") == "path") & ~F.col("painted")))
-    first = F.when((F.col("kind") == "path") & ~F.col("gone"), F.col("i0")).otherwise(F.col("i1"))
-    last = F.when((F.col("kind") == "path") & ~F.col("gone"), F.col("i1") - 1).otherwise(F.col("i1"))
-    places = told.select("page", "kind", "gone", "d", "s", "e", F.explode(F.sequence(first, last)).alias("i"))
-    # an operator of a path gives its own place, all others the item's
-    v = F.transform(F.array(*[F.get("args", F.lit(i)) for i in range(6)]), lambda a: F.coalesce(a.try_cast("double"), F.lit(0.0)))
-    ops = operations.where(F.col("op").isin("m", "l", "c", "v", "y", "re", *PAINT)).select("page", "i", "op", v.alias("v"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    path = F.col("kind") == "path"
-    met = places.join(ops, ["page", "i"], "left")
-    text = F.when(~path & F.col("gone"), "").when(path & F.col("gone"), "n").when(path, moved_operator(F.col("op"), F.col("v"), at(F.col("d"), 0), at(F.col("d"), 1)))
-    met = met.select("page", F.when(path, F.col("_s")).otherwise(F.col("s")).alias("s"), F.when(path, F.col("_e")).otherwise(F.col("e")).alias("e"), text.alias("text"), (~path & ~F.col("gone")).alias("wrapped"), "d").where("wrapped or text is not null")
-    step = F.concat(F.lit("q 1 0 0 1 "), number_text(at(F.col("d"), 0)), F.lit(" "), number_text(at(F.col("d"), 1)), F.lit(" cm "))
-    own = F.substring(F.col("stream"), F.col("s") + 1, F.col("e") - F.col("s"))
-    said = F.when(F.col("wrapped"), F.concat(step, own, F.lit(" Q"))).otherwise(F.col("text"))
-    return met.join(streams.select("page", "stream"), "page").select("page", "s", "e", said.alias("text"), F.lit(False).alias("inserts"))
+def number_said(v: float) -> str:
+    """number_text of one number."""
+    up = v * 10_000 + 0.5
+    r = 0 if math.isnan(up) else int(max(-MOST, min(MOST, up if math.isinf(up) else math.floor(up))))
+    part = abs(r) % 10_000
+    return ("-" if r < 0 else "") + str(math.floor(float(abs(r)) / 10_000)) + (f".{part:04d}".rstrip("0") if part else "")
+
+
+def moved_text(op: str, v: Sequence[float], dx: float, dy: float) -> str | None:
+    """moved_operator of one operator."""
+    if op == "re":
+        said = [v[0] + dx, v[1] + dy, v[2], v[3]]
+    elif op in POINTS:
+        said = [x + (dy if i % 2 else dx) for i, x in enumerate(v[: 2 * POINTS[op]])]
+    else:
+        return None
+    return " ".join([*map(number_said, said), op])
+
+
+def step_in(m: Sequence[float], dy: float) -> tuple[float, float] | None:
+    """user_delta of one matrix and a step up."""
+    a, b, c, d = m[:4]
+    det = a * d - b * c
+    return (d / det * 0.0 + -c / det * dy, -b / det * 0.0 + a / det * dy) if det != 0 else None
+
+
+def edited_stream(stream: str | None, objects: str | None, dys: Sequence[float], gones: Sequence[bool]) -> tuple[str | None, int, int]:
+    """A stream whose items, in order, are moved up by dy or dropped, and how many of its spans are kept and dropped."""
+    if stream is None or not (any(gones) or any(dys)):
+        return stream, 0, 0
+    ops, spans = operations(stream), []
+    for (i0, i1, kind, start, end, _, ctm, _, _, shown, _), dy, gone in zip(followed(ops, objects), dys, gones, strict=True):
+        path = kind == "path"
+        if kind == "text":
+            continue
+        if gone:
+            if not path or shown:
+                s, e = ops[i1][2:] if path else (start, end)
+                spans.append({"s": s, "e": e, "text": "n" if path else ""})
+        elif dy and kind != "shading" and (by := step_in(ctm, dy)):
+            if path:
+                moved = [(s, e, moved_text(op, operands(args), *by)) for op, args, s, e in ops[i0:i1]]
+                spans += [{"s": s, "e": e, "text": t} for s, e, t in moved if t is not None]
+            else:
+                spans.append({"s": start, "e": end, "text": f"q 1 0 0 1 {number_said(by[0])} {number_said(by[1])} cm {stream[start:end]} Q"})
+    # no two spans begin at one place: each operator has its own
+    text, kept = spliced(stream, sorted(spans, key=lambda r: -r["s"]))
+    return text, kept, len(spans) - kept
+
+
+def edited(streams: DataFrame, dy: Callable[[Column], Column], gone: Callable[[Column], Column]) -> DataFrame:
+    """(page, stream, n_kept, n_dropped) of content streams (page, stream, objects: as stream_items takes them) after edits of their items: dy and gone tell of an item, a struct as page_items names its columns, how far it goes up the page and whether it is dropped; null is neither.
+
+    A path's points are written anew, operator by operator; images and forms, inline or not, are wrapped in a moved space.
+    Shadings and texts aren't moved, nor what stands in a space that can't be undone. A path that is dropped keeps its
+    points, and its clip, and isn't painted; all else but texts goes. Of spans that meet, those further right are kept.
+
+    A page's stream, items and edits are one row throughout: nothing is joined, sorted or sent to the driver. A stream
+    that comes again with the same objects and edits is rewritten once; what is kept of them is bounded by KEPT.
+    """
+    kind = dict(streams.dtypes)["page"]
+    steps = F.transform("items", lambda t: F.coalesce(dy(t).cast("double"), F.lit(0.0)))
+    goes = F.transform("items", lambda t: F.coalesce(gone(t), F.lit(False)))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, size = {}, 0
+        for batch in batches:
+            out, at = [], 0
+            dys, gones = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (3, 4))
+            for stream, objects, n in zip(listed(batch.column(1)), listed(batch.column(2)), batch.column(3).value_lengths().to_pylist(), strict=True):
+                d, g = dys[at : at + n], gones[at : at + n]
+                at += n
+                key = (stream, objects, d.tobytes(), g.tobytes())
+                new = known.get(key)
+                if new is None:
+                    new = edited_stream(stream, objects, d.tolist(), g.tolist())
+                    if len(stream or "") + len(objects or "") <= SHORT:
+                        known[key] = new
+                        size += 200 + 9 * n + sum(len(t or "") for t in (stream, objects, new[0]))
+                        if size > KEPT:
+                            known, size = {}, 0
+                out.append(new)
+            made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int32()), strict=True)] if out else [pa.array([], t) for t in (pa.string(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["page", "stream", "n_kept", "n_dropped"])
+
+    return listed_items(streams).select("page", "stream", "_json", steps.alias("dy"), goes.alias("gone")).mapInArrow(told, f"page {kind}, stream string, n_kept int, n_dropped int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.operators import graphics, painted, rewriting
+from pagewright.operators import rewriting
 from pagewright.plans.catalog import longs
 from pagewright.plans.graphics import line_streams
 
@@ -14,13 +14,9 @@ STEP = 60.0
 
 
 def rewritten_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    streams = line_streams(spark, sf_dir)
-    objects = streams.select("page", F.explode("objects").alias("o")).select("page", "o.*")
-    ops = painted.stream_operations(streams)
-    gone = (F.col("page") % 3 == 0) & ((F.col("kind") == "image") | (F.col("i0") == 24))
-    items = graphics.page_items(ops, objects).withColumn("dy", F.when(F.col("page") % 2 == 0, STEP)).withColumn("gone", gone)
-    spans = rewriting.edits(items, ops, streams)
-    return longs(rewriting.rewritten(streams, spans))
+    page = F.col("page")
+    gone = lambda t: (page % 3 == 0) & ((t["kind"] == "image") | (t["i0"] == 24))
+    return longs(rewriting.edited(line_streams(spark, sf_dir), lambda _: F.when(page % 2 == 0, STEP), gone))
 
 
 QUERIES = {"rewritten_streams": rewritten_streams}

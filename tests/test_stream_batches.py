@@ -66,4 +66,4 @@ def test_kept_items_are_bounded_and_go_to_their_rows(monkeypatch):
             found = found[n:]
         assert not found
     plain = lambda t: [list(v) if isinstance(v, tuple) else v for v in t]
-    assert [(p, [plain(t) for t in f]) for p, f in got] == [(p, [plain(t) for t in graphics.followed(s, o)]) for p, (s, o) in enumerate(zip(streams, objects, strict=True))]
+    assert [(p, [plain(t) for t in f]) for p, f in got] == [(p, [plain(t) for t in graphics.followed(painted.operations(s or ""), o)]) for p, (s, o) in enumerate(zip(streams, objects, strict=True))]
