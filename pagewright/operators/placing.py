@@ -9,11 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pagewright.functions.scripts import INDIC
 from pagewright.operators import grouping
-from pagewright.operators.grouping import BACK, EVEN, EVEN_PART, LEAST, OFF, ON, SEVERAL, SINGLE, SLANT, SPACE, WIDE, WORD
+from pagewright.operators.grouping import BACK, EVEN, EVEN_PART, LEAST, OFF, ON, SEVERAL, SINGLE, SLANT, WIDE, WORD
 
 #: Items of whole pages that are worked on at a time, at least.
 ITEMS = 1 << 16
@@ -190,7 +189,22 @@ def page_lines(t: pa.RecordBatch, odd_fonts: list[str]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([page.take(pa.array(keep)), pa.array(number[keep], pa.int32()), text.take(pa.array(keep)), *[whole(numbers[c][keep]) for c in ("e", "f", "size", "width")], fonts], ["page", *(c for c, _ in MADE)])
 
 
-def line_step(odd_fonts: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items (page, text, font, a to f, width, eol) with what runs are told by: size, direction, and where white space is, as SPACE before Java's ^ and $ says."""
+    for t in batches:
+        whole = {c: pc.cast(t.column(c), pa.float64()).to_numpy(zero_copy_only=False) for c in (*"abcdef", "width")}
+        by = np.hypot(whole["a"], whole["b"])
+        by = np.where(by == 0, 1.0, by)
+        text = pc.fill_null(t.column("text"), "")
+        n = pc.binary_length(text).to_numpy(zero_copy_only=False)
+        length = lambda x: pc.binary_length(x).to_numpy(zero_copy_only=False)
+        end = without_end(text)
+        blank, ends, opens = (length(end) == 0) | pc.is_in(end, pa.array(ENDS)).to_numpy(zero_copy_only=False), length(end) < n, length(pc.utf8_ltrim(text, characters=BLANKS)) < n
+        made = {"page": t.column("page"), "text": text, "font": t.column("font")} | whole | {"eol": pc.fill_null(t.column("eol"), False), "size": np.hypot(whole["c"], whole["d"]), "ux": whole["a"] / by, "uy": whole["b"] / by, "blank": blank, "ends": ends, "opens": opens}
+        yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made.values()], list(made))
+
+
+def line_step(odd_fonts: list[str], made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Items, which come by page and in order, to lines: whole pages of ITEMS items or more at a time."""
 
     def whole(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -202,34 +216,39 @@ def line_step(odd_fonts: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iter
         return lines.set_column(2, "text", text).filter(pc.invert(blank))
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
+        held, n, enough = [], 0, ITEMS
+        for batch in made(batches):
             if not batch.num_rows:
                 continue
             held.append(batch)
             n += batch.num_rows
-            if n >= ITEMS:
+            if n >= enough:
                 t = whole(held)
                 page = codes(t.column("page"))
                 other = np.flatnonzero(page != page[-1])
                 cut = int(other[-1]) + 1 if len(other) else 0
                 if cut:
                     yield from map(finished, page_lines(t.slice(0, cut), odd_fonts))
-                held, n = [t.slice(cut)], ITEMS // 2 if not cut else t.num_rows - cut
+                held, n = [t.slice(cut)], t.num_rows - cut
+                enough = max(ITEMS, 2 * n)
         if held:
             yield from map(finished, page_lines(whole(held), odd_fonts))
 
     return folded
 
 
+LINES = "line int, text string, x double, y double, size double, width double, fonts array<string>"
+
+
+def made_lines(rows: DataFrame, kind: str, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], odd_fonts: list[str] | None = None) -> DataFrame:
+    """What placed_lines tells of the items that `made` makes of Arrow batches of rows inside a task, pages of this kind of key: items needn't leave it then."""
+    return rows.mapInArrow(line_step(odd_fonts or [], lambda batches: flagged(made(batches))), f"page {kind}, {LINES}")
+
+
 def placed_lines(items: DataFrame, odd_fonts: list[str] | None = None) -> DataFrame:
     """What grouping.engine_lines tells of items (page, seq, text, font, a to f: the matrix, width, eol) that lie by page and in order already, as those made from a page's row do: they are neither dealt nor sorted, and seq is not read.
 
     A task holds ITEMS items and a page at a time, as columns. Runs, chains and lines are told at once for all items;
     pages where an item's run can't be told from the item before, and lines of pages with Indic text, go one by one.
     """
-    kind = dict(items.dtypes)["page"]
-    by = F.when(F.hypot("a", "b") == 0, 1.0).otherwise(F.hypot("a", "b"))
-    taken = items.select("page", F.coalesce("text", F.lit("")).alias("text"), "font", *[F.col(c).cast("double").alias(c) for c in (*"abcdef", "width")], F.coalesce("eol", F.lit(False)).alias("eol"))
-    told = [F.hypot("c", "d").alias("size"), (F.col("a") / by).alias("ux"), (F.col("b") / by).alias("uy"), F.col("text").rlike(f"^{SPACE}*$").alias("blank"), F.col("text").rlike(f"{SPACE}$").alias("ends"), F.col("text").rlike(f"^{SPACE}").alias("opens")]
-    return taken.select("*", *told).drop("d").mapInArrow(line_step(odd_fonts or []), f"page {kind}, line int, text string, x double, y double, size double, width double, fonts array<string>")
+    return made_lines(items.select("page", "text", "font", *"abcdef", "width", "eol"), dict(items.dtypes)["page"], iter, odd_fonts)

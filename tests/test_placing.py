@@ -67,4 +67,15 @@ def test_pages_are_whole_in_any_batches(monkeypatch):
 
 def test_words_are_neither_dealt_nor_sorted(spark):
     plan = plans.engine_lines(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "hashpartitioning(doc_id" in plan and "Sort [" not in plan
+    assert plan.count("Exchange") == 1 and "hashpartitioning(doc_id" in plan and "Sort [" not in plan and "explode" not in plan
+
+
+def test_words_of_all_parts_are_made(monkeypatch):
+    monkeypatch.setattr(plans, "PART", 20)
+    texts = ["a  b\n\n c ", None, "", " \n ", "x" * 50 + " y", "é ü\nz"] * 3
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    parts = list(plans.text_parts(iter([docs, docs.slice(0, 0)])))
+    assert len(parts) > 5 and sum((p.column(0).to_pylist() for p in parts), []) == list(range(len(texts)))
+    items = [r for b in plans.text_items(iter([docs])) for r in b.to_pylist()]
+    want = [(p, w, 800.0 - 14 * n) for p, t in enumerate(texts) for n, line in enumerate((t or "").split("\n")) for w in line.split(" ") if w]
+    assert [(r["page"], r["text"], r["f"]) for r in items if r["text"] != " "] == want
